@@ -2,18 +2,18 @@
 
 Method. Every interval becomes a session whose length is its own duration (``session_window`` with a per-row
 duration), merged by Spark's session aggregation. To keep a recording that holds a large share of all rows from
-landing in one task, sessions are first merged inside fixed time buckets of the recording; only what can reach over
-a bucket's end (at most two rows a bucket) is then chained along the recording, touching included. Holes come from
-``lead`` over the finished periods, inside a bucket and, for a bucket's last period, over one row per bucket.
-
-What a task holds: the sessions of one (recording, bucket), or one row per bucket of one recording, which is bounded
-by the recording's length over the bucket width, not by the number of rows.
+landing in one task, intervals are first cut at fixed time buckets of the recording and merged inside each bucket, so
+a bucket's sessions say all about it. What touches a bucket's edge (at most two sessions a bucket) is then chained
+along the recording by a second session aggregation. Holes come from ``lead``, inside each bucket and, between
+buckets, over one row per bucket.
+
+What a task holds: the pieces of one (recording, bucket), identical ones combined before the shuffle, or one row per
+bucket of one recording, which is bounded by the recording's length over the bucket width, not by the number of rows.
+The cutting makes one piece per bucket that an interval reaches into.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,12 +21,12 @@ from pyspark.sql import functions as F
 UNITS_PER_SECOND = 10_000
 #: Width of a merge bucket, in units: two minutes.
 BUCKET_UNITS = 120 * UNITS_PER_SECOND
-#: Values beyond this can't be counted in microseconds of a timestamp; such rows count as not given.
-_LIMIT = 1e12
+#: Seconds beyond this (31 years) are no time in a recording; they count as not given.
+_LIMIT = 1e9
 
 
 def to_units(seconds: Column, units: int = UNITS_PER_SECOND) -> Column:
-    """round(seconds x units) as BIGINT; null where seconds is null, NaN or beyond 1e12."""
+    """round(seconds x units) as BIGINT; null where seconds is null, NaN or beyond 1e9."""
     given = seconds.isNotNull() & ~F.isnan(seconds) & (F.abs(seconds) < _LIMIT)
     return F.when(given, F.round(F.when(given, seconds) * F.lit(float(units))).cast("bigint"))
 
@@ -44,68 +44,64 @@ def _sessions(df: DataFrame, by: list[str]) -> DataFrame:
     return (
         df.withColumn("_at", F.timestamp_micros("begin"))
         .groupBy(*by, F.session_window("_at", length).alias("_w"))
-        .agg(F.min("begin").alias("begin"), F.max("finish").alias("finish"), F.max("last_begin").alias("last_begin"), F.min("first_finish").alias("first_finish"))
+        .agg(
+            F.min("begin").alias("begin"), F.max("finish").alias("finish"), F.min("first_begin").alias("first_begin"), F.max("last_begin").alias("last_begin"),
+            F.min("first_finish").alias("first_finish"), F.max("last_finish").alias("last_finish"),
+        )
         .drop("_w")
     )
 
 
-def left_join_null_safe(a: DataFrame, b: DataFrame, names: list[str]) -> DataFrame:
-    """a left join b where null keys match each other; b's keys are dropped."""
-    b = b.withColumnsRenamed({n: f"_r{i}" for i, n in enumerate(names)})
-    return a.join(b, reduce(lambda x, y: x & y, [F.col(n).eqNullSafe(F.col(f"_r{i}")) for i, n in enumerate(names)]), "left").drop(*[f"_r{i}" for i in range(len(names))])
-
-
-def merge_periods(intervals: DataFrame, keys: list[str], bucket: int = BUCKET_UNITS) -> DataFrame:
-    """Continuous periods per keys.
+def periods_and_holes(intervals: DataFrame, keys: list[str], max_hole: int | None = None, bucket: int = BUCKET_UNITS) -> DataFrame:
+    """Periods and the holes between neighbouring periods: keys, kind ('period', 'hole'), begin, finish, several.
 
-    intervals: keys, begin, finish BIGINT (other columns are ignored). Returns keys, begin, finish, several BOOLEAN:
-    whether at least two distinct intervals made the period. Periods of one key never overlap or touch.
+    intervals: keys, begin, finish BIGINT; other columns are ignored, names beginning with '_' are reserved. several
+    says whether at least two distinct intervals made the period; it is null for holes. max_hole: longest hole
+    reported, in units. Periods of one key never overlap or touch.
     Null begin or finish and finish <= begin: the row is left out. Null keys form a group of their own. Repeated rows
     count once. An empty table gives an empty result.
     """
-    rows = (
-        intervals.select(*keys, "begin", "finish").filter("begin is not null and finish is not null and finish > begin")
-        .select(*keys, F.expr(f"floor(begin / {bucket}D)").cast("bigint").alias("_k"), "begin", "finish", F.col("begin").alias("last_begin"), F.col("finish").alias("first_finish"))
-    )
+    k = lambda c: F.floor(F.col(c) / F.lit(float(bucket))).cast("bigint")
     cell = [*keys, "_k"]
-    merged = _sessions(rows, cell)
-    # How far earlier buckets reach, where that is into this bucket at all.
-    reach = (
-        merged.groupBy(*cell).agg(F.max("finish").alias("_top"))
-        .withColumn("_reach", F.max("_top").over(Window.partitionBy(*keys).orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)))
-        .filter(F.col("_reach") >= F.col("_k") * bucket).drop("_top")
+    pieces = (
+        intervals.filter("begin is not null and finish is not null and finish > begin")
+        .select(*keys, *[F.col("begin").alias(n) for n in ("first_begin", "last_begin")], *[F.col("finish").alias(n) for n in ("first_finish", "last_finish")], F.explode(F.sequence(k("begin"), F.floor((F.col("finish") - 1) / F.lit(float(bucket))).cast("bigint"))).alias("_k"))
+        .withColumn("begin", F.greatest("last_begin", F.col("_k") * bucket)).withColumn("finish", F.least("first_finish", (F.col("_k") + 1) * bucket))
     )
-    seen = left_join_null_safe(merged, reach, cell)
-    held = F.col("_reach").isNotNull() & (F.col("begin") <= F.col("_reach"))
-    # Only a bucket's last session can end in a later bucket, as the sessions of a bucket are disjoint.
-    seen = seen.withColumn("_tail", held).withColumn("_chain", F.col("_tail") | (F.col("finish") >= (F.col("_k") + 1) * bucket))
-    whole = [*keys, "begin", "finish", "last_begin", "first_finish"]
-    alone = seen.filter(~F.col("_chain")).select(*whole)
-    links = (
-        seen.filter("_chain").groupBy(*cell, "_tail")
-        .agg(F.min("begin").alias("begin"), F.max("finish").alias("finish"), F.max("last_begin").alias("last_begin"), F.min("first_finish").alias("first_finish"))
+    # begin, finish; the members' greatest begin and least finish, and their least begin and greatest finish.
+    merged = _sessions(pieces, cell)
+    row = Window.partitionBy(*cell).orderBy("begin")
+    at_start, at_end = F.col("begin") == F.col("_k") * bucket, F.col("finish") == (F.col("_k") + 1) * bucket
+    several = (F.col("first_begin") != F.col("last_begin")) | (F.col("first_finish") != F.col("last_finish"))
+    out = lambda kind, b, f, s: F.struct(F.lit(kind).alias("kind"), b.alias("begin"), f.alias("finish"), s.cast("boolean").alias("several"))
+    inside = (
+        merged.withColumn("_next", F.lead("begin").over(row))
+        .select(*keys, F.explode(F.array_compact(F.array(
+            F.when(~(at_start | at_end), out("period", F.col("begin"), F.col("finish"), several)),
+            F.when(F.col("_next").isNotNull(), out("hole", F.col("finish"), F.col("_next"), F.lit(None))),
+        ))).alias("_r")).select(*keys, "_r.*")
     )
-    chained = _sessions(links, keys).select(*whole)
-    distinct = (F.col("begin") != F.col("last_begin")) | (F.col("finish") != F.col("first_finish"))
-    return alone.unionByName(chained).select(*keys, "begin", "finish", distinct.alias("several"))
-
+    piece = F.struct("begin", "finish", "first_begin", "last_begin", "first_finish", "last_finish")
+    per_bucket = merged.groupBy(*cell).agg(
+        F.min("begin").alias("_first"), F.max("finish").alias("_end"),
+        F.collect_list(F.when(at_start | at_end, piece)).alias("_edges"),  # at most two
+    )
+    ahead = F.lead("_first").over(Window.partitionBy(*keys).orderBy("_k"))
+    gap = F.struct(*[c.alias(n) for n, c in zip(("begin", "finish", "first_begin", "last_begin", "first_finish", "last_finish"), (F.col("_end"), F.col("_ahead")) * 3)])
+    between = (
+        per_bucket.withColumn("_ahead", ahead)
+        .withColumn("_gap", F.when(F.col("_ahead") > F.col("_end"), gap))
+        .select(*keys, F.explode(F.concat(
+            F.transform("_edges", lambda e: F.struct(F.lit("period").alias("kind"), e.alias("e"))),
+            F.when(F.col("_gap").isNotNull(), F.array(F.struct(F.lit("hole").alias("kind"), F.col("_gap").alias("e")))).otherwise(F.array()),
+        )).alias("_r")).select(*keys, "_r.kind", "_r.e.*")
+    )
+    # Holes never touch each other, so they go through the session aggregation unchanged.
+    chained = _sessions(between, [*keys, "kind"]).select(*keys, "kind", "begin", "finish", F.when(F.col("kind") == "period", several).alias("several"))
+    found = inside.unionByName(chained)
+    return found if max_hole is None else found.filter((F.col("kind") != "hole") | (F.col("finish") - F.col("begin") <= max_hole))
 
-def periods_and_holes(intervals: DataFrame, keys: list[str], max_hole: int | None = None, bucket: int = BUCKET_UNITS) -> DataFrame:
-    """Periods and the holes between neighbouring periods: keys, kind ('period', 'hole'), begin, finish, several.
 
-    several is null for holes. max_hole: longest hole reported, in units. Nulls, repeats and empty tables as in
-    merge_periods.
-    """
-    cell = [*keys, "_k"]
-    found = merge_periods(intervals, keys, bucket).withColumn("_k", F.expr(f"floor(begin / {bucket}D)").cast("bigint")).repartition(*cell)
-    inside = found.withColumn("_next", F.lead("begin").over(Window.partitionBy(*cell).orderBy("begin")))
-    period = F.struct(F.lit("period").alias("kind"), F.col("begin"), F.col("finish"), F.col("several"))
-    hole = F.when(F.col("_next").isNotNull(), F.struct(F.lit("hole").alias("kind"), F.col("finish").alias("begin"), F.col("_next").alias("finish"), F.lit(None).cast("boolean").alias("several")))
-    rows = inside.select(*keys, F.explode(F.array_compact(F.array(period, hole))).alias("_r")).select(*keys, "_r.*")
-    ends = found.groupBy(*cell).agg(F.min("begin").alias("_first"), F.max("finish").alias("_end"), F.max("several").alias("_"))
-    over = (
-        ends.withColumn("_next", F.lead("_first").over(Window.partitionBy(*keys).orderBy("_k"))).filter("_next is not null")
-        .select(*keys, F.lit("hole").alias("kind"), F.col("_end").alias("begin"), F.col("_next").alias("finish"), F.lit(None).cast("boolean").alias("several"))
-    )
-    out = rows.unionByName(over)
-    return out if max_hole is None else out.filter((F.col("kind") != "hole") | (F.col("finish") - F.col("begin") <= max_hole))
+def merge_periods(intervals: DataFrame, keys: list[str], bucket: int = BUCKET_UNITS) -> DataFrame:
+    """The periods alone: keys, begin, finish, several. Cases as in periods_and_holes."""
+    return periods_and_holes(intervals, keys, None, bucket).filter("kind = 'period'").drop("kind")
