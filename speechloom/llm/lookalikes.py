@@ -29,11 +29,11 @@ CYRILLIC_LIKE = dict(zip("асеіорѕхуһјԁԛԝѵүАВСЕНІЈКМОР
 GREEK_LIKE = dict(zip("αονιυγρΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "aoviuypABEZHIKMNOPTYX"))
 LATIN_OTHER = {"ɡ": "g", "ɑ": "a", "ı": "i", "ո": "n", "օ": "o", "ѡ": "w", "ƅ": "b", "ӏ": "l", "ⅼ": "l", "ք": "p", "ս": "u", "ց": "g", "հ": "h"}
 KANA_HAN = dict(zip("タニカロハエトオノヒムメチミセリヘベペー", "夕二力口八工卜才丿匕厶乂千三世りへべぺ一"))
-DASHES_LIKE_CHOON = "―—─ㅡ－‒–−"
-APOSTROPHES = "’‘ʼ′＇ʹ´`ʻʽˈ‛"
-BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0                　"
+DASHES_LIKE_CHOON = "\u2015\u2014\u2500\u3161\uff0d\u2012\u2013\u2212"
+APOSTROPHES = "\u2019\u2018\u02bc\u2032\uff07\u02b9\u00b4`\u02bb\u02bd\u02c8\u201b"
+BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Characters without a picture of their own (as a regex class): format characters, joiners, variation selectors, fillers.
-INVISIBLE = r"\xad͏؜ᅟᅠ឴឵᠋-᠏​-‏‪-‮⁠-⁯ㅤ︀-️﻿ﾠ￰-￻\U000e0000-\U000e0fff"
+INVISIBLE = r"\xad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b-\u180f\u200b-\u200f\u202a-\u202e\u2060-\u206f\u3164\ufe00-\ufe0f\ufeff\uffa0\ufff0-\ufffb\U000e0000-\U000e0fff"
 
 _INVISIBLE = re.compile(rf"[{INVISIBLE}]+")
 _BLANKS = str.maketrans(dict.fromkeys(BLANKS, " "))
