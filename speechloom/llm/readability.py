@@ -11,156 +11,234 @@ Words are runs of letters in English and character pairs in Japanese. Sentences
 what runs on for more than LONGEST words without one, or ends without one, is unpunctuated and not measured, and a
 document without a measured sentence takes the corpus mean.
 
-The list holds words of at least MIN_SHARE of the easy documents, so it has at most (distinct words of a document) /
-MIN_SHARE entries whatever the corpus size; that bound is checked before it is sent to the executors.
+Texts are cut in Arrow batches: cutting with built-in regex functions took nine times the CPU. The frequency pass counts
+inside each task and shuffles one row per word and task; the scoring pass shuffles nothing. The list holds words of at
+least MIN_SHARE of the easy documents, so it has at most (distinct words of a document) / MIN_SHARE entries whatever the
+corpus size; that bound is checked before it is sent to the executors.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import re
+from collections import Counter
+from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Rated documents the weights are fitted on, by lowest hash of doc_id.
 MAX_RATED = 20_000
 MIN_SHARE = 0.001
 MAX_LIST = 400_000
+#: Words a task counts before it passes the counts on.
+MAX_COUNTED = 400_000
 #: Longest measured sentence: words (English), characters (Japanese).
 LONGEST = {False: 100, True: 200}
 DEMANDING = 3.5
 MIN_WORDS, MIN_CHARS = 40, 100
+#: Rated documents need so many words to be fitted on.
+MIN_RATED_WORDS = 20
 #: Strength of the fixed weights, in rated documents.
 PRIOR = 4.0
 #: First guess by word length or kanji share, and the formula's weights: intercept, slope(s); by whether Japanese.
 GUESS = {False: (-0.7, 0.7), True: (1.0, 4.2)}
 WEIGHTS = {False: (1.4, 2.2, 0.05), True: (1.4, 2.2, 0.02)}
+SCALE = {False: (1.0, 1.0, 0.05), True: (1.0, 1.0, 0.02)}
+#: Spread of levels that any class of ratings has at least.
+MIN_SPREAD = 0.2
+ABBREVIATIONS = frozenset("cf fig figs approx etc vs e.g i.e dr mr mrs prof no al eq sec vol p pp s".split())
 
-_ABBREVIATION = r"(?i)\b(?:cf|figs?|approx|etc|vs|e\.g|i\.e|dr|mrs?|prof|no|al|eq|sec|vol|pp?)\."
-_JA = r"[\x{3041}-\x{30ff}\x{4e00}-\x{9fff}]"
-
-
-def profiles(documents: DataFrame) -> DataFrame:
-    """Per document with text: doc_id, ja, size (words or characters), words, guess_at (mean word length or kanji
-    share), sentence (average measured sentence length, null if none), of any length."""
-    text = F.col("text")
-    marks = F.length(F.regexp_replace(text, rf"[^{_JA[1:]}", ""))
-    solid = F.length(F.regexp_replace(text, r"(?U)\s+", ""))
-    rows = documents.filter("doc_id is not null and text is not null").select("doc_id", "text", ((marks * 2 > solid) & (solid > 0)).alias("ja"))
-    plain = F.regexp_replace(text, r"<[^<>]*>|&\w{2,8};|(?m)^\s*(?:[A-Z]:|[-*|]) ", " ")
-    words = F.when(F.col("ja"), F.regexp_extract_all(F.regexp_replace(text, r"(?U)\s+", ""), F.lit(rf"(?=({_JA}{{2}}))"), F.lit(1))).otherwise(
-        F.regexp_extract_all(F.lower(plain), F.lit(r"[a-z]+(?:['\-][a-z]+)*"), F.lit(0)))
-    letters = F.length(F.regexp_replace(F.lower(plain), r"[^a-z'\-]+", ""))
-    kanji = F.length(F.regexp_replace(text, r"[^\x{4e00}-\x{9fff}]+", ""))
-    # Sentences: pieces that end in a stop.
-    en_cut = F.split(F.regexp_replace(F.regexp_replace(plain, _ABBREVIATION, "x"), r"""[.!?]+["'”)\]]*(?=\s|$)""", "\u0001"), "\u0001")
-    ja_cut = F.split(F.regexp_replace(F.regexp_replace(text, r"(?U)\s+", ""), r"[\x{3002}\x{ff01}\x{ff1f}\x{ff0e}.!?]+", "\u0001"), "\u0001")
-    en_size = lambda s: F.size(F.split(F.trim(F.regexp_replace(s, r"\s+", " ")), " "))
-    ended = lambda a: F.filter(F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0))), lambda s: F.trim(s) != "")
-    lengths = F.when(F.col("ja"), F.filter(F.transform(ended(ja_cut), F.length), lambda n: n <= LONGEST[True])).otherwise(F.filter(F.transform(ended(en_cut), en_size), lambda n: n <= LONGEST[False]))
-    rows = rows.select("doc_id", "ja", words.alias("words"), F.when(F.col("ja"), F.length(text)).otherwise(F.size(F.split(F.trim(F.regexp_replace(text, r"(?U)\s+", " ")), " "))).alias("size"),
-                       F.when(F.col("ja"), kanji).otherwise(letters).alias("_of"), marks.alias("_marks"), lengths.alias("_lengths"))
-    return rows.select(
-        "doc_id", "ja", "size", "words", F.try_divide(F.col("_of"), F.when(F.col("ja"), F.col("_marks")).otherwise(F.size("words"))).alias("guess_at"),
-        F.expr("try_divide(aggregate(_lengths, 0L, (x, n) -> x + n), size(_lengths))").alias("sentence"),
-    )
+_JA = re.compile("[ぁ-ヿ一-鿿]+")
+_KANJI = re.compile("[一-鿿]+")
+_LAYOUT = re.compile(r"<[^<>]*>|&\w{2,8};|^\s*(?:[A-Z]:|[-*|]) ", re.M)
+_WORD = re.compile(r"[a-z]+(?:['\-][a-z]+)*")
+_END = re.compile(r"[.!?]+[\"'”)\]]*(?=\s|$)")
+_JA_END = re.compile("[。！？．.!?]+")
+
+
+@dataclass
+class Profile:
+    ja: bool
+    size: int
+    words: list[str]
+    guess_at: float | None
+    sentence: float | None
+
+
+def profile(text: str) -> Profile:
+    """Language, size, words, mean word length or kanji share, and average measured sentence length of a text."""
+    if not text.isascii():
+        solid = "".join(text.split())
+        runs = _JA.findall(solid)
+        marks = sum(map(len, runs))
+        if marks * 2 > len(solid):
+            words = [r[i : i + 2] for r in runs for i in range(len(r) - 1)]
+            lengths = [n for s in _JA_END.split(solid)[:-1] if 0 < (n := len(s)) <= LONGEST[True]]
+            return Profile(True, len(text), words, sum(map(len, _KANJI.findall(solid))) / marks, sum(lengths) / len(lengths) if lengths else None)
+    plain = _LAYOUT.sub(" ", text)
+    words = _WORD.findall(plain.lower())
+    total, n, at = 0, 0, 0
+    for m in _END.finditer(plain):
+        word = plain[plain.rfind(" ", 0, m.start()) + 1 : m.start()].lower().lstrip("(\"'[\n")
+        if word in ABBREVIATIONS:
+            continue
+        if 0 < (k := len(plain[at : m.start()].split())) <= LONGEST[False]:
+            total, n = total + k, n + 1
+        at = m.end()
+    return Profile(False, len(text.split()), words, sum(map(len, words)) / len(words) if words else None, total / n if n else None)
 
 
 def fit(x: np.ndarray, y: np.ndarray, prior: tuple[float, ...], scale: tuple[float, ...], strength: float = PRIOR) -> tuple[float, ...]:
-    """Ridge regression of y on (1, x) towards prior; scale: typical size of each column. Without rows: prior."""
-    a = np.column_stack([np.ones(len(y)), x.reshape(len(y), -1)]) if len(y) else np.empty((0, len(prior)))
+    """Ridge regression of y on (1, x) towards prior; scale: typical size of each weight. Without rows: prior."""
     s, p = np.array(scale), np.array(prior)
-    a = a * s
-    w = np.linalg.solve(a.T @ a + strength * np.eye(len(p)), a.T @ (y - a @ (p / s)) if len(y) else np.zeros(len(p)))
+    a = np.column_stack([np.ones(len(y)), x.reshape(len(y), len(prior) - 1)]) * s
+    w = np.linalg.solve(a.T @ a + strength * np.eye(len(p)), a.T @ (y - a @ (p / s)))
     return tuple(float(v) for v in (w + p / s) * s)
 
 
 @dataclass
 class Model:
-    """Weights, mean measured sentence and the least level that counts as demanding, by whether Japanese; the
-    high-frequency list."""
-
-    weights: dict[bool, tuple[float, ...]]
-    sentence: dict[bool, float]
-    cut: dict[bool, float]
-    familiar: DataFrame
-
-    def level(self) -> Column:
-        per = lambda f: F.when(F.col("ja"), f(True)).otherwise(f(False))
-        sentence = F.coalesce(F.col("sentence"), per(lambda j: F.lit(self.sentence[j])))
-        return per(lambda j: F.lit(self.weights[j][0]) + F.lit(self.weights[j][1]) * F.col("unfamiliar") + F.lit(self.weights[j][2]) * sentence)
-
-
-def _unfamiliar(profile: DataFrame, familiar: DataFrame) -> DataFrame:
-    """profile with unfamiliar, the share of words outside the list (0 without words), in place of words.
-
-    Words are counted by document before anything moves; the list has a checked bound."""
-    words = profile.select("doc_id", "ja", "size", "sentence", F.explode_outer("words").alias("word"))
-    known = words.join(F.broadcast(familiar.withColumn("_known", F.lit(1))), ["ja", "word"], "left")
-    return known.groupBy("doc_id", "ja", "size", "sentence").agg(F.coalesce(F.try_divide(F.count_if(F.col("word").isNotNull() & F.col("_known").isNull()), F.count("word")), F.lit(0.0)).alias("unfamiliar"))
+    """Weights, mean measured sentence, least level that counts as demanding and high-frequency list, by whether
+    Japanese."""
+
+    guess: dict[bool, tuple[float, ...]] = field(default_factory=lambda: dict(GUESS))
+    weights: dict[bool, tuple[float, ...]] = field(default_factory=lambda: dict(WEIGHTS))
+    sentence: dict[bool, float] = field(default_factory=lambda: {False: 15.0, True: 30.0})
+    cut: dict[bool, float] = field(default_factory=lambda: {False: DEMANDING, True: DEMANDING})
+    familiar: dict[bool, frozenset[str]] = field(default_factory=lambda: {False: frozenset(), True: frozenset()})
+
+    def looks_hard(self, p: Profile) -> bool:
+        return p.guess_at is not None and self.guess[p.ja][0] + self.guess[p.ja][1] * p.guess_at >= DEMANDING
+
+    def features(self, p: Profile) -> tuple[float, float]:
+        known = self.familiar[p.ja]
+        return (sum(w not in known for w in p.words) / len(p.words) if p.words else 0.0), (self.sentence[p.ja] if p.sentence is None else p.sentence)
+
+    def level(self, p: Profile) -> tuple[float, float]:
+        """(share of unfamiliar words, level)."""
+        unfamiliar, sentence = self.features(p)
+        a, b, c = self.weights[p.ja]
+        return unfamiliar, a + b * unfamiliar + c * sentence
+
+
+def _frequencies(documents: DataFrame, model: Model) -> DataFrame:
+    """ja, word, in_hard, in_easy, sentences, measured over all documents; the row of word null counts the documents
+    themselves and sums their average sentences."""
+    shared = documents.sparkSession.sparkContext.broadcast(model)
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        m = shared.value
+        counts: dict[tuple[bool, bool], Counter] = {(j, h): Counter() for j in (False, True) for h in (False, True)}
+        measured = {False: [0.0, 0], True: [0.0, 0]}
+
+        def out() -> pd.DataFrame:
+            rows = [(j, w, n * h, n * (not h), 0.0, 0) for (j, h), c in counts.items() for w, n in c.items()]
+            rows += [(j, None, 0, 0, *measured[j]) for j in measured]
+            for c in counts.values():
+                c.clear()
+            for j in measured:
+                measured[j] = [0.0, 0]
+            return pd.DataFrame(rows, columns=["ja", "word", "in_hard", "in_easy", "sentences", "measured"])
+
+        for df in it:
+            for t in df["text"]:
+                p = profile(t)
+                if not p.words:
+                    continue
+                c = counts[p.ja, m.looks_hard(p)]
+                c.update(set(p.words))
+                c[None] += 1
+                if p.sentence is not None:
+                    measured[p.ja][0] += p.sentence
+                    measured[p.ja][1] += 1
+            if sum(map(len, counts.values())) > MAX_COUNTED:
+                yield out()
+        yield out()
+
+    parts = documents.filter("text is not null").select("text").mapInPandas(run, "ja boolean, word string, in_hard bigint, in_easy bigint, sentences double, measured bigint")
+    return parts.groupBy("ja", "word").agg(*[F.sum(c).alias(c) for c in ("in_hard", "in_easy", "sentences", "measured")])
 
 
 def train(documents: DataFrame, levels: DataFrame, max_rated: int = MAX_RATED) -> Model:
     """Fit the list and the weights. documents: doc_id, text; levels: doc_id, reading_level (nulls are left out;
     several raters of a document are averaged)."""
-    spark = documents.sparkSession
+    spark, model = documents.sparkSession, Model()
     rated = levels.filter("doc_id is not null and reading_level is not null").groupBy("doc_id").agg(F.avg("reading_level").alias("level")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rated)
     rated = spark.createDataFrame([tuple(r) for r in rated.collect()], "doc_id bigint, level double")  # at most max_rated rows
-    sample = documents.select("doc_id", "text").join(F.broadcast(rated), "doc_id")
-    known = profiles(sample).join(F.broadcast(rated), "doc_id").filter("size(words) >= 20")
-    first = known.select("ja", "guess_at", "level").collect()
-    pick = lambda rows, j, names: np.array([[r[n] for n in names] for r in rows if r["ja"] == j and all(r[n] is not None for n in names)], float).reshape(-1, len(names))
-    guess = {}
-    for j in (False, True):
-        z = pick(first, j, ("guess_at", "level"))
-        guess[j] = fit(z[:, 0], z[:, 1], GUESS[j], (1.0, 1.0 if not j else 4.0))
-    # Document frequencies of all words over all documents, apart for easy and demanding ones.
-    said = F.when(F.col("ja"), guess[True][0] + guess[True][1] * F.col("guess_at")).otherwise(guess[False][0] + guess[False][1] * F.col("guess_at"))
-    every = profiles(documents).filter("size(words) > 0").select("ja", "sentence", (said >= DEMANDING).alias("hard"), F.array_distinct("words").alias("words"))
-    # One more word, null, counts the documents themselves.
-    frequency = every.select("ja", "hard", "sentence", F.explode(F.concat(F.array(F.lit(None).cast("string")), "words")).alias("word")).groupBy("ja", "word").agg(
-        F.count_if(F.col("hard")).alias("in_hard"), F.count_if(~F.col("hard")).alias("in_easy"), F.avg(F.when(F.col("word").isNull(), F.col("sentence"))).alias("mean"))
-    frequency = frequency.filter(F.col("word").isNull() | (F.col("in_easy") >= 2))
-    totals = {}
-    listed = frequency.persist()
+
+    def measured(it: Iterator[pd.DataFrame], known: Model | None) -> Iterator[pd.DataFrame]:
+        for df in it:
+            rows = []
+            for t, level in zip(df["text"], df["level"]):
+                p = profile(t)
+                if len(p.words) >= MIN_RATED_WORDS:
+                    rows.append((p.ja, p.guess_at, *(known.features(p) if known else (0.0, 0.0)), level))
+            yield pd.DataFrame(rows, columns=["ja", "guess_at", "unfamiliar", "sentence", "level"])
+
+    sample = documents.filter("text is not null").select("doc_id", "text").join(F.broadcast(rated), "doc_id").select("text", "level")
+
+    def collect(known: Model | None) -> dict[bool, np.ndarray]:
+        rows = sample.mapInPandas(lambda it: measured(it, known), "ja boolean, guess_at double, unfamiliar double, sentence double, level double").collect()
+        return {j: np.array([tuple(r)[1:] for r in rows if r["ja"] == j], float).reshape(-1, 4) for j in (False, True)}
+
+    for j, z in collect(None).items():
+        model.guess[j] = fit(z[:, 0], z[:, 3], GUESS[j], (1.0, 4.0 if j else 1.0))
+    frequency = _frequencies(documents, model).persist()
     try:
-        for r in listed.filter("word is null").collect():
-            totals[r["ja"]] = (max(1, r["in_hard"]), max(1, r["in_easy"]), r["mean"])
-        of = lambda i: F.when(F.col("ja"), F.lit(totals.get(True, (1, 1, None))[i])).otherwise(F.lit(totals.get(False, (1, 1, None))[i]))
-        kept = listed.filter("word is not null").filter((F.col("in_easy") >= MIN_SHARE * of(1)) & (F.col("in_easy") / of(1) >= F.col("in_hard") / of(0)))
-        rows = kept.select("ja", "word").limit(MAX_LIST + 1).collect()
+        totals = {r["ja"]: r for r in frequency.filter("word is null").collect()}
+        of = lambda c: F.when(F.col("ja"), F.lit(max(1, totals[True][c]) if True in totals else 1)).otherwise(F.lit(max(1, totals[False][c]) if False in totals else 1))
+        listed = frequency.filter("word is not null and in_easy >= 2").filter((F.col("in_easy") >= MIN_SHARE * of("in_easy")) & (F.col("in_easy") / of("in_easy") >= F.col("in_hard") / of("in_hard")))
+        words = listed.select("ja", "word").limit(MAX_LIST + 1).collect()
     finally:
-        listed.unpersist()
-    if len(rows) > MAX_LIST:
+        frequency.unpersist()
+    if len(words) > MAX_LIST:
         raise ValueError("the high-frequency list is longer than its bound")
-    familiar = spark.createDataFrame([tuple(r) for r in rows], "ja boolean, word string")
-    sentence = {j: float(totals.get(j, (1, 1, None))[2] or (15.0 if not j else 25.0)) for j in (False, True)}
-    seen = _unfamiliar(known.drop("level"), familiar).join(F.broadcast(rated), "doc_id").select("ja", "unfamiliar", "sentence", "level").collect()
-    weights, cut = {}, {}
     for j in (False, True):
-        z = np.array([[r["unfamiliar"], r["sentence"] if r["sentence"] is not None else sentence[j], r["level"]] for r in seen if r["ja"] == j], float).reshape(-1, 3)
-        weights[j] = fit(z[:, :2], z[:, 2], WEIGHTS[j], (1.0, 1.0, 0.05 if not j else 0.02))
-        # A fitted line flattens the ends: the cut lies midway between what documents rated about 3 and about 4 get.
-        said_, w = np.column_stack([np.ones(len(z)), z[:, :2]]) @ np.array(weights[j]), z[:, 2]
-        middle = lambda lo: (said_[(w >= lo - 0.5) & (w < lo + 0.5)].sum() + PRIOR * lo) / (((w >= lo - 0.5) & (w < lo + 0.5)).sum() + PRIOR)  # noqa: B023, E731
-        cut[j] = float(middle(3) + middle(4)) / 2
-    return Model(weights, sentence, cut, familiar)
+        model.familiar[j] = frozenset(r["word"] for r in words if r["ja"] == j)
+        if j in totals and totals[j]["measured"]:
+            model.sentence[j] = totals[j]["sentences"] / totals[j]["measured"]
+    for j, z in collect(model).items():
+        model.weights[j] = fit(z[:, 1:3], z[:, 3], WEIGHTS[j], SCALE[j])
+        # A fitted line flattens the ends: the cut lies between what documents rated about 3 and about 4 get (medians, as
+        # raters err), nearer to the one with the smaller spread. PRIOR documents of the nominal level keep it steady.
+        said, w = np.column_stack([np.ones(len(z)), z[:, 1:3]]) @ np.array(model.weights[j]), z[:, 3]
+        near = [np.concatenate([said[(w >= lo - 0.5) & (w < lo + 0.5)], np.full(int(PRIOR), lo)]) for lo in (3.0, 4.0)]
+        middle = [float(np.median(x)) for x in near]
+        spread = [float(np.median(np.abs(x - m))) + MIN_SPREAD for x, m in zip(near, middle)]
+        model.cut[j] = middle[0] + (middle[1] - middle[0]) * spread[0] / sum(spread)
+    return model
 
 
 def reading_levels(documents: DataFrame, levels: DataFrame) -> DataFrame:
-    """doc_id, ja, size, unfamiliar, sentence, level, demanding (level 4 or 5) of every document with text.
+    """doc_id, ja, size (characters if ja, else words at white space), unfamiliar, sentence (null: none measured),
+    level, demanding (level 4 or 5) of every document with text.
 
-    Null texts are left out; empty texts have size 1 (one empty piece) and the level of no unfamiliar word. doc_id is
-    taken to be unique; further columns are ignored. Empty tables: empty result.
+    Null texts are left out; empty texts have size 0 and the level of no unfamiliar word. Repeated doc_ids are levelled
+    one by one; further columns are ignored. Empty tables: empty result.
     """
     documents = documents.select("doc_id", "text")
     model = train(documents, levels)
-    leveled = _unfamiliar(profiles(documents), model.familiar).withColumn("level", model.level())
-    return leveled.withColumn("demanding", F.col("level") >= F.when(F.col("ja"), model.cut[True]).otherwise(model.cut[False]))
+    shared = documents.sparkSession.sparkContext.broadcast(model)
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        m = shared.value
+        for df in it:
+            rows = []
+            for t in df["text"]:
+                p = profile(t)
+                unfamiliar, level = m.level(p)
+                rows.append((p.ja, p.size, unfamiliar, p.sentence, level, level >= m.cut[p.ja]))
+            out = pd.DataFrame(rows, columns=["ja", "size", "unfamiliar", "sentence", "level", "demanding"])
+            out.insert(0, "doc_id", df["doc_id"].to_numpy())
+            yield out
+
+    return documents.filter("doc_id is not null and text is not null").mapInPandas(run, "doc_id bigint, ja boolean, size int, unfamiliar double, sentence double, level double, demanding boolean")
 
 
 def demanding(documents: DataFrame, levels: DataFrame) -> DataFrame:
     """doc_id of documents of at least MIN_WORDS words or MIN_CHARS characters that read at level 4 or 5."""
     long = F.col("size") >= F.when(F.col("ja"), MIN_CHARS).otherwise(MIN_WORDS)
-    return reading_levels(documents, levels).filter(long & F.col("demanding")).select("doc_id")
+    return reading_levels(documents, levels).filter(long & F.col("demanding")).select("doc_id").distinct()
