@@ -162,7 +162,7 @@ def run_units(words: DataFrame, keys: list[str], order: str, breaks: Column, uni
 def clean_nonoverlap(df: DataFrame, keys: list[str], low: Column, high: Column) -> DataFrame:
     """Intervals clamped to [low, high] and started no earlier than the one before ended: keys, s, e, label; empty ones
     go. low and high are Columns over df, constant per key."""
-    rows = df.select("*", F.greatest("s", low).alias("_s"), F.least("e", high).alias("_e")).filter("_e > _s")
+    rows = df.filter("s is not null and e is not null and not isnan(s) and not isnan(e)").select("*", F.greatest("s", low).alias("_s"), F.least("e", high).alias("_e")).filter("_e > _s")
     cursor = F.max("_e").over(_before(_order(keys, "s", "e", "label")))
     return rows.withColumn("_c", F.greatest("_s", F.coalesce(cursor, F.col("_s")))).filter("_e > _c").select(*keys, F.col("_c").alias("s"), F.col("_e").alias("e"), "label")
 
