@@ -318,6 +318,7 @@ def surface_scripts(spark: SparkSession, d: str) -> DataFrame:
     return _t(spark, d, "lexicon").filter("lang = 'ja'").select("lex_id", T.to_hiragana(f).alias("hiragana"), T.has_kanji(f).alias("kanji"), T.mispronounce(f, rules).alias("heard"))
 
 
+_WS = r"\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 _CHUNK_WORDS = """
 ch AS (SELECT file_id, chunk_no, any_value(words) AS words FROM asr_json GROUP BY 1, 2),
 cw AS (SELECT file_id, chunk_no, unnest(words) AS w FROM ch)"""
@@ -355,7 +356,7 @@ SELECT DISTINCT array_to_string(w, ' ') AS sentence FROM w WHERE len(w) BETWEEN
     "token_normalise": f"""WITH {_CHUNK_WORDS}, w AS (SELECT DISTINCT unnest(words).word AS word FROM asr_json)
 SELECT word, regexp_replace(regexp_replace(lower(trim(word)), '^[^a-z0-9'']+|[^a-z0-9'']+$', '', 'g'), '''+', '''', 'g') AS token, lower(regexp_replace(regexp_replace(word, '^[^\\w]+|[^\\w]+$', '', 'g'), '[^\\w'']', '', 'g')) AS clean,
   regexp_replace(lower(trim(word)), '[^\\w'']', '', 'g') AS compare FROM w WHERE regexp_matches(word, '^[\\x20-\\x7e]+$')""",
-    "lexicon_fillers": f"""WITH {_CHUNK_WORDS}, x AS (SELECT regexp_replace(translate(lower(regexp_replace(w.word, '^[\\s\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+|[\\s\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+$', '', 'g')), '〜～ 　', 'ーー'), '^[\\s.,!?！？。、・「」『』()（）\\[\\]【】]+|[\\s.,!?！？。、・「」『』()（）\\[\\]【】]+$', '', 'g') AS f, w."end" - w.start AS d FROM cw
+    "lexicon_fillers": f"""WITH {_CHUNK_WORDS}, x AS (SELECT regexp_replace(translate(lower(regexp_replace(w.word, '^[{_WS}]+|[{_WS}]+$', '', 'g')), '〜～ 　', 'ーー'), '^[\\s.,!?！？。、・「」『』()（）\\[\\]【】]+|[\\s.,!?！？。、・「」『』()（）\\[\\]【】]+$', '', 'g') AS f, w."end" - w.start AS d FROM cw
   WHERE w.word IS NOT NULL AND NOT isnan(w.start) AND NOT isnan(w."end") AND w."end" > w.start)
 SELECT f AS filler, f IN ({', '.join(f"'{t}'" for t in T.FILLERS_CONSERVATIVE)}) AS conservative, count(*) AS n, avg(d) AS mean_s FROM x WHERE f IN ({', '.join(f"'{t}'" for t in T.FILLERS_PERMISSIVE)}) GROUP BY 1, 2""",
     "subtoken_majority": "SELECT lex_id, 0 AS word_id, CAST(sum(CASE WHEN regexp_matches(c, '[aeiou]') THEN 1 ELSE 0 END) * 2 > count(*) AS INTEGER) AS label FROM (SELECT lex_id, unnest(string_split(form, '')) AS c FROM lexicon WHERE lang = 'en') GROUP BY 1",
