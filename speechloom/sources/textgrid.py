@@ -61,24 +61,23 @@ def intervals_of_text(files: DataFrame, file_id: str = "file_id", text: str = "v
     return files.select(file_id, text).mapInPandas(run, f"file_id string, {COLUMNS}, error string")
 
 
+def _tier_words(block: Column, pattern: str) -> Column:
+    part = lambda g: F.regexp_extract_all(block, F.lit(pattern), F.lit(g))
+    rows = F.transform(F.arrays_zip(part(1).alias("a"), part(2).alias("b"), part(3).alias("c")), lambda x: F.struct(x["a"].cast("double").alias("xmin"), x["b"].cast("double").alias("xmax"), F.lower(F.trim(x["c"])).alias("label")))
+    return F.filter(rows, lambda x: ~x["label"].isin("", "sp", "sil"))
+
+
 def short_words(text: Column, tier: str) -> Column:
     """ARRAY<STRUCT<xmin, xmax, label>> of a tier of a short-form text by built-in functions alone: blank and silence
-    labels left out, labels in lower case. For texts whose labels hold no line break."""
-    lines = F.split(F.regexp_replace(text, "\r", ""), "\n")
-    at = F.array_position(lines, f'"{tier}"').cast("int")
-    count = F.coalesce(F.get(lines, at + 2).try_cast("int"), F.lit(0))
-    row = lambda i: F.struct(F.get(lines, at + 3 + 3 * i).try_cast("double").alias("xmin"), F.get(lines, at + 4 + 3 * i).try_cast("double").alias("xmax"), F.lower(F.trim(F.regexp_replace(F.get(lines, at + 5 + 3 * i), '^"|"$', ""))).alias("label"))
-    every = F.when((at > 0) & (count > 0), F.transform(F.sequence(F.lit(0), count - 1), row))
-    return F.filter(every, lambda x: ~x["label"].isin("", "sp", "sil"))
+    labels left out, labels in lower case. Quotes in labels stay doubled."""
+    block = F.regexp_extract(text, rf'(?s)"IntervalTier"\r?\n"{re.escape(tier)}"\r?\n[^\n]*\n[^\n]*\n[^\n]*\n(.*?)(?:"(?:Interval|Text)Tier"\r?\n"|\z)', 1)
+    return _tier_words(block, r'([\d.eE+-]+)\s+([\d.eE+-]+)\s+"((?:[^"]|"")*)"')
 
 
 def long_words(text: Column, tier: str) -> Column:
-    """short_words for long-form text, by regular expressions."""
+    """short_words for long-form text."""
     block = F.regexp_extract(text, rf'(?s)name = "{re.escape(tier)}"(.*?)(?:\n\s*item \[|\z)', 1)
-    pattern = r'xmin = ([\d.]+)\s+xmax = ([\d.]+)\s+text = "((?:[^"]|"")*)"'
-    part = lambda g: F.regexp_extract_all(block, F.lit(pattern), F.lit(g))
-    rows = F.transform(F.arrays_zip(part(1).alias("a"), part(2).alias("b"), part(3).alias("c")), lambda x: F.struct(x["a"].cast("double").alias("xmin"), x["b"].cast("double").alias("xmax"), F.lower(F.trim(x["c"])).alias("label")))
-    return F.filter(rows, lambda x: ~x["label"].isin("", "sp", "sil"))
+    return _tier_words(block, r'xmin = ([\d.eE+-]+)\s+xmax = ([\d.eE+-]+)\s+text = "((?:[^"]|"")*)"')
 
 
 class _File(InputPartition):
