@@ -207,15 +207,15 @@ def split_by_length(parts: Column, s: Column, e: Column) -> Column:
 
 
 def retokenise(words: DataFrame, keys: list[str], tokenise: Callable[[str], list[str]]) -> DataFrame:
-    """Words re-cut by a tokeniser: keys, idx, sub, word, s, e. Kept whole where the pieces don't join to the word.
-    tokenise runs in Arrow batches on the executors."""
+    """Words re-cut by a tokeniser: keys, idx, sub, word, s, e. Kept whole where the pieces don't join to the word;
+    null words are left out. tokenise runs in Arrow batches on the executors."""
 
     @F.pandas_udf("array<string>")
     def pieces(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in it:
             yield pd.Series([[p for p in tokenise(w) if p.strip()] if w else [] for w in s])
 
-    p = words.withColumn("_p", pieces("word")).withColumn("_p", F.when((F.size("_p") > 1) & (F.concat_ws("", "_p") == F.col("word")), F.col("_p")).otherwise(F.array("word")))
+    p = words.filter("word is not null").withColumn("_p", pieces("word")).withColumn("_p", F.when((F.size("_p") > 1) & (F.concat_ws("", "_p") == F.col("word")), F.col("_p")).otherwise(F.array("word")))
     return p.select(*keys, "idx", F.posexplode(split_by_length(F.col("_p"), F.col("s"), F.col("e"))).alias("sub", "x")).select(*keys, "idx", "sub", "x.*")
 
 
