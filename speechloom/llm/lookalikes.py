@@ -166,20 +166,22 @@ def _lexicon(lexicon: DataFrame) -> list[tuple[int, str]]:
 
 def is_lexicon_alike(words: DataFrame, word: str, lexicon: DataFrame) -> DataFrame:
     """words' rows whose word looks like a form of the lexicon, blanks at its edges aside, but is not equal to it, with
-    lex_id and form. Null and blank words never match. Of forms that look alike the least lex_id holds."""
+    lex_id and form (which take the place of columns of these names). Null and blank words never match. Of forms that
+    look alike the first holds, of equal forms the least lex_id."""
     pairs = _lexicon(lexicon)
     spark = words.sparkSession
     known: dict[str, str] = {}
     for _, f in sorted(pairs):
         known.setdefault(skeleton(f), f)
-    forms = F.broadcast(spark.createDataFrame(pairs, "lex_id int, form string").groupBy("form").agg(F.min("lex_id").alias("lex_id")))
+    forms = F.broadcast(spark.createDataFrame(pairs, "_lex_id int, _form string").groupBy("_form").agg(F.min("_lex_id").alias("_lex_id")))
 
     @F.pandas_udf("string")
     def spelled(s: pd.Series) -> pd.Series:
         return s.map(lambda w: unify_script(w, known).strip(), na_action="ignore")
 
-    odd = words.filter(F.col(word).isNotNull()).join(forms.select(F.col("form").alias("_form")), F.col(word) == F.col("_form"), "left_anti")
-    return odd.withColumn("_plain", spelled(F.col(word))).join(forms, F.col("_plain") == F.col("form")).drop("_plain")
+    odd = words.filter(F.col(word).isNotNull()).join(forms.select(F.col("_form").alias("_exact")), F.col(word) == F.col("_exact"), "left_anti")
+    found = odd.withColumn("_plain", spelled(F.col(word))).join(forms, F.col("_plain") == F.col("_form"))
+    return found.select(*[c for c in words.columns if c not in ("lex_id", "form")], F.col("_lex_id").alias("lex_id"), F.col("_form").alias("form"))
 
 
 def differs_from_plain(lexicon: DataFrame) -> "callable":

@@ -42,7 +42,8 @@ def nearest_in_time(left: DataFrame, right: DataFrame, entity: str, tolerance: i
 
     left: entity, t BIGINT and any further columns (which name the row; exact repeats count once; no name may begin with
     '_'). right: entity, ts ARRAY<STRUCT<t BIGINT, ref BIGINT>>, points packed by row. Returns the left columns,
-    distance and ref, for the left rows that have a point within tolerance. Ties go to the smallest ref.
+    distance and ref, for the left rows that have a point within tolerance; left columns of these two names are left
+    out of the result. Ties go to the smallest ref.
     Null entity or t, null arrays and null points: never matched, left out. Empty tables give an empty result.
     """
     spark = left.sparkSession
@@ -56,7 +57,7 @@ def nearest_in_time(left: DataFrame, right: DataFrame, entity: str, tolerance: i
         .withColumn("_d", F.lit(None).cast("bigint")).withColumn("_ref", F.lit(None).cast("bigint"))
     )
     packed = right.filter(F.col(entity).isNotNull()).select(entity, F.filter("ts", lambda p: p["t"].isNotNull() & p["ref"].isNotNull()).alias("ts")).filter(F.size("ts") > 0)
-    cells = F.array_distinct(F.flatten(F.transform("ts", lambda p: F.array(_bucket(p["t"] - tolerance, block), _bucket(p["t"] + tolerance, block)))))
+    cells = F.array_distinct(F.flatten(F.transform("ts", lambda p: F.sequence(_bucket(p["t"] - tolerance, block), _bucket(p["t"] + tolerance, block)))))
     lies_in = lambda p: (p["t"] >= F.col("_block") * block - tolerance) & (p["t"] < (F.col("_block") + 1) * block + tolerance)
     points = (
         packed.withColumn("_block", F.explode(cells)).withColumn("ts", F.filter("ts", lies_in))
@@ -80,7 +81,7 @@ def nearest_in_time(left: DataFrame, right: DataFrame, entity: str, tolerance: i
         if w >= tolerance:
             break
         ring *= 2
-    return todo.filter("_d is not null").select(*names, F.col("_d").alias("distance"), F.col("_ref").alias("ref"))
+    return todo.filter("_d is not null").select(*[c for c in names if c not in ("distance", "ref")], F.col("_d").alias("distance"), F.col("_ref").alias("ref"))
 
 
 def word_points(asr: DataFrame) -> DataFrame:
