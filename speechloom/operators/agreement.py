@@ -41,10 +41,11 @@ def distributed_ranks(df: DataFrame, column: str, by: list[str]) -> DataFrame:
 
     Values are counted first (hot ones collapse on the map side), the counts are summed along the values inside blocks
     found by approximate quantiles of the group, and only block totals are summed over a group."""
+    if not by:
+        return distributed_ranks(df.withColumn("_all", F.lit(0)), column, ["_all"]).drop("_all")
     counts = df.groupBy(*by, column).agg(F.count(F.lit(1)).alias("_n"))
     cuts = counts.groupBy(*by).agg(F.percentile_approx(column, [i / 64 for i in range(1, 64)], 1000).alias("_cuts"))
-    placed = counts.join(cuts, by) if by else counts.crossJoin(F.broadcast(cuts))  # one row of cuts
-    placed = placed.withColumn("_k", F.size(F.filter("_cuts", lambda c: c < F.col(column)))).drop("_cuts")
+    placed = counts.join(cuts, by).withColumn("_k", F.size(F.filter("_cuts", lambda c: c < F.col(column)))).drop("_cuts")
     before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
     inside = placed.withColumn("_in", F.coalesce(F.sum("_n").over(before(Window.partitionBy(*by, "_k").orderBy(column))), F.lit(0)))
     totals = placed.groupBy(*by, "_k").agg(F.sum("_n").alias("_t")).withColumn("_base", F.coalesce(F.sum("_t").over(before(Window.partitionBy(*by).orderBy("_k"))), F.lit(0))).drop("_t")
@@ -52,18 +53,24 @@ def distributed_ranks(df: DataFrame, column: str, by: list[str]) -> DataFrame:
     return df.join(ranks, [*by, column])
 
 
-def spearman(df: DataFrame, by: list[str]) -> DataFrame:
-    """by, n, spearman_rho: the correlation of average ranks."""
-    ranked = df.filter("a is not null and b is not null").select(*by, average_rank("a", by).alias("a"), average_rank("b", by).alias("b"))
+def spearman(df: DataFrame, by: list[str], small: bool = False) -> DataFrame:
+    """by, n, spearman_rho: the correlation of average ranks. small: groups are known to fit a task (one row per file,
+    say), so that ranks may be made by ordering each group in one."""
+    df = df.filter("a is not null and b is not null").select(*by, "a", "b")
+    if small:
+        ranked = df.select(*by, average_rank("a", by).alias("a"), average_rank("b", by).alias("b"))
+    else:
+        ranked = distributed_ranks(distributed_ranks(df, "a", by), "b", by).select(*by, F.col("rank_a").alias("a"), F.col("rank_b").alias("b"))
     return pearson(ranked, by).select(*by, "n", F.col("pearson_r").alias("spearman_rho"))
 
 
 def icc_2_1(df: DataFrame, by: list[str]) -> DataFrame:
     """by, n, icc_2_1: two-way random effects, absolute agreement, single of two raters. 1 where the denominator
     vanishes; null for fewer than two rows. Values are centred on the group's means of a first, against cancellation."""
+    if not by:
+        return icc_2_1(df.withColumn("_all", F.lit(0)), ["_all"]).drop("_all")
     df = df.filter("a is not null and b is not null")
-    centre = df.groupBy(*by).agg(F.avg("a").alias("_c"))
-    c = df.join(F.broadcast(centre) if not by else centre, by) if by else df.crossJoin(F.broadcast(centre))  # one row
+    c = df.join(df.groupBy(*by).agg(F.avg("a").alias("_c")), by)
     x, y = F.col("a") - F.col("_c"), F.col("b") - F.col("_c")
     s = _by(c, by, F.count(F.lit(1)).alias("n"), F.avg(x).alias("ca"), F.avg(y).alias("cb"), F.sum(x * x + y * y).alias("ss"), F.sum((x + y) * (x + y) / 4).alias("srr"))
     gm = (F.col("ca") + F.col("cb")) / 2
@@ -114,7 +121,7 @@ def macro(df: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
 
 def roc_auc(df: DataFrame, by: list[str], score: str, positive: Column) -> DataFrame:
     """by, n_pos, n_neg, auc by average ranks; null where a class is missing."""
-    ranked = df.filter(F.col(score).isNotNull()).withColumn("_r", average_rank(score, by)).withColumn("_p", positive)
+    ranked = distributed_ranks(df.filter(F.col(score).isNotNull()).select(*by, F.col(score), positive.alias("_p")), score, by).withColumnRenamed(f"rank_{score}", "_r")
     s = _by(ranked, by, F.count_if("_p").alias("n_pos"), F.count_if(~F.col("_p")).alias("n_neg"), F.sum(F.when(F.col("_p"), F.col("_r"))).alias("_s"))
     n = F.col("n_pos").cast("double")
     return s.select(*by, "n_pos", "n_neg", F.try_divide(F.col("_s") - n * (n + 1) / 2, n * F.col("n_neg")).alias("auc"))
@@ -181,12 +188,12 @@ def correlations(pairs: DataFrame, measures: tuple[str, ...], subset: Column, tr
     long = pairs.select(subset.alias("subset"), F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(f"{m}_auto").alias("a"), F.col(f"{m}_manual").alias("b")) for m in measures])).alias("x")).select("subset", "x.*")
     by = ["subset", "measure"]
     long = with_overall(long, "subset")
-    out = pearson(long, by).join(spearman(long, by).drop("n"), by).join(icc_2_1(long, by).drop("n"), by)
+    out = pearson(long, by).join(spearman(long, by, small=True).drop("n"), by).join(icc_2_1(long, by).drop("n"), by)
     return out.select(F.lit(track).alias("track"), *by, "n", F.col("mean_a").alias("mean_auto"), F.col("mean_b").alias("mean_manual"), "pearson_r", p_value("pearson_r", "n").alias("pearson_p"), "spearman_rho", p_value("spearman_rho", "n").alias("spearman_p"), "icc_2_1", "bias", "mae")
 
 
 def class_weights(df: DataFrame, label: str) -> DataFrame:
     """label, n, weight: rows / (classes x n)."""
     c = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
-    t = c.agg(F.sum("n").alias("_t"), F.count(F.lit(1)).alias("_k"))
-    return c.crossJoin(F.broadcast(t)).select(label, "n", (F.col("_t") / (F.col("_k") * F.greatest("n", F.lit(1)))).alias("weight"))  # one row of totals
+    total, classes = c.agg(F.sum("n")).scalar(), c.agg(F.count(F.lit(1))).scalar()
+    return c.select(label, "n", (total / (classes * F.greatest("n", F.lit(1)))).alias("weight"))

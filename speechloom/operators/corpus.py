@@ -206,8 +206,8 @@ def plain_split(split: Column) -> Column:
 
 def first_third_to_test(df: DataFrame, line: str) -> DataFrame:
     """df (valid lines, numbered from 0) with split: the first third of the lines is test, the rest valid."""
-    n = df.agg(F.count(F.lit(1)).alias("_n"))
-    return df.crossJoin(F.broadcast(n)).withColumn("split", F.when(F.col(line) < F.expr("_n div 3"), "test").otherwise("valid")).drop("_n")  # one row of totals
+    third = df.agg(F.expr("count(1) div 3")).scalar()
+    return df.withColumn("split", F.when(F.col(line) < third, "test").otherwise("valid"))
 
 
 def prefix_in_vocabulary(words: DataFrame, vocabulary: DataFrame, least: int = 2) -> DataFrame:
@@ -229,3 +229,39 @@ def readings(tokens: DataFrame, reading_of: "callable") -> DataFrame:
 
     t = tokens.select("word").distinct().filter(F.col("word").rlike(r"[\x{4e00}-\x{9fff}]") & (F.length("word") >= 2))
     return t.withColumn("reading", read("word")).filter(F.length("reading") >= 3)
+
+
+def keep_files(df: DataFrame, ids: DataFrame | None, empty_keeps_all: bool) -> DataFrame:
+    """df's rows with a file_id in ids. ids None: all rows; empty ids: all rows or none, as empty_keeps_all says."""
+    if ids is None or (empty_keeps_all and ids.isEmpty()):
+        return df
+    return df.join(ids.select("file_id").distinct(), "file_id", "left_semi")
+
+
+def drop_files(df: DataFrame, ids: DataFrame) -> DataFrame:
+    return df.join(ids.select("file_id").distinct(), "file_id", "left_anti")
+
+
+def presence(ids: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
+    """file_id, status: 'ok', or 'no <name>' of the first table that lacks the file."""
+    out, status = ids.select("file_id").distinct(), F.lit("ok")
+    for name, t in tables.items():
+        out = out.join(t.select("file_id").distinct().withColumn(f"_has_{name}", F.lit(True)), "file_id", "left")
+    for name in reversed(tables):
+        status = F.when(F.col(f"_has_{name}").isNull(), f"no {name}").otherwise(status)
+    return out.select("file_id", status.alias("status"))
+
+
+def conversation_of_file(name: Column) -> Column:
+    """Conversation number of 'sw_<n>_<number>' names; null for others."""
+    return F.regexp_extract(name, r"sw_\d+_(\d+)", 1).try_cast("int")
+
+
+def first_examples(df: DataFrame, condition: Column, order: list[str], n: int) -> DataFrame:
+    """The first n rows in order that meet the condition."""
+    return df.filter(condition).orderBy(*order).limit(n)
+
+
+def subtoken_labels(labels: Column, word_ids: Column, ignored: int = -100) -> Column:
+    """Labels of sub-tokens: each takes its word's, special ones (null word) the ignored label."""
+    return F.transform(word_ids, lambda w: F.coalesce(F.get(labels, w), F.lit(ignored)))

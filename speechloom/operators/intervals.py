@@ -18,15 +18,33 @@ def _before(w: Window) -> Window:
     return w.rowsBetween(Window.unboundedPreceding, -1)
 
 
-def merge(df: DataFrame, keys: list[str], gap: float = 0.0) -> DataFrame:
-    """Union of intervals: those that overlap or lie at most gap apart become one. keys, s, e."""
+def _islands(df: DataFrame, keys: list[str], gap: float) -> DataFrame:
     w = _order(keys)
     reach = F.max("e").over(_before(w))
-    df = df.filter("s is not null and e is not null and e > s").select(*keys, "s", "e")
     df = df.withColumn("_new", (reach.isNull() | (F.col("s") > reach + F.lit(gap))).cast("int"))
     return df.withColumn("_g", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).groupBy(*keys, "_g").agg(F.min("s").alias("s"), F.max("e").alias("e")).drop("_g")
 
 
+def merge(df: DataFrame, keys: list[str], gap: float = 0.0, split: float | None = None) -> DataFrame:
+    """Union of intervals: those that overlap or lie at most gap apart become one. keys, s, e.
+
+    split: width of time blocks that are merged on their own first, for keys that may hold a large share of the rows;
+    only what can reach into another block (at most two rows a block) is then ordered along a key."""
+    df = df.filter("s is not null and e is not null and e > s").select(*keys, "s", "e")
+    if split is None:
+        return _islands(df, keys, gap)
+    cell = [*keys, "_k"]
+    k = F.floor(F.col("s") / F.lit(split)).cast("bigint")
+    local = _islands(df.withColumn("_k", k), cell, gap)
+    reach = local.groupBy(*cell).agg(F.max("e").alias("_top")).withColumn("_reach", F.max("_top").over(_before(Window.partitionBy(*keys).orderBy("_k")))).drop("_top")
+    reach = reach.filter(F.col("_reach") + gap >= F.col("_k") * split).withColumnsRenamed({n: f"_r{i}" for i, n in enumerate(cell)})
+    seen = local.join(reach, [F.col(n).eqNullSafe(F.col(f"_r{i}")) for i, n in enumerate(cell)], "left")
+    held = F.coalesce(F.col("s") <= F.col("_reach") + gap, F.lit(False))
+    seen = seen.withColumn("_held", held).withColumn("_chain", F.col("_held") | F.lead("s").over(_order(cell)).isNull())
+    links = seen.filter("_chain").groupBy(*cell, "_held").agg(F.min("s").alias("s"), F.max("e").alias("e"))
+    return seen.filter("not _chain").select(*keys, "s", "e").unionByName(_islands(links.select(*keys, "s", "e"), keys, gap))
+
+
 def merge_last_end(df: DataFrame, keys: list[str], gap: int) -> DataFrame:
     """Runs of intervals at most gap after the one before; a run ends where its last interval ends (not the furthest)."""
     w = _order(keys)

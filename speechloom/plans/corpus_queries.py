@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from speechloom.functions import text as T
 from speechloom.operators import agreement as A
 from speechloom.operators import align as L
+from speechloom.operators import clauses as CL
 from speechloom.operators import corpus as C
 from speechloom.operators import injectors as J
 from speechloom.operators import intervals as I
@@ -60,6 +61,19 @@ def pos_words(spark: SparkSession, d: str) -> DataFrame:
     return x.groupBy("t.tag", "matches").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("t.word").alias("n_words"))
 
 
+def clause_heads(spark: SparkSession, d: str) -> DataFrame:
+    """Clause heads of POS-tagged utterances under a flat parse: the first verb is the root, nouns after it its objects,
+    later verbs its conjuncts with the nouns after them."""
+    u = _utterances(spark, d).filter("pos is not null").dropDuplicates(["conversation_no", "transcript_index"])
+    t = u.select(F.col("conversation_no").cast("string").alias("file_id"), F.col("transcript_index").alias("sent"), F.posexplode(C.tagged_words(F.col("pos"))).alias("i", "t")).select("file_id", "sent", "i", F.col("t.word").alias("text"), F.col("t.tag").alias("tag"))
+    w = Window.partitionBy("file_id", "sent").orderBy("i")
+    verb = F.col("tag").startswith("VB")
+    t = t.withColumn("v", F.last(F.when(verb, F.col("i")), True).over(w)).withColumn("root", F.first(F.when(verb, F.col("i")), True).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    dep = F.when(F.col("i") == F.col("root"), "ROOT").when(verb, "conj").when(F.col("tag").startswith("NN") & F.col("v").isNotNull(), "obj").otherwise("dep")
+    t = t.filter("root is not null").select("file_id", "sent", "i", "text", F.col("text").alias("lemma"), F.when(verb, "VERB").otherwise("X").alias("pos"), "tag", dep.alias("dep"), F.coalesce(F.when(dep == "conj", F.col("root")).when(dep == "obj", F.col("v")), F.col("root")).alias("head_i"))
+    return CL.clause_heads_en(t)
+
+
 def group_counts(spark: SparkSession, d: str) -> DataFrame:
     return C.count_desc(_t(spark, d, "swda_metadata").distinct(), ["from_caller_education", "from_caller_dialect_area"])
 
@@ -96,6 +110,30 @@ def id_setops(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
+def file_presence(spark: SparkSession, d: str) -> DataFrame:
+    """Which recordings have hand-checked tiers and candidates."""
+    return C.presence(_t(spark, d, "asr_json"), {"tiers": _t(spark, d, "intervals"), "candidates": _t(spark, d, "candidates")})
+
+
+def files_kept(spark: SparkSession, d: str) -> DataFrame:
+    """Candidate rows of recordings kept by a list, kept by an empty one, and left by an exclusion."""
+    c, ids = _t(spark, d, "candidates").select("file_id"), _t(spark, d, "intervals").select("file_id")
+    n = lambda df, name: df.groupBy("file_id").agg(F.count(F.lit(1)).alias("n")).withColumn("rule", F.lit(name))
+    return n(C.keep_files(c, ids, False), "listed").unionByName(n(C.keep_files(c, ids.limit(0), True), "empty keeps all")).unionByName(n(C.keep_files(c, ids.limit(0), False), "empty keeps none")).unionByName(n(C.drop_files(c, ids), "excluded"))
+
+
+def conversation_files(spark: SparkSession, d: str) -> DataFrame:
+    """Conversation number in the file names against that of the rows."""
+    u = _utterances(spark, d).select("swda_filename", "conversation_no", C.conversation_of_file(F.col("swda_filename")).alias("in_name"))
+    return u.groupBy((F.col("in_name") == F.col("conversation_no")).alias("agrees")).agg(F.countDistinct("swda_filename").alias("n_files"))
+
+
+def first_questions(spark: SparkSession, d: str) -> DataFrame:
+    """The first fifteen questions in order of conversation and row."""
+    u = _utterances(spark, d).select("conversation_no", "transcript_index", "act_tag").distinct()
+    return C.first_examples(u, F.col("act_tag").startswith("q"), ["conversation_no", "transcript_index"], 15)
+
+
 def dedup_sentences(spark: SparkSession, d: str) -> DataFrame:
     """Distinct sentences of five to thirty words of the English texts."""
     s = _t(spark, d, "documents").filter("lang = 'en'").select(F.explode(F.split("text", r"[.!?]\s+")).alias("s"))
@@ -259,10 +297,9 @@ def spearman(spark: SparkSession, d: str) -> DataFrame:
     return A.spearman(_pairs(spark, d), ["l_returnflag"])
 
 
-def spearman_distributed(spark: SparkSession, d: str) -> DataFrame:
-    """Spearman with ranks made without ordering a group in one task."""
-    r = A.distributed_ranks(A.distributed_ranks(_pairs(spark, d), "a", ["l_returnflag"]), "b", ["l_returnflag"])
-    return A.pearson(r.select("l_returnflag", F.col("rank_a").alias("a"), F.col("rank_b").alias("b")), ["l_returnflag"]).select("l_returnflag", "n", F.col("pearson_r").alias("spearman_rho"))
+def spearman_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Spearman with ranks made by ordering each group in one task."""
+    return A.spearman(_pairs(spark, d), ["l_returnflag"], small=True)
 
 
 def kappa_prf(spark: SparkSession, d: str) -> DataFrame:
@@ -340,6 +377,12 @@ SELECT act_tag, CASE WHEN f IN ('qy^d', 'qw^d', 'b^m') THEN f WHEN f = 'nn^e' TH
     "caller_metadata": """WITH u AS (SELECT DISTINCT conversation_no, transcript_index, caller FROM swda_utterance), m AS (SELECT DISTINCT * FROM swda_metadata)
 SELECT CASE WHEN coalesce(caller, '') LIKE '%B' THEN to_caller_sex ELSE from_caller_sex END AS caller_sex, CASE WHEN coalesce(caller, '') LIKE '%B' THEN to_caller_education ELSE from_caller_education END AS caller_education, count(*) AS n
 FROM u LEFT JOIN m USING (conversation_no) GROUP BY 1, 2""",
+    "clause_heads": f"""WITH u AS (SELECT conversation_no, transcript_index, list_filter(list_transform(string_split_regex(trim(pos), '\\s+'), lambda x: string_split(x, '/')), lambda p: len(p) = 2) AS t FROM {_ONCE} WHERE pos IS NOT NULL),
+t AS (SELECT CAST(conversation_no AS VARCHAR) AS file_id, transcript_index AS sent, CAST(unnest(range(len(t))) AS INTEGER) AS i, unnest(t)[2] AS tag FROM u),
+v AS (SELECT *, tag LIKE 'VB%' AS verb, min(CASE WHEN tag LIKE 'VB%' THEN i END) OVER (PARTITION BY file_id, sent) AS root, max(CASE WHEN tag LIKE 'VB%' THEN i END) OVER (PARTITION BY file_id, sent ORDER BY i) AS v FROM t),
+o AS (SELECT DISTINCT file_id, sent, v FROM v WHERE tag LIKE 'NN%' AND v IS NOT NULL)
+SELECT file_id, sent, i, 'independent' AS clause_type FROM v WHERE i = root UNION ALL SELECT v.file_id, v.sent, v.i, 'coordinated_vp' FROM v JOIN o ON o.file_id = v.file_id AND o.sent = v.sent AND o.v = v.i WHERE v.verb AND v.i <> v.root
+UNION ALL SELECT file_id, sent, i, 'nonfinite_participle' FROM v WHERE false""",
     "group_counts": "SELECT from_caller_education, from_caller_dialect_area, count(*) AS n FROM (SELECT DISTINCT * FROM swda_metadata) GROUP BY 1, 2",
     "topk_words": f"""SELECT word, count(*) AS n FROM (SELECT unnest(string_split_regex(trim(regexp_replace(text, '[+/}}\\[\\]]|\\{{\\w', '', 'g')), '\\s+')) AS word FROM {_ONCE} WHERE text IS NOT NULL) WHERE word <> '' GROUP BY 1 ORDER BY n DESC, word LIMIT 30""",
     "star_metadata": """WITH s AS (SELECT from_caller AS caller, from_caller_sex AS sex, from_caller_birth_year AS birth_year, conversation_no, 'from' AS p FROM swda_metadata UNION ALL SELECT to_caller, to_caller_sex, to_caller_birth_year, conversation_no, 'to' FROM swda_metadata),
@@ -349,6 +392,11 @@ FROM (SELECT DISTINCT conversation_no, from_caller, to_caller, length FROM swda_
     "id_semi_anti": "SELECT file_id, count(*) AS n, file_id IN (SELECT file_id FROM intervals) AS checked FROM candidates GROUP BY 1",
     "id_setops": """SELECT file_id, 'both' AS side FROM (SELECT file_id FROM candidates INTERSECT SELECT file_id FROM asr_json) UNION ALL SELECT file_id, 'candidates' FROM (SELECT file_id FROM candidates EXCEPT SELECT file_id FROM asr_json)
 UNION ALL SELECT file_id, 'asr' FROM (SELECT file_id FROM asr_json EXCEPT SELECT file_id FROM candidates) UNION ALL SELECT file_id, 'either' FROM (SELECT file_id FROM candidates UNION SELECT file_id FROM asr_json)""",
+    "file_presence": "SELECT DISTINCT file_id, CASE WHEN file_id NOT IN (SELECT file_id FROM intervals) THEN 'no tiers' WHEN file_id NOT IN (SELECT file_id FROM candidates) THEN 'no candidates' ELSE 'ok' END AS status FROM asr_json",
+    "files_kept": """SELECT file_id, count(*) AS n, 'listed' AS rule FROM candidates WHERE file_id IN (SELECT file_id FROM intervals) GROUP BY 1 UNION ALL SELECT file_id, count(*), 'empty keeps all' FROM candidates GROUP BY 1
+UNION ALL SELECT file_id, count(*), 'excluded' FROM candidates WHERE file_id NOT IN (SELECT file_id FROM intervals) GROUP BY 1""",
+    "conversation_files": "SELECT try_cast(nullif(regexp_extract(swda_filename, 'sw_[0-9]+_([0-9]+)', 1), '') AS INTEGER) = conversation_no AS agrees, count(DISTINCT swda_filename) AS n_files FROM swda_utterance GROUP BY 1",
+    "first_questions": "SELECT DISTINCT conversation_no, transcript_index, act_tag FROM swda_utterance WHERE act_tag LIKE 'q%' ORDER BY conversation_no, transcript_index LIMIT 15",
     "dedup_sentences": """WITH s AS (SELECT unnest(string_split_regex(text, '[.!?]\\s+')) AS s FROM documents WHERE lang = 'en'), w AS (SELECT string_split_regex(trim(regexp_replace(lower(s), '[^a-z ]+', ' ', 'g'), ' '), ' +') AS w FROM s)
 SELECT DISTINCT array_to_string(w, ' ') AS sentence FROM w WHERE len(w) BETWEEN 5 AND 30""",
     "source_sentences": "SELECT CAST(length(s) AS INTEGER) AS length, count(*) AS n FROM (SELECT DISTINCT s FROM (SELECT unnest(string_split(text, '。')) AS s FROM documents WHERE lang = 'ja') WHERE length(s) BETWEEN 3 AND 80 AND NOT regexp_matches(s, '[A-Za-z]')) GROUP BY 1",
@@ -383,10 +431,10 @@ CASE WHEN contains(form, 'ツ') THEN regexp_replace(form, 'ツ', 'チュ') WHEN
 }
 _SPEARMAN = f"""WITH r AS (SELECT l_returnflag, rank() OVER (PARTITION BY l_returnflag ORDER BY a) + (count(*) OVER (PARTITION BY l_returnflag, a) - 1) / 2 AS a, rank() OVER (PARTITION BY l_returnflag ORDER BY b) + (count(*) OVER (PARTITION BY l_returnflag, b) - 1) / 2 AS b FROM {_PAIRS})
 SELECT l_returnflag, count(*) AS n, corr(a, b) AS spearman_rho FROM r GROUP BY 1"""
-SQL |= {"spearman": _SPEARMAN, "spearman_distributed": _SPEARMAN}
+SQL |= {"spearman": _SPEARMAN, "spearman_windows": _SPEARMAN}
 QUERIES = {f.__name__: f for f in (
-    utterance_concat, markup_labels, split_stats, act_tags, caller_metadata, pos_words, group_counts, topk_words, star_metadata, id_semi_anti, id_setops, dedup_sentences, source_sentences, vocabulary_prefixes,
+    utterance_concat, markup_labels, split_stats, act_tags, caller_metadata, pos_words, clause_heads, group_counts, topk_words, star_metadata, id_semi_anti, id_setops, file_presence, files_kept, conversation_files, first_questions, dedup_sentences, source_sentences, vocabulary_prefixes,
     token_normalise, lexicon_fillers, filler_choice, word_error_rates, boundary_agreement, gold_to_time, greedy_match, timing_percentiles, aligner_map_back, timeline_repair, retokenised, label_derivation, word_errors,
-    injected_en, injected_ja, disfluency_tagging, subtoken_majority, icc_agreement, pearson_bias_mae, spearman, spearman_distributed, kappa_prf, roc_auc, class_weights, sample_documents, split_lines, split_rules, json_props,
+    injected_en, injected_ja, disfluency_tagging, subtoken_majority, icc_agreement, pearson_bias_mae, spearman, spearman_windows, kappa_prf, roc_auc, class_weights, sample_documents, split_lines, split_rules, json_props,
     session_periods, surface_scripts,
 )}

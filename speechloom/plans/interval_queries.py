@@ -13,6 +13,8 @@ from speechloom.sinks import writers as W
 from speechloom.sources import textgrid as TG
 
 K = ["file_id"]
+#: Time blocks merged on their own first: ten minutes.
+BLOCK = 600.0
 
 
 def _intervals(spark: SparkSession, d: str) -> DataFrame:
@@ -48,7 +50,7 @@ def refinement_stats(spark: SparkSession, d: str) -> DataFrame:
 
 
 def interval_merge(spark: SparkSession, d: str) -> DataFrame:
-    return I.merge(_spoken(spark, d), K, 0.03)
+    return I.merge(_spoken(spark, d), K, 0.03, BLOCK)
 
 
 def merge_runs(spark: SparkSession, d: str) -> DataFrame:
@@ -96,7 +98,7 @@ def coalesce_labels(spark: SparkSession, d: str) -> DataFrame:
 def _fillers(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     words = _words(spark, d)
     said = words.filter(T.in_filler_lexicon(F.col("label"), T.FILLERS_PERMISSIVE) | F.lower("label").isin("uh", "um", "er", "hmm"))
-    return I.merge(said, K, 0.05), I.merge(M.predicted_islands(_candidates(spark, d)), K, 0.02)
+    return I.merge(said, K, 0.05, BLOCK), I.merge(M.predicted_islands(_candidates(spark, d)), K, 0.02, BLOCK)
 
 
 def overlap_coverage(spark: SparkSession, d: str) -> DataFrame:

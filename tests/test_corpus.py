@@ -106,3 +106,15 @@ def test_original_words(spark):
     k = spark.createDataFrame([("f", 0, 0), ("f", 1, 3), ("f", 2, 4)], "k string, p int, o int")
     s = spark.createDataFrame([("f", 0, 0, 1), ("f", 1, 2, 2)], "k string, idx int, first int, last int")
     assert rows(CL.to_original_words(k, s, ["k"])) == [("f", 0, 0, 3), ("f", 1, 4, 4)]
+
+
+def test_files_kept(spark):
+    d, ids = spark.createDataFrame([("a",), ("b",)], "file_id string"), spark.createDataFrame([("a",), ("a",)], "file_id string")
+    assert rows(C.keep_files(d, ids, True)) == [("a",)] and C.keep_files(d, None, False).count() == 2
+    assert C.keep_files(d, ids.limit(0), True).count() == 2 and C.keep_files(d, ids.limit(0), False).count() == 0
+    assert rows(C.presence(d, {"x": ids, "y": d.limit(0)})) == [("a", "no y"), ("b", "no x")]
+
+
+def test_small_functions(spark):
+    r = spark.createDataFrame([([1, 0], [None, 0, 0, 1, None], "sw_0001_4325.utt")], "y array<int>, w array<int>, f string").select(C.subtoken_labels(F.col("y"), F.col("w")), C.conversation_of_file(F.col("f")), C.conversation_of_file(F.lit("x"))).first()
+    assert tuple(r) == ([-100, 1, 1, 0, -100], 4325, None)

@@ -24,6 +24,16 @@ def test_merge(spark):
     assert se(I.merge(once, ["k"])) == se(once)
 
 
+def test_merge_in_blocks_is_the_same(spark):
+    rng = random.Random(8)
+    v = [(rng.choice(["a", "b", None]), x := rng.randrange(0, 4000) / 10, x + rng.choice([0.1, 1, 5, 80])) for _ in range(400)]
+    d = spark.createDataFrame(v, S)
+    for gap in (0.0, 0.35, 3.0):
+        want = rows(I.merge(d, ["k"], gap))
+        for split in (0.7, 5.0, 60.0, 1e4):
+            assert rows(I.merge(d, ["k"], gap, split)) == want
+
+
 def test_merge_last_end_keeps_the_last_end(spark):
     d = spark.createDataFrame([("a", 0, 10), ("a", 2, 4), ("a", 5, 6), ("a", 50, 51)], "k string, s bigint, e bigint")
     assert rows(I.merge_last_end(d, ["k"], 3)) == [("a", 0, 6), ("a", 50, 51)]
