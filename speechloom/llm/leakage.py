@@ -12,6 +12,7 @@ shuffled but these matches. Repeated documents are matched one by one.
 
 from __future__ import annotations
 
+import html
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -37,7 +38,6 @@ NUMBERS = frozenset("zero one two three four five six seven eight nine ten eleve
 
 _BLOCK_TAG = re.compile(r"</?(?:p|br|hr|div|li|ul|ol|td|tr|th|table|h[1-6]|blockquote|pre)\b[^<>]*>", re.I)
 _TAG = re.compile(r"</?[A-Za-z!][^<>]*>")
-_ENTITY = re.compile(r"&(?:#\d{1,7}|#x[0-9a-fA-F]{1,6}|[A-Za-z]{2,8});")
 _WORD = re.compile(r"[^\W_]+(?:'[^\W_]+)*")
 _JA = re.compile("[ぁ-ヿ一-鿿]")
 _NOT_READ = re.compile(r"[\W_]+")
@@ -49,7 +49,7 @@ def read_as_seen(text: str) -> str:
     if "<" in text:
         text = _TAG.sub("", _BLOCK_TAG.sub(" ", text))
     if "&" in text:
-        text = _ENTITY.sub(" ", text)
+        text = html.unescape(text)
     return text if text.isascii() else skeleton(text)
 
 

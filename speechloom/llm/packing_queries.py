@@ -18,9 +18,9 @@ def p6_fill(spark: SparkSession, d: str) -> DataFrame:
     docs = spark.read.parquet(f"{d}/documents.parquet")
     each = pack_documents(docs).groupBy("part", "container").agg(F.sum("length").alias("used"))
     made = each.agg(F.sum("used").alias("packed"), F.count(F.lit(1)).alias("n"), F.countDistinct("part").alias("parts"), F.count_if(F.col("used") > CAPACITY).alias("over"))
-    total = docs.select(count_tokens(F.col("text")).alias("size")).agg(F.sum("size").alias("tokens"))
-    least = F.ceil(F.col("tokens") / CAPACITY)
-    return total.crossJoin(F.broadcast(made)).select("tokens", "packed", "over", (F.col("n") <= least * 1.01 + 2 * F.col("parts")).alias("tight"))  # one row by one row
+    tokens = docs.select(count_tokens(F.col("text")).alias("size")).agg(F.sum("size")).scalar()
+    made = made.withColumn("tokens", tokens)
+    return made.select("tokens", "packed", "over", (F.col("n") <= F.ceil(F.col("tokens") / CAPACITY) * 1.01 + 2 * F.col("parts")).alias("tight"))
 
 
 _SPACE = r"\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"

@@ -11,7 +11,7 @@ Words are runs of letters in English and character pairs in Japanese. Sentences
 what runs on for more than LONGEST words without one, or ends without one, is unpunctuated and not measured, and a
 document without a measured sentence takes the corpus mean.
 
-Texts are cut in Arrow batches: cutting with built-in regex functions took nine times the CPU. The frequency pass counts
+Texts are cut in Arrow batches: cutting with built-in regex functions took five times the CPU. The frequency pass counts
 inside each task and shuffles one row per word and task; the scoring pass shuffles nothing. The list holds words of at
 least MIN_SHARE of the easy documents, so it has at most (distinct words of a document) / MIN_SHARE entries whatever the
 corpus size; that bound is checked before it is sent to the executors.
