@@ -127,10 +127,8 @@ class Model:
 def _frequencies(documents: DataFrame, model: Model) -> DataFrame:
     """ja, word, in_hard, in_easy, sentences, measured over all documents; the row of word null counts the documents
     themselves and sums their average sentences."""
-    shared = documents.sparkSession.sparkContext.broadcast(model)
 
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = shared.value
+    def run(it: Iterator[pd.DataFrame], m: Model = model) -> Iterator[pd.DataFrame]:
         counts: dict[tuple[bool, bool], Counter] = {(j, h): Counter() for j in (False, True) for h in (False, True)}
         measured = {False: [0.0, 0], True: [0.0, 0]}
 
@@ -221,10 +219,8 @@ def reading_levels(documents: DataFrame, levels: DataFrame) -> DataFrame:
     """
     documents = documents.select("doc_id", "text")
     model = train(documents, levels)
-    shared = documents.sparkSession.sparkContext.broadcast(model)
 
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = shared.value
+    def run(it: Iterator[pd.DataFrame], m: Model = model) -> Iterator[pd.DataFrame]:
         for df in it:
             rows = []
             for t in df["text"]:
