@@ -195,6 +195,7 @@ def template_matches(documents: DataFrame, items: DataFrame) -> DataFrame:
     spark = documents.sparkSession
     rows = [(r[0], r[1]) for r in small_table(items.select(F.col("item_id").cast("bigint"), "text"), MAX_ITEMS) if r[0] is not None]
     made = Templates(rows)
+
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         finder = Finder(made)
 

@@ -7,9 +7,10 @@ easy and demanding by the length of their words (English) or their share of kanj
 it is frequent among the easy ones and not more so among the others. The weights are fitted to the raters' levels by
 ridge regression towards fixed ones, on at most MAX_RATED rated documents.
 
-Words are runs of letters in English and character pairs in Japanese. Sentences end at stops that aren't abbreviations;
-what runs on for more than LONGEST words without one, or ends without one, is unpunctuated and not measured, and a
-document without a measured sentence takes the corpus mean.
+Words are runs of letters in English and character pairs in Japanese, look-alike characters made plain. Sentences end at
+stops that aren't abbreviations; what runs on for more than LONGEST words without one, or RUN_ON words without any mark,
+or ends without a stop, is unpunctuated and not measured, and a document without a measured sentence takes the corpus
+mean.
 
 Texts are cut in Arrow batches: cutting with built-in regex functions took five times the CPU. The frequency pass counts
 inside each task and shuffles one row per word and task; the scoring pass shuffles nothing. The list holds words of at
@@ -29,6 +30,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from speechloom.llm.lookalikes import plain_text, skeleton
+
 #: Rated documents the weights are fitted on, by lowest hash of doc_id.
 MAX_RATED = 20_000
 MIN_SHARE = 0.001
@@ -37,6 +40,8 @@ MAX_LIST = 400_000
 MAX_COUNTED = 400_000
 #: Longest measured sentence: words (English), characters (Japanese).
 LONGEST = {False: 100, True: 200}
+#: Longest stretch without any punctuation in a measured sentence, likewise.
+RUN_ON = {False: 35, True: 80}
 DEMANDING = 3.5
 MIN_WORDS, MIN_CHARS = 40, 100
 #: Rated documents need so many words to be fitted on.
@@ -57,6 +62,7 @@ _LAYOUT = re.compile(r"<[^<>]*>|&\w{2,8};|^\s*(?:[A-Z]:|[-*|]) ", re.M)
 _WORD = re.compile(r"[a-z]+(?:['\-][a-z]+)*")
 _END = re.compile(r"[.!?]+[\"'”)\]]*(?=\s|$)")
 _JA_END = re.compile("[。！？．.!?]+")
+_MARK = {False: re.compile(r"[,;:()]| [-/–—] "), True: re.compile("[、，,;；:：（）()]")}
 
 
 @dataclass
@@ -68,24 +74,34 @@ class Profile:
     sentence: float | None
 
 
+def _measured(piece: str, ja: bool) -> int:
+    """Length of a sentence, 0 if it is empty or looks unpunctuated."""
+    n = len(piece) if ja else len(piece.split())
+    if n > LONGEST[ja] or n > RUN_ON[ja] and max(len(x) if ja else len(x.split()) for x in _MARK[ja].split(piece)) > RUN_ON[ja]:
+        return 0
+    return n
+
+
 def profile(text: str) -> Profile:
     """Language, size, words, mean word length or kanji share, and average measured sentence length of a text."""
+    plain = text
     if not text.isascii():
-        solid = "".join(text.split())
+        solid = "".join(plain_text(text).split())
         runs = _JA.findall(solid)
         marks = sum(map(len, runs))
         if marks * 2 > len(solid):
             words = [r[i : i + 2] for r in runs for i in range(len(r) - 1)]
-            lengths = [n for s in _JA_END.split(solid)[:-1] if 0 < (n := len(s)) <= LONGEST[True]]
+            lengths = [n for s in _JA_END.split(solid)[:-1] if (n := _measured(s, True))]
             return Profile(True, len(text), words, sum(map(len, _KANJI.findall(solid))) / marks, sum(lengths) / len(lengths) if lengths else None)
-    plain = _LAYOUT.sub(" ", text)
+        plain = skeleton(text)
+    plain = _LAYOUT.sub(" ", plain)
     words = _WORD.findall(plain.lower())
     total, n, at = 0, 0, 0
     for m in _END.finditer(plain):
         word = plain[plain.rfind(" ", 0, m.start()) + 1 : m.start()].lower().lstrip("(\"'[\n")
         if word in ABBREVIATIONS:
             continue
-        if 0 < (k := len(plain[at : m.start()].split())) <= LONGEST[False]:
+        if k := _measured(plain[at : m.start()], False):
             total, n = total + k, n + 1
         at = m.end()
     return Profile(False, len(text.split()), words, sum(map(len, words)) / len(words) if words else None, total / n if n else None)
