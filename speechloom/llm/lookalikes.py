@@ -36,10 +36,13 @@ BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u
 INVISIBLE = r"\xad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b-\u180f\u200b-\u200f\u202a-\u202e\u2060-\u206f\u3164\ufe00-\ufe0f\ufeff\uffa0\ufff0-\ufffb\U000e0000-\U000e0fff"
 
 _INVISIBLE = re.compile(rf"[{INVISIBLE}]+")
+_ODD = re.compile(rf"[{INVISIBLE}{re.escape(APOSTROPHES + BLANKS)}]")
 _BLANKS = str.maketrans(dict.fromkeys(BLANKS, " "))
 _APOSTROPHES = str.maketrans(dict.fromkeys(APOSTROPHES, "'"))
 _SHAPES: dict[str, str] = CYRILLIC_LIKE | GREEK_LIKE | LATIN_OTHER | {v: k for k, v in KANA_HAN.items()} | dict.fromkeys(DASHES_LIKE_CHOON, "ー")
 _SKELETON = str.maketrans(_SHAPES)
+#: What a skeleton may change: letters of a group, and composed letters, whose base may be one.
+_SHAPED = re.compile("[" + "".join(_SHAPES) + "\u00c0-\u024f\u0370-\u03ff\u0400-\u04ff\u1e00-\u1fff\u3041-\u30ff]")
 _SPELLINGS: dict[str, dict[str, str]] = {}
 for _script, _table in (("CYRILLIC", CYRILLIC_LIKE), ("GREEK", GREEK_LIKE)):
     for _o, _l in _table.items():
@@ -52,16 +55,19 @@ _KIND = {**{k: ("KATAKANA", k) for k in KANA_HAN}, **{v: ("HIRAGANA" if v in "
 
 def plain_text(s: str) -> str:
     """Invisible characters gone; compatibility forms, blanks, apostrophes and combining marks plain (NFKC)."""
-    s = _INVISIBLE.sub("", s)
-    if s.isascii():
-        return s.translate(_BLANKS)
-    # Apostrophe-like signs go first: some have a compatibility form with a blank in it.
-    return unicodedata.normalize("NFKC", s.translate(_APOSTROPHES)).translate(_BLANKS)
+    if _ODD.search(s):
+        s = _INVISIBLE.sub("", s)
+        # Apostrophe-like signs go first: some have a compatibility form with a blank in it.
+        s = s.translate(_APOSTROPHES).translate(_BLANKS)
+    return s if s.isascii() or unicodedata.is_normalized("NFKC", s) else unicodedata.normalize("NFKC", s)
 
 
 def skeleton(s: str) -> str:
     """Key that is equal for texts that look alike. Accents count: they are part of the look."""
-    return unicodedata.normalize("NFC", unicodedata.normalize("NFD", plain_text(s)).translate(_SKELETON))
+    s = plain_text(s)
+    if not _SHAPED.search(s):
+        return s
+    return unicodedata.normalize("NFC", unicodedata.normalize("NFD", s).translate(_SKELETON))
 
 
 def script_of(c: str) -> str:

@@ -7,7 +7,7 @@ easy and demanding by the length of their words (English) or their share of kanj
 it is frequent among the easy ones and not more so among the others. The weights are fitted to the raters' levels by
 ridge regression towards fixed ones, on at most MAX_RATED rated documents.
 
-Words are runs of letters in English and character pairs in Japanese, look-alike characters made plain. Sentences end at
+Words are runs of letters, apostrophes and hyphens in English and character pairs in Japanese, look-alike characters made plain. Sentences end at
 stops that aren't abbreviations; what runs on for more than LONGEST words without one, or RUN_ON words without any mark,
 or ends without a stop, is unpunctuated and not measured, and a document without a measured sentence takes the corpus
 mean.
@@ -59,7 +59,9 @@ ABBREVIATIONS = frozenset("cf fig figs approx etc vs e.g i.e dr mr mrs prof no a
 _JA = re.compile("[ぁ-ヿ一-鿿]+")
 _KANJI = re.compile("[一-鿿]+")
 _LAYOUT = re.compile(r"<[^<>]*>|&\w{2,8};|^\s*(?:[A-Z]:|[-*|]) ", re.M)
-_WORD = re.compile(r"[a-z]+(?:['\-][a-z]+)*")
+_WORD = re.compile(r"[a-z'\-]+")
+#: ASCII characters that words are made of; all others become blanks.
+_TO_WORDS = {c: " " for c in range(128) if chr(c) not in "abcdefghijklmnopqrstuvwxyz'-"}
 _END = re.compile(r"[.!?]+[\"'”)\]]*(?=\s|$)")
 _JA_END = re.compile("[。！？．.!?]+")
 _MARK = {False: re.compile(r"[,;:()]| [-/–—] "), True: re.compile("[、，,;；:：（）()]")}
@@ -94,8 +96,10 @@ def profile(text: str) -> Profile:
             lengths = [n for s in _JA_END.split(solid)[:-1] if (n := _measured(s, True))]
             return Profile(True, len(text), words, sum(map(len, _KANJI.findall(solid))) / marks, sum(lengths) / len(lengths) if lengths else None)
         plain = skeleton(text)
-    plain = _LAYOUT.sub(" ", plain)
-    words = _WORD.findall(plain.lower())
+    if "\n" in plain or "<" in plain or "&" in plain or _LAYOUT.match(plain):
+        plain = _LAYOUT.sub(" ", plain)
+    low = plain.lower()
+    words = low.translate(_TO_WORDS).split() if low.isascii() else _WORD.findall(low)
     total, n, at = 0, 0, 0
     for m in _END.finditer(plain):
         word = plain[plain.rfind(" ", 0, m.start()) + 1 : m.start()].lower().lstrip("(\"'[\n")
@@ -104,7 +108,7 @@ def profile(text: str) -> Profile:
         if k := _measured(plain[at : m.start()], False):
             total, n = total + k, n + 1
         at = m.end()
-    return Profile(False, len(text.split()), words, sum(map(len, words)) / len(words) if words else None, total / n if n else None)
+    return Profile(False, len(text.split()), words, len("".join(words)) / len(words) if words else None, total / n if n else None)
 
 
 def fit(x: np.ndarray, y: np.ndarray, prior: tuple[float, ...], scale: tuple[float, ...], strength: float = PRIOR) -> tuple[float, ...]:
@@ -131,7 +135,7 @@ class Model:
 
     def features(self, p: Profile) -> tuple[float, float]:
         known = self.familiar[p.ja]
-        return (sum(w not in known for w in p.words) / len(p.words) if p.words else 0.0), (self.sentence[p.ja] if p.sentence is None else p.sentence)
+        return (1 - sum(map(known.__contains__, p.words)) / len(p.words) if p.words else 0.0), (self.sentence[p.ja] if p.sentence is None else p.sentence)
 
     def level(self, p: Profile) -> tuple[float, float]:
         """(share of unfamiliar words, level)."""
@@ -192,7 +196,7 @@ def train(documents: DataFrame, levels: DataFrame, max_rated: int = MAX_RATED) -
                     rows.append((p.ja, p.guess_at, *(known.features(p) if known else (0.0, 0.0)), level))
             yield pd.DataFrame(rows, columns=["ja", "guess_at", "unfamiliar", "sentence", "level"])
 
-    sample = documents.filter("text is not null").select("doc_id", "text").join(F.broadcast(rated), "doc_id").select("text", "level")
+    sample = documents.filter("text is not null").select("doc_id", "text").join(F.broadcast(rated), "doc_id").select("text", "level").persist()
 
     def collect(known: Model | None) -> dict[bool, np.ndarray]:
         rows = sample.mapInPandas(lambda it: measured(it, known), "ja boolean, guess_at double, unfamiliar double, sentence double, level double").collect()
@@ -223,6 +227,7 @@ def train(documents: DataFrame, levels: DataFrame, max_rated: int = MAX_RATED) -
         middle = [float(np.median(x)) for x in near]
         spread = [float(np.median(np.abs(x - m))) + MIN_SPREAD for x, m in zip(near, middle)]
         model.cut[j] = middle[0] + (middle[1] - middle[0]) * spread[0] / sum(spread)
+    sample.unpersist()
     return model
 
 
