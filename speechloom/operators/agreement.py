@@ -21,14 +21,16 @@ def _by(df: DataFrame, by: list[str], *aggs: Column) -> DataFrame:
     return df.groupBy(*by).agg(*aggs)
 
 
+def _r(a: str, b: str) -> Column:
+    return F.when(F.count(F.lit(1)) > 1, F.expr(f"try_divide(covar_pop({a}, {b}), stddev_pop({a}) * stddev_pop({b}))"))
+
+
 def pearson(df: DataFrame, by: list[str]) -> DataFrame:
     """by, n, pearson_r, bias (mean of a - b), mae, mean_a, mean_b over rows with both values.
 
     r is null where a or b doesn't vary or n < 2."""
     df = df.filter("a is not null and b is not null")
-    n = F.count(F.lit(1))
-    r = F.when(n > 1, F.expr("try_divide(covar_pop(a, b), stddev_pop(a) * stddev_pop(b))"))
-    return _by(df, by, n.alias("n"), r.alias("pearson_r"), F.avg(F.col("a") - F.col("b")).alias("bias"), F.avg(F.abs(F.col("a") - F.col("b"))).alias("mae"), F.avg("a").alias("mean_a"), F.avg("b").alias("mean_b"))
+    return _by(df, by, F.count(F.lit(1)).alias("n"), _r("a", "b").alias("pearson_r"), F.avg(F.col("a") - F.col("b")).alias("bias"), F.avg(F.abs(F.col("a") - F.col("b"))).alias("mae"), F.avg("a").alias("mean_a"), F.avg("b").alias("mean_b"))
 
 
 def average_rank(column: str, by: list[str]) -> Column:
@@ -71,14 +73,25 @@ def icc_2_1(df: DataFrame, by: list[str]) -> DataFrame:
         return icc_2_1(df.withColumn("_all", F.lit(0)), ["_all"]).drop("_all")
     df = df.filter("a is not null and b is not null")
     c = df.join(df.groupBy(*by).agg(F.avg("a").alias("_c")), by)
+    return _icc(_by(c, by, F.count(F.lit(1)).alias("n"), *_icc_sums())).select(*by, "n", "icc_2_1")
+
+
+def _icc_sums() -> list[Column]:
+    """Sums that icc_2_1 is made of, over a, b and _c, a value near both."""
     x, y = F.col("a") - F.col("_c"), F.col("b") - F.col("_c")
-    s = _by(c, by, F.count(F.lit(1)).alias("n"), F.avg(x).alias("ca"), F.avg(y).alias("cb"), F.sum(x * x + y * y).alias("ss"), F.sum((x + y) * (x + y) / 4).alias("srr"))
-    gm = (F.col("ca") + F.col("cb")) / 2
-    s = s.withColumn("ssr", 2 * (F.col("srr") - F.col("n") * gm * gm)).withColumn("ssc", F.col("n") * ((F.col("ca") - gm) * (F.col("ca") - gm) + (F.col("cb") - gm) * (F.col("cb") - gm))).withColumn("sst", F.col("ss") - 2 * F.col("n") * gm * gm)
-    free = F.when(F.col("n") > 1, F.col("n") - 1)
-    s = s.withColumn("msr", F.col("ssr") / free).withColumn("mse", (F.col("sst") - F.col("ssr") - F.col("ssc")) / free)
-    den = F.col("msr") + F.col("mse") + F.lit(2.0) / F.col("n") * (F.col("ssc") - F.col("mse"))
-    return s.select(*by, "n", F.when(F.abs(den) < 1e-15, 1.0).otherwise(F.try_divide(F.col("msr") - F.col("mse"), den)).alias("icc_2_1"))
+    return [F.avg(x).alias("_ca"), F.avg(y).alias("_cb"), F.sum(x * x + y * y).alias("_ss"), F.sum((x + y) * (x + y) / 4).alias("_srr")]
+
+
+def _icc(s: DataFrame) -> DataFrame:
+    """s (n and _icc_sums) with icc_2_1."""
+    n, gm = F.col("n"), (F.col("_ca") + F.col("_cb")) / 2
+    ssr = 2 * (F.col("_srr") - n * gm * gm)
+    ssc = n * ((F.col("_ca") - gm) * (F.col("_ca") - gm) + (F.col("_cb") - gm) * (F.col("_cb") - gm))
+    sst = F.col("_ss") - 2 * n * gm * gm
+    free = F.when(n > 1, n - 1)
+    s = s.withColumns({"_msr": ssr / free, "_msc": ssc, "_mse": (sst - ssr - ssc) / free})
+    den = F.col("_msr") + F.col("_mse") + F.lit(2.0) / n * (F.col("_msc") - F.col("_mse"))
+    return s.withColumn("icc_2_1", F.when(F.abs(den) < 1e-15, 1.0).otherwise(F.try_divide(F.col("_msr") - F.col("_mse"), den))).drop("_msr", "_msc", "_mse", "_ca", "_cb", "_ss", "_srr")
 
 
 def confusion(df: DataFrame, by: list[str]) -> DataFrame:
@@ -187,9 +200,10 @@ def correlations(pairs: DataFrame, measures: tuple[str, ...], subset: Column, tr
     spearman_p, icc_2_1, bias, mae. pairs: columns <measure>_auto and <measure>_manual."""
     long = pairs.select(subset.alias("subset"), F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(f"{m}_auto").alias("a"), F.col(f"{m}_manual").alias("b")) for m in measures])).alias("x")).select("subset", "x.*")
     by = ["subset", "measure"]
-    long = with_overall(long, "subset")
-    out = pearson(long, by).join(spearman(long, by, small=True).drop("n"), by).join(icc_2_1(long, by).drop("n"), by)
-    return out.select(F.lit(track).alias("track"), *by, "n", F.col("mean_a").alias("mean_auto"), F.col("mean_b").alias("mean_manual"), "pearson_r", p_value("pearson_r", "n").alias("pearson_p"), "spearman_rho", p_value("spearman_rho", "n").alias("spearman_p"), "icc_2_1", "bias", "mae")
+    # One row per file and measure: windows add ranks and a centre, one aggregation makes the table.
+    long = with_overall(long, "subset").filter("a is not null and b is not null").withColumns({"_c": F.avg("a").over(Window.partitionBy(*by)), "_ra": average_rank("a", by), "_rb": average_rank("b", by)})
+    out = _icc(_by(long, by, F.count(F.lit(1)).alias("n"), F.avg("a").alias("mean_auto"), F.avg("b").alias("mean_manual"), _r("a", "b").alias("pearson_r"), _r("_ra", "_rb").alias("spearman_rho"), F.avg(F.col("a") - F.col("b")).alias("bias"), F.avg(F.abs(F.col("a") - F.col("b"))).alias("mae"), *_icc_sums()))
+    return out.select(F.lit(track).alias("track"), *by, "n", "mean_auto", "mean_manual", "pearson_r", p_value("pearson_r", "n").alias("pearson_p"), "spearman_rho", p_value("spearman_rho", "n").alias("spearman_p"), "icc_2_1", "bias", "mae")
 
 
 def class_weights(df: DataFrame, label: str) -> DataFrame:

@@ -83,3 +83,15 @@ def test_rounding(spark):
 def test_describe(spark):
     r = A.describe(spark.createDataFrame([("g", float(i)) for i in range(1, 6)] + [("g", None)], "g string, x double"), ["g"], ["x"]).first()
     assert (r["count"], r["mean"], r["min"], r["p25"], r["p50"], r["max"]) == (5, 3.0, 1.0, 2.0, 3.0, 5.0)
+
+
+def test_correlations_are_the_single_statistics(spark):
+    rng = random.Random(11)
+    v = [(f"f{i}-ST{i % 2 + 1}", x := rng.random(), x + rng.random() / 5) for i in range(30)]
+    d = spark.createDataFrame(v, "file string, AR_auto double, AR_manual double")
+    got = {r.subset: r for r in A.correlations(d, ("AR",), F.substring("file", -3, 3), "t").collect()}
+    assert {k: r.n for k, r in got.items()} == {"Overall": 30, "ST1": 15, "ST2": 15}
+    p = d.selectExpr("'g' as g", "AR_auto as a", "AR_manual as b")
+    r = got["Overall"]
+    assert r.pearson_r == pytest.approx(A.pearson(p, ["g"]).first().pearson_r) and r.icc_2_1 == pytest.approx(A.icc_2_1(p, ["g"]).first().icc_2_1)
+    assert r.spearman_rho == pytest.approx(A.spearman(p, ["g"]).first().spearman_rho) and 0 < r.pearson_p < 0.01
