@@ -1,7 +1,8 @@
 """Interval algebra over tidy tables: one row per interval with key columns, s and e (DOUBLE seconds), maybe label.
 
-Every operator partitions by its keys only, so a chain of them over the same keys shares one shuffle. Rows with a null
-s or e are left out; reversed intervals (e <= s) too, where said. Keys may be null (they form a group).
+Every operator partitions by its keys only, so a chain of them over the same keys shares one shuffle; joins also split
+a key by time bins. Rows whose s or e is null or NaN are left out (points of classify are kept, as 'end'); reversed
+intervals (e <= s) too, where said. Keys may be null: windows and aggregates take them as a group, joins drop them.
 """
 
 from __future__ import annotations
@@ -10,6 +11,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+_GIVEN = "s is not null and e is not null and not isnan(s) and not isnan(e)"
+_USABLE = f"{_GIVEN} and e > s"
+
+
 def _order(keys: list[str], *by: str) -> Window:
     return Window.partitionBy(*keys).orderBy(*(by or ("s", "e")))
 
@@ -30,7 +35,7 @@ def merge(df: DataFrame, keys: list[str], gap: float = 0.0, split: float | None
 
     split: width of time blocks that are merged on their own first, for keys that may hold a large share of the rows;
     only what can reach into another block (at most two rows a block) is then ordered along a key."""
-    df = df.filter("s is not null and e is not null and e > s").select(*keys, "s", "e")
+    df = df.filter(_USABLE).select(*keys, "s", "e")
     if split is None:
         return _islands(df, keys, gap)
     cell = [*keys, "_k"]
@@ -56,7 +61,7 @@ def gaps(df: DataFrame, keys: list[str], min_gap: float, start: float = 0.0, dur
     """Stretches of at least min_gap that no interval covers: keys, s, e. From start on; durations (keys, duration)
     adds what is left at the end of a key, whole for keys without intervals."""
     w = _order(keys)
-    rows = df.filter("s is not null and e is not null").select(*keys, "s", "e")
+    rows = df.filter(_GIVEN).select(*keys, "s", "e")
     inner = rows.withColumn("_p", F.greatest(F.coalesce(F.max("e").over(_before(w)), F.lit(start)), F.lit(start)))
     out = inner.filter(F.col("s") - F.col("_p") >= min_gap).select(*keys, F.col("_p").alias("s"), F.col("s").alias("e"))
     if durations is None:
@@ -80,7 +85,7 @@ def overlaps(a: DataFrame, b: DataFrame, keys: list[str], bin_width: float = 30.
     """
     def binned(df: DataFrame, p: str) -> DataFrame:
         k = lambda c: F.floor(F.col(c) / F.lit(bin_width)).cast("bigint")
-        df = df.filter("s is not null and e is not null and e > s").withColumn("_bin", F.explode(F.sequence(k("s"), k("e"))))
+        df = df.filter(_USABLE).withColumn("_bin", F.explode(F.sequence(k("s"), k("e"))))
         return df.select(*keys, "_bin", *[F.col(c).alias(p + c) for c in df.columns if c not in (*keys, "_bin")])
 
     o = binned(a, "a_").join(binned(b, "b_"), [*keys, "_bin"])
@@ -117,11 +122,11 @@ def classify(points: DataFrame, spans: DataFrame, keys: list[str], order: str, t
     ask the bins of their start and middle; order values of a key are distinct.
     """
     k = lambda c: F.floor(c / F.lit(bin_width)).cast("bigint")
-    c = spans.filter("s is not null and e is not null").select(*keys, F.col("s").alias("_cs"), F.col("e").alias("_ce"), F.col(order).alias("_o"))
+    c = spans.filter(_GIVEN).select(*keys, F.col("s").alias("_cs"), F.col("e").alias("_ce"), F.col(order).alias("_o"))
     c = c.withColumn("_bin", F.explode(F.sequence(k(F.col("_cs") - tolerance), k(F.greatest("_ce", "_cs") + tolerance))))
     mid = (F.col("s") + F.col("e")) / 2
     ends, inside = F.abs(F.col("s") - F.col("_ce")) < tolerance, (F.col("_cs") < mid) & (mid < F.col("_ce"))
-    p = points.select(*keys, "s", "e").distinct()
+    p = points.filter(_GIVEN).select(*keys, "s", "e").distinct()
     asked = p.withColumn("_bin", F.explode(F.array_distinct(F.array(k(F.col("s")), k(mid)))))
     first = asked.join(c, [*keys, "_bin"]).filter(ends | inside).groupBy(*keys, "s", "e").agg(F.min_by(F.when(ends, "end").otherwise("mid"), "_o").alias("_l"))
     return points.join(first, [*keys, "s", "e"], "left").withColumn("location", F.coalesce("_l", F.lit("end"))).drop("_l")
@@ -180,7 +185,7 @@ def run_units(words: DataFrame, keys: list[str], order: str, breaks: Column, uni
 def clean_nonoverlap(df: DataFrame, keys: list[str], low: Column, high: Column) -> DataFrame:
     """Intervals clamped to [low, high] and started no earlier than the one before ended: keys, s, e, label; empty ones
     go. low and high are Columns over df, constant per key."""
-    rows = df.filter("s is not null and e is not null and not isnan(s) and not isnan(e)").select("*", F.greatest("s", low).alias("_s"), F.least("e", high).alias("_e")).filter("_e > _s")
+    rows = df.filter(_GIVEN).select("*", F.greatest("s", low).alias("_s"), F.least("e", high).alias("_e")).filter("_e > _s")
     cursor = F.max("_e").over(_before(_order(keys, "s", "e", "label")))
     return rows.withColumn("_c", F.greatest("_s", F.coalesce(cursor, F.col("_s")))).filter("_e > _c").select(*keys, F.col("_c").alias("s"), F.col("_e").alias("e"), "label")
 

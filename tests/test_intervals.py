@@ -114,3 +114,11 @@ def test_empty(spark):
     e = spark.createDataFrame([], S)
     for out in (I.merge(e, ["k"]), I.gaps(e, ["k"], 0.1), I.overlaps(e, e, ["k"]), I.subtract(e, e, ["k"], 0.2)):
         assert out.count() == 0
+
+
+def test_times_not_given(spark):
+    nan = float("nan")
+    d = spark.createDataFrame([("a", 0.0, nan), ("a", nan, 1.0), ("a", None, 1.0), ("a", 1.0, None), ("a", 2.0, 3.0)], S)
+    assert se(I.merge(d, ["k"])) == se(I.merge(d, ["k"], 0.0, 5.0)) == [(2, 3)]
+    assert I.overlaps(d, d, ["k"]).count() == 1 and se(I.gaps(d, ["k"], 0.5)) == [(0, 2)]
+    assert I.classify(d, d.selectExpr("*", "1 as o"), ["k"], "o").count() == 5
