@@ -101,7 +101,11 @@ def good_conversations(rows: DataFrame, roster: DataFrame) -> DataFrame:
     kept = resolved.join(verdict.filter("not broken").select("conversation_no"), "conversation_no", "left_semi")
     # A whole conversation has each position once and no holes: rows before an utterance are those of earlier ones.
     sizes = kept.groupBy("conversation_no", "utterance_index").agg(F.countDistinct("subutterance_index").alias("_n"))
-    before = F.sum("_n").over(Window.partitionBy("conversation_no").orderBy("utterance_index")) - F.col("_n")
+    # Running sums inside blocks of utterances, and over one row per block.
+    sizes = sizes.withColumn("_k", F.expr("utterance_index div 50000"))
+    blocks = sizes.groupBy("conversation_no", "_k").agg(F.sum("_n").alias("_t"))
+    blocks = blocks.select("conversation_no", "_k", (F.sum("_t").over(Window.partitionBy("conversation_no").orderBy("_k")) - F.col("_t")).alias("_base"))
+    before = F.col("_base") + F.sum("_n").over(Window.partitionBy("conversation_no", "_k").orderBy("utterance_index")) - F.col("_n")
     kept = kept.groupBy("conversation_no", "utterance_index", "subutterance_index").agg(F.min("speaker").alias("speaker"), F.min("text").alias("text"))
-    return kept.join(sizes.withColumn("_before", before), ["conversation_no", "utterance_index"]).select(
+    return kept.join(sizes.join(blocks, ["conversation_no", "_k"]).withColumn("_before", before), ["conversation_no", "utterance_index"]).select(
         "conversation_no", (F.col("_before") + F.col("subutterance_index")).cast("int").alias("position"), "speaker", "utterance_index", "subutterance_index", "text", clean_text(F.col("text")).alias("clean_text"))
