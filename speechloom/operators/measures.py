@@ -17,20 +17,22 @@ PHONE_TIERS = ("phones", "phone", "Phone", "Phones")
 CLAUSE_TIERS = ("clauses", "clause", "Clauses", "Clause")
 
 
+_COLUMNS = ("file_id", "tier", "tier_idx", "idx", "xmin", "xmax", "label")
+
+
 def one_delivery(intervals: DataFrame) -> DataFrame:
-    """Each (file_id, tier, idx) once; repeated deliveries agree."""
-    return intervals.dropDuplicates(["file_id", "tier", "idx"])
+    """Interval rows once each; repeated deliveries agree in all columns."""
+    return intervals.select(*_COLUMNS).distinct()
 
 
 def pick_tier(intervals: DataFrame, names: tuple[str, ...], else_first: bool = False) -> DataFrame:
     """Rows of each file's tier by the first of names it has; else_first: of its first tier where it has none.
 
-    The choice is made from one row per (file, tier), so the rows themselves move once, for what follows."""
-    rank = F.array_position(F.array(*map(F.lit, names)), F.col("tier"))
-    tiers = intervals.groupBy("file_id", "tier").agg(F.min("tier_idx").alias("tier_idx"))
-    usable = tiers if else_first else tiers.filter(F.col("tier").isin(*names))
-    chosen = usable.groupBy("file_id").agg(F.min_by("tier", F.struct(F.when(rank > 0, rank).otherwise(len(names) + 1), "tier_idx")).alias("tier"))
-    return intervals.join(chosen, ["file_id", "tier"], "left_semi")
+    The choice is a window over the file, above the removal of repeats. Nothing is pushed below it, so all tiers taken
+    from one table share its scan and shuffles, and later windows over files need no further one."""
+    rank = F.array_position(F.array(*map(F.lit, names)), F.col("tier")).cast("bigint")
+    order = F.shiftleft(F.when(rank > 0, rank).otherwise(len(names) + 1 if else_first else F.lit(None)).cast("bigint"), 32) + F.col("tier_idx")
+    return one_delivery(intervals).withColumn("_o", order).withColumn("_best", F.min("_o").over(Window.partitionBy("file_id"))).filter("_o = _best").drop("_o", "_best")
 
 
 def word_rows(intervals: DataFrame, names: tuple[str, ...] = WORD_TIERS_JA, pauses: tuple[str, ...] = T.PAUSE_EXTENDED) -> DataFrame:
@@ -41,7 +43,7 @@ def word_rows(intervals: DataFrame, names: tuple[str, ...] = WORD_TIERS_JA, paus
     japanese = label.rlike(r"[\x{3041}-\x{30ff}\x{4e00}-\x{9fff}]")
     pause = T.is_pause(F.col("label"), pauses)
     units = F.when(pause | T.is_filler_marker(F.col("label")), 0).when(japanese, T.moras(label)).otherwise(T.syllables(label))
-    return pick_tier(one_delivery(intervals), names, else_first=True).select("file_id", "idx", F.col("xmin").alias("s"), F.col("xmax").alias("e"), label.alias("label"), pause.alias("pause"), units.cast("int").alias("units"))
+    return pick_tier(intervals, names, else_first=True).select("file_id", "idx", F.col("xmin").alias("s"), F.col("xmax").alias("e"), label.alias("label"), pause.alias("pause"), units.cast("int").alias("units"))
 
 
 def phone_units(words: DataFrame, phones: DataFrame) -> DataFrame:
@@ -53,7 +55,7 @@ def phone_units(words: DataFrame, phones: DataFrame) -> DataFrame:
 
 def clause_rows(intervals: DataFrame) -> DataFrame:
     """Non-blank clauses: file_id, idx, s, e, label."""
-    t = pick_tier(one_delivery(intervals), CLAUSE_TIERS).filter(T.strip(F.col("label")) != "")
+    t = pick_tier(intervals, CLAUSE_TIERS).filter(T.strip(F.col("label")) != "")
     return t.select("file_id", "idx", F.col("xmin").alias("s"), F.col("xmax").alias("e"), "label")
 
 
@@ -128,7 +130,7 @@ def skip_reason(occupancy: Column, n_islands: Column, prob: Column, low: float =
 
 def candidate_stats(candidates: DataFrame) -> DataFrame:
     """Per file: n_rows, n_scored, n_predicted, max_prob, mean_prob (NaN where nothing is scored)."""
-    once = candidates.dropDuplicates(["file_id", "gap_index", "island_index"])
+    once = candidates.select("file_id", "gap_index", "island_index", "prob_filler", "pred_filler").distinct()
     p = F.when(F.col("prob_filler").isNotNull() & ~F.isnan("prob_filler"), F.col("prob_filler"))
     nan = F.lit(float("nan"))
     return once.groupBy("file_id").agg(F.count(F.lit(1)).alias("n_rows"), F.count(p).alias("n_scored"), F.count_if(F.col("pred_filler") == 1).alias("n_predicted"), F.coalesce(F.max(p), nan).alias("max_prob"), F.coalesce(F.avg(p), nan).alias("mean_prob"))

@@ -263,9 +263,10 @@ def injected_en(spark: SparkSession, d: str) -> DataFrame:
 
 
 def injected_ja(spark: SparkSession, d: str) -> DataFrame:
-    """Synthetic disfluencies in the recogniser's Japanese word lists."""
-    s = _chunks(spark, d).filter("file_id not like 'ALL%'").select("file_id", "chunk_no", F.slice(F.transform("words", lambda x: x["word"]), 1, 20).alias("w"))
-    return s.select("file_id", "chunk_no", J.injected(F.col("w"), F.concat_ws("/", "file_id", "chunk_no"), 42, J.JAPANESE).alias("disfluent")).filter("disfluent is not null")
+    """Synthetic disfluencies in the recogniser's Japanese word lists, in stretches of twenty words."""
+    w = _chunks(spark, d).filter("file_id not like 'ALL%' and size(words) > 0").select("file_id", "chunk_no", F.transform("words", lambda x: x["word"]).alias("w"))
+    s = w.select("file_id", "chunk_no", F.posexplode(F.transform(F.sequence(F.lit(0), F.floor((F.size("w") - 1) / 20).cast("int")), lambda i: F.slice("w", i * 20 + 1, 20))).alias("part", "w"))
+    return s.select("file_id", "chunk_no", "part", J.injected(F.col("w"), F.concat_ws("/", "file_id", "chunk_no", "part"), 42, J.JAPANESE).alias("disfluent")).filter("disfluent is not null")
 
 
 def disfluency_tagging(spark: SparkSession, d: str) -> DataFrame:
@@ -304,19 +305,19 @@ def spearman_windows(spark: SparkSession, d: str) -> DataFrame:
 
 def kappa_prf(spark: SparkSession, d: str) -> DataFrame:
     """Predictions against a lower threshold, overall and by task."""
-    c = _t(spark, d, "candidates").filter("prob_filler is not null and not isnan(prob_filler)").dropDuplicates(["file_id", "gap_index", "island_index"])
+    c = _t(spark, d, "candidates").filter("prob_filler is not null and not isnan(prob_filler)").select("file_id", "gap_index", "island_index", "prob_filler").distinct()
     c = c.select(T.task_ja(F.col("file_id")).alias("task"), (F.col("prob_filler") >= 0.5).alias("auto"), (F.col("prob_filler") >= 0.3).alias("gold"))
     return A.scores(A.confusion(A.with_overall(c, "task"), ["task"]))
 
 
 def roc_auc(spark: SparkSession, d: str) -> DataFrame:
     """How well the length of an island tells predicted fillers, by task."""
-    c = _t(spark, d, "candidates").filter("island_duration is not null and not isnan(island_duration)").dropDuplicates(["file_id", "gap_index", "island_index"])
+    c = _t(spark, d, "candidates").filter("island_duration is not null and not isnan(island_duration)").select("file_id", "gap_index", "island_index", "island_duration", "pred_filler").distinct()
     return A.roc_auc(c.withColumn("task", T.task_ja(F.col("file_id"))), ["task"], "island_duration", F.col("pred_filler") == 1)
 
 
 def class_weights(spark: SparkSession, d: str) -> DataFrame:
-    return A.class_weights(_t(spark, d, "candidates").dropDuplicates(["file_id", "gap_index", "island_index"]), "pred_filler")
+    return A.class_weights(_t(spark, d, "candidates").select("file_id", "gap_index", "island_index", "pred_filler").distinct(), "pred_filler")
 
 
 def sample_documents(spark: SparkSession, d: str) -> DataFrame:
@@ -356,6 +357,7 @@ def surface_scripts(spark: SparkSession, d: str) -> DataFrame:
 
 
 _WS = r"\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+_EDGES = r"""\s\x{3000}\x{3001}\x{3002}\x{ff0c}\x{ff0e}\x{ff01}\x{ff1f}\x{300c}-\x{300f}\x{3008}\x{3009}\x{ff08}\x{ff09}.,!?\-"''()\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}"""
 _CHUNK_WORDS = """
 ch AS (SELECT file_id, chunk_no, any_value(words) AS words FROM asr_json GROUP BY 1, 2),
 cw AS (SELECT file_id, chunk_no, unnest(words) AS w FROM ch)"""
@@ -383,6 +385,16 @@ v AS (SELECT *, tag LIKE 'VB%' AS verb, min(CASE WHEN tag LIKE 'VB%' THEN i END)
 o AS (SELECT DISTINCT file_id, sent, v FROM v WHERE tag LIKE 'NN%' AND v IS NOT NULL)
 SELECT file_id, sent, i, 'independent' AS clause_type FROM v WHERE i = root UNION ALL SELECT v.file_id, v.sent, v.i, 'coordinated_vp' FROM v JOIN o ON o.file_id = v.file_id AND o.sent = v.sent AND o.v = v.i WHERE v.verb AND v.i <> v.root
 UNION ALL SELECT file_id, sent, i, 'nonfinite_participle' FROM v WHERE false""",
+    "pos_words": f"""WITH u AS (SELECT list_filter(list_transform(string_split_regex(trim(pos), '\\s+'), lambda x: string_split(x, '/')), lambda p: len(p) = 2) AS t, trees FROM {_ONCE} WHERE pos IS NOT NULL),
+v AS (SELECT t, coalesce(len(trees) = 1 AND array_to_string(list_transform(t, lambda p: p[1] || '/' || p[2]), ' ') = array_to_string(list_transform(regexp_extract_all(array_to_string(trees, ' '), '\\(([^\\s()]+) ([^\\s()]+)\\)'), lambda x: regexp_replace(x, '\\(([^\\s()]+) ([^\\s()]+)\\)', '\\2/\\1')), ' '), false) AS matches FROM u),
+x AS (SELECT matches, unnest(t) AS p FROM v), y AS (SELECT matches, p[1] AS word, lower(p[2]) AS g FROM x)
+SELECT CASE WHEN g LIKE 'v%' THEN 'v' WHEN g LIKE 'n%' THEN 'n' WHEN g LIKE 'j%' THEN 'a' WHEN g LIKE 'rb%' THEN 'r' ELSE g END AS tag, matches, count(*) AS n, count(DISTINCT word) AS n_words FROM y GROUP BY 1, 2""",
+    "filler_choice": f"""WITH {_CHUNK_WORDS}, o AS (SELECT file_id, chunk_no, row_number() OVER () AS r, w FROM cw), z AS (SELECT * FROM o WHERE w.word IS NOT NULL AND trim(w.word) <> '' AND NOT isnan(w.start) AND NOT isnan(w."end") AND w."end" > w.start),
+n AS (SELECT file_id, chunk_no, CAST(row_number() OVER (PARTITION BY file_id, chunk_no ORDER BY r) - 1 AS INTEGER) AS idx, w.start AS s, w."end" AS e, regexp_replace(w.word, '^[{_EDGES}]+|[{_EDGES}]+$', '', 'g') AS tok FROM z),
+g AS (SELECT file_id, chunk_no, idx, tok, lead(tok) OVER q AS nxt, lead(s) OVER q - e AS gap FROM n WINDOW q AS (PARTITION BY file_id, chunk_no ORDER BY idx)),
+k AS (SELECT *, CAST(unnest(range(CAST(least(floor((gap - 0.35::DOUBLE) / 0.55::DOUBLE) + 1, 3) AS INTEGER))) AS INTEGER) AS i FROM g WHERE gap >= 0.4::DOUBLE),
+t AS (SELECT *, list_sum(list_transform(string_split(tok || '|' || nxt || '|' || CAST(CAST(round_even(gap * 100, 0) AS BIGINT) AS VARCHAR) || '|' || CAST(i AS VARCHAR), ''), lambda c: unicode(c))) AS h FROM k)
+SELECT file_id, chunk_no, idx, i, CASE WHEN gap < 0.8::DOUBLE THEN ['えー', 'あー', 'んー'][CAST(h % 3 AS INTEGER) + 1] ELSE ['えっと', 'えーと', 'うーん'][CAST(h % 3 AS INTEGER) + 1] END AS filler FROM t""",
     "group_counts": "SELECT from_caller_education, from_caller_dialect_area, count(*) AS n FROM (SELECT DISTINCT * FROM swda_metadata) GROUP BY 1, 2",
     "topk_words": f"""SELECT word, count(*) AS n FROM (SELECT unnest(string_split_regex(trim(regexp_replace(text, '[+/}}\\[\\]]|\\{{\\w', '', 'g')), '\\s+')) AS word FROM {_ONCE} WHERE text IS NOT NULL) WHERE word <> '' GROUP BY 1 ORDER BY n DESC, word LIMIT 30""",
     "star_metadata": """WITH s AS (SELECT from_caller AS caller, from_caller_sex AS sex, from_caller_birth_year AS birth_year, conversation_no, 'from' AS p FROM swda_metadata UNION ALL SELECT to_caller, to_caller_sex, to_caller_birth_year, conversation_no, 'to' FROM swda_metadata),

@@ -153,7 +153,7 @@ def lead_gap_fillers(spark: SparkSession, d: str) -> DataFrame:
 
 def tier_choice(spark: SparkSession, d: str) -> DataFrame:
     """Rows of the word tier of each file."""
-    return M.pick_tier(M.one_delivery(_intervals(spark, d)), M.WORD_TIERS_JA, True).groupBy("file_id", "tier").agg(F.count(F.lit(1)).alias("n"))
+    return M.pick_tier(_intervals(spark, d), M.WORD_TIERS_JA, True).groupBy("file_id", "tier").agg(F.count(F.lit(1)).alias("n"))
 
 
 def units_by_label(spark: SparkSession, d: str) -> DataFrame:
@@ -178,13 +178,13 @@ def candidate_totals(spark: SparkSession, d: str) -> DataFrame:
 
 def candidate_predict(spark: SparkSession, d: str) -> DataFrame:
     """Predictions at thresholds 0.3 and 0.7 by reason for skipping."""
-    c = _candidates(spark, d).dropDuplicates(["file_id", "gap_index", "island_index"])
+    c = _candidates(spark, d).select("file_id", "gap_index", "island_index", "prob_filler", "skip_reason").distinct()
     return c.groupBy("skip_reason").agg(F.sum(M.predict(F.col("prob_filler"), 0.3)).alias("at_30"), F.sum(M.predict(F.col("prob_filler"), 0.7)).alias("at_70"))
 
 
 def gap_occupancy(spark: SparkSession, d: str) -> DataFrame:
     """Per gap: time of its islands over its length."""
-    c = _candidates(spark, d).filter("island_index >= 0").dropDuplicates(["file_id", "gap_index", "island_index"])
+    c = _candidates(spark, d).filter("island_index >= 0").select("file_id", "gap_index", "island_index", "island_duration", "gap_duration").distinct()
     return c.groupBy("file_id", "gap_index").agg((F.sum(F.when(~F.isnan("island_duration"), F.col("island_duration"))) / F.max("gap_duration")).alias("occupancy"), F.count(F.lit(1)).alias("n_islands"))
 
 
