@@ -6,6 +6,7 @@ Python as Arrow batches; sequences are bounded by a recording. Nothing is shuffl
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections import defaultdict, deque
 from collections.abc import Callable, Iterator
 
@@ -107,15 +108,15 @@ def greedy_matches(gold: DataFrame, pred: DataFrame, keys: list[str], window: fl
     both = gold.select(*keys, "token", F.lit(0).alias("side"), "idx", "s", "e").unionByName(pred.select(*keys, "token", F.lit(1).alias("side"), "idx", "s", "e")).filter("token <> ''")
 
     def match(rows: list[dict]) -> list[dict]:
-        free = [r for r in rows if r["side"]]
-        out = []
-        for g in rows:
-            if g["side"]:
-                break
-            near = min(free, key=lambda p: abs(g["s"] - p["s"]), default=None)
-            if near is not None and abs(g["s"] - near["s"]) < window:
-                free.remove(near)
-                out.append({"g_idx": g["idx"], "p_idx": near["idx"], "start_error": abs(g["s"] - near["s"]), "end_error": abs(g["e"] - near["e"])})
+        pred = sorted((r for r in rows if r["side"]), key=lambda r: (r["s"], r["idx"]))
+        starts, used, out = [p["s"] for p in pred], [False] * len(pred), []
+        for g in (r for r in rows if not r["side"]):
+            near = range(bisect_left(starts, g["s"] - window), bisect_right(starts, g["s"] + window))
+            best = min(((abs(g["s"] - starts[k]), pred[k]["idx"], k) for k in near if not used[k]), default=(window, 0, 0))
+            if best[0] < window:
+                k = best[2]
+                used[k] = True
+                out.append({"g_idx": g["idx"], "p_idx": pred[k]["idx"], "start_error": best[0], "end_error": abs(g["e"] - pred[k]["e"])})
         return out
 
     return _per_group(both, [*keys, "token"], match, ["side", "idx", "s", "e"], "g_idx:int,p_idx:int,start_error:double,end_error:double")
