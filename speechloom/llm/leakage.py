@@ -27,8 +27,8 @@ from speechloom.session import small_table
 
 WORDS = 12
 CHARS = 24
-#: Items are held in memory by every task; a larger table is refused.
-MAX_ITEMS = 50_000
+#: Items are cut into windows on the driver, and every task holds the windows' hashes; a larger table is refused.
+MAX_ITEMS = 20_000
 #: Characters of text worked on at a time.
 CHUNK = 4_000_000
 
@@ -195,6 +195,7 @@ def template_matches(documents: DataFrame, items: DataFrame) -> DataFrame:
     spark = documents.sparkSession
     rows = [(r[0], r[1]) for r in small_table(items.select(F.col("item_id").cast("bigint"), "text"), MAX_ITEMS) if r[0] is not None]
     made = Templates(rows)
+    windows, made.rows = made.rows, []  # tasks need the hashes only
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         finder = Finder(made)
@@ -216,8 +217,8 @@ def template_matches(documents: DataFrame, items: DataFrame) -> DataFrame:
                 yield search(ids, texts)
 
     found = documents.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("bigint"), "text").mapInPandas(run, "doc_id bigint, kind int, h bigint, doc_pos int, doc_words string")
-    table = spark.createDataFrame(pd.DataFrame(made.rows, columns=["item_id", "kind", "h", "item_pos", "item_words"]).astype({"kind": "int32", "item_pos": "int32"}), "item_id bigint, kind int, h bigint, item_pos int, item_words string")
-    return found.join(F.broadcast(table), ["kind", "h"]).select("doc_id", "item_id", "kind", "doc_pos", "item_pos", "doc_words", "item_words")
+    table = spark.createDataFrame(pd.DataFrame(windows, columns=["item_id", "kind", "h", "item_pos", "item_words"]).astype({"kind": "int32", "item_pos": "int32"}), "item_id bigint, kind int, h bigint, item_pos int, item_words string")
+    return found.join(table, ["kind", "h"]).select("doc_id", "item_id", "kind", "doc_pos", "item_pos", "doc_words", "item_words")
 
 
 def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
