@@ -39,9 +39,14 @@ def clean_text(text: Column) -> Column:
     return F.trim(F.regexp_replace(t, r"(?U)\s+", " "))
 
 
+#: Letters of neither hesitations nor side letters: one of them is a word's, where a text has no notes and no role word.
+_SURE = "[cdfgijklnopqstvwxyz]"
+_MAYBE_NOT = r"[<(\[*{]|^\s*(?i:speaker|spk|caller)"
+
+
 def has_word(text: Column) -> Column:
-    """Whether clean_text leaves a letter or digit."""
-    return clean_text(text).rlike(r"[\p{L}\p{N}]")
+    """Whether clean_text leaves a letter or digit. Texts that surely do aren't cleaned."""
+    return F.when(text.rlike(_SURE) & ~text.rlike(_MAYBE_NOT), True).otherwise(clean_text(text).rlike(r"[\p{L}\p{N}]"))
 
 
 def plain_label(label: Column) -> Column:
