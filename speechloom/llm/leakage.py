@@ -5,6 +5,9 @@ variants gone) and to templates: numbers, names and units become typed placehold
 words, or 24 characters of Japanese) are hash-joined to those of the documents. Matching windows are then compared slot
 by slot: all slots equal is a leaked passage, slots that differ but map one-to-one a re-parameterised one.
 
+Dashes are punctuation, though after kana one may stand for the long vowel mark ー: Japanese texts with dashes are read
+every way they can be.
+
 The items are a stated, size-checked table: their window hashes go to the executors, where each document's windows are
 formed by a rolling hash over arrays and only those with an item's hash leave the scan. Nothing of the corpus is
 shuffled but these matches. Repeated documents are matched one by one.
@@ -22,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from speechloom.llm.lookalikes import skeleton
+from speechloom.llm.lookalikes import plain_text, skeleton
 from speechloom.session import small_table
 
 WORDS = 12
@@ -41,24 +44,39 @@ _TAG = re.compile(r"</?[A-Za-z!][^<>]*>")
 _WORD = re.compile(r"[^\W_]+(?:'[^\W_]+)*")
 _JA = re.compile("[ぁ-ヿ一-鿿]")
 _NOT_READ = re.compile(r"[\W_]+")
+_DASH = re.compile("[\u2012-\u2015\u2212\u2500]")
+#: Dashes that can't be a long vowel mark: not after kana, or several in a row.
+_PAUSE = re.compile(f"(?<![ぁ-ゖゝゞァ-ヺー-ヿ]){_DASH.pattern}|{_DASH.pattern}{{2,}}")
 _NUM, _NAME, _UNIT, _UNKNOWN = 1, 2, 3, 0
 
 
-def read_as_seen(text: str) -> str:
-    """The text without markup and in look-alike form, case kept."""
+def _bare(text: str) -> str:
+    """The text without markup."""
     if "<" in text:
         text = _TAG.sub("", _BLOCK_TAG.sub(" ", text))
-    if "&" in text:
-        text = html.unescape(text)
-    return text if text.isascii() else skeleton(text)
+    return html.unescape(text) if "&" in text else text
+
+
+def read_as_seen(text: str) -> str:
+    """The text without markup and in look-alike form, case kept. A dash is a blank unless a kana is before it."""
+    text = _bare(text)
+    if text.isascii():
+        return text
+    return skeleton(_PAUSE.sub(" ", plain_text(text)) if _DASH.search(text) else text)
 
 
 def word_list(text: str) -> list[str]:
     return _WORD.findall(read_as_seen(text))
 
 
-def char_string(text: str) -> str:
-    return _NOT_READ.sub("", read_as_seen(text)).lower()
+def char_strings(text: str) -> list[str]:
+    """The characters read: one string, or where a dash may be a long vowel mark or punctuation one of each reading (no
+    dash is a mark; those after kana are; all are). Texts without Japanese have none."""
+    text = plain_text(_bare(text))
+    if not _JA.search(text):
+        return []
+    readings = [text] if not _DASH.search(text) else [_DASH.sub(" ", text), _PAUSE.sub(" ", text), text]
+    return list(dict.fromkeys(_NOT_READ.sub("", skeleton(r)).lower() for r in readings))
 
 
 def _mix(n: np.ndarray) -> np.ndarray:
@@ -106,8 +124,7 @@ class Templates:
         for i, w in words:
             self._add(i, 0, _windows(_mix(np.array([self.placeholder(x) for x in w])), WORDS), [x.lower() for x in w], WORDS, " ")
         for i, t in items:
-            s = char_string(t or "")
-            if _JA.search(s):
+            for s in char_strings(t or ""):
                 self._add(i, 1, _windows(_mix(self.chars(s)), CHARS), s, CHARS, "")
         self.hashes = [np.unique(np.array([np.uint64(r[2] & (2**64 - 1)) for r in self.rows if r[1] == kind], np.uint64)) for kind in (0, 1)]
 
@@ -175,7 +192,7 @@ class Finder:
             p = at - int(starts[d])
             if p + WORDS <= len(words[d]):
                 out.append((d, 0, h, p, " ".join(words[d][p : p + WORDS]).lower()))
-        ja = [(d, char_string(t)) for d, t in enumerate(texts) if not t.isascii() and _JA.search(t)]
+        ja = [(d, s) for d, t in enumerate(texts) if not t.isascii() for s in char_strings(t)]
         starts = np.cumsum([0, *(len(s) for _, s in ja)])
         whole = "".join(s for _, s in ja)
         for at, h in self._hits(self.templates.chars(whole), 1, CHARS).tolist():
@@ -188,7 +205,7 @@ class Finder:
 
 def template_matches(documents: DataFrame, items: DataFrame) -> DataFrame:
     """Windows shared as templates: doc_id, item_id, kind (0 words, 1 characters), doc_pos, item_pos, doc_words,
-    item_words (the literal windows).
+    item_words (the literal windows). Characters' positions are those of a reading; a text with several may repeat a window.
 
     documents: doc_id, text. items: item_id, text, at most MAX_ITEMS rows. Null and empty texts have no windows.
     """

@@ -37,6 +37,23 @@ def test_japanese(spark):
     assert found(spark, "x" + bare[2:26] + "y", bare[2:25], "\n".join(bare[i : i + 5] for i in range(0, 40, 5)), bare[:30].replace("カ", "力").replace("ト", "ﾄ")) == [(0, 2), (2, 2), (3, 2)]
 
 
+def test_dashes_are_punctuation(spark):
+    w = ITEM.split()
+    texts = [" ".join(w[3:9]) + dash + " ".join(w[9:15]) for dash in ("\u2014", " \u2013 ", "&mdash;", "\u2012", "\u2015", " \u2212 ", "\u2500\u2500")]
+    assert found(spark, *texts) == [(i, 1) for i in range(len(texts))]
+    texts = [JA[:7] + JA[7:26].replace("。", dash) for dash in ("――", "\u2014", "\u2500", "&mdash;", " \u2013 ")]  # after kana
+    texts.append(JA[:10] + "――" + JA[10:26])  # after a kanji
+    assert found(spark, *texts) == [(i, 2) for i in range(len(texts))]
+
+
+def test_dashes_of_items_and_long_vowel_marks(spark):
+    ja = "コーヒーを飲みながら図書館で古い本を読む人が多いと店の人は話しました"
+    items = [(1, ITEM.replace("later", "later\u2014and")), (2, ja), (3, "so much of it, of course\u2014then nothing")]
+    doc = ITEM.replace("later", "later, and")
+    texts = [doc, ja.replace("ー", "\u2015"), ja[:14] + "\u2014" + ja[14:], ja.replace("ー", "\u2015")[:10] + "\u2014" + ja[10:], "it of coursethennothing very so much of it of course then nothing"]
+    assert rows(G.leaks(*frames(spark, enumerate(texts), items))) == [(0, 1), (1, 2), (2, 2), (3, 2)]
+
+
 def test_copies_empty_long_and_clashing_columns(spark):
     d, i = frames(spark, [(1, ITEM), (2, ITEM), (3, "the cat sat. " * 30_000 + ITEM)])
     d, i = d.selectExpr("*", "1 as item_id", "2 as h"), i.selectExpr("*", "3 as doc_id", "4 as kind")
