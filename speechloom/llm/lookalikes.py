@@ -17,6 +17,7 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -35,6 +36,7 @@ BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u
 #: Characters without a picture of their own (as a regex class): format characters, joiners, variation selectors, fillers.
 INVISIBLE = r"\xad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b-\u180f\u200b-\u200f\u202a-\u202e\u2060-\u206f\u3164\ufe00-\ufe0f\ufeff\uffa0\ufff0-\ufffb\U000e0000-\U000e0fff"
 
+_ODD_BLANKS = re.compile(rf" *[{re.escape(BLANKS)}][ {re.escape(BLANKS)}]*")
 _INVISIBLE = re.compile(rf"[{INVISIBLE}]+")
 _ODD = re.compile(rf"[{INVISIBLE}{re.escape(APOSTROPHES + BLANKS)}]")
 _BLANKS = str.maketrans(dict.fromkeys(BLANKS, " "))
@@ -43,6 +45,7 @@ _SHAPES: dict[str, str] = CYRILLIC_LIKE | GREEK_LIKE | LATIN_OTHER | {v: k for k
 _SKELETON = str.maketrans(_SHAPES)
 #: What a skeleton may change: letters of a group, and composed letters, whose base may be one.
 _SHAPED = re.compile("[" + "".join(_SHAPES) + "\u00c0-\u024f\u0370-\u03ff\u0400-\u04ff\u1e00-\u1fff\u3041-\u30ff]")
+_ALPHABETIC = re.compile("[A-Za-z\u00c0-\u024f\u0250-\u02af\u0300-\u058f\u1e00-\u1fff]+")
 _SPELLINGS: dict[str, dict[str, str]] = {}
 for _script, _table in (("CYRILLIC", CYRILLIC_LIKE), ("GREEK", GREEK_LIKE)):
     for _o, _l in _table.items():
@@ -104,25 +107,41 @@ def unify_script(token: str, known: dict[str, str] | None = None) -> str:
         count = Counter(script_of(c) for c in t)
         to = "LATIN" if "LATIN" in own & able else max(sorted(able), key=lambda s: count[s])
         return unicodedata.normalize("NFC", "".join(_SPELLINGS.get(_SHAPES.get(c, c), {}).get(to, c) if script_of(c) not in ("", to) else c for c in unicodedata.normalize("NFD", t)))
-    out = []
-    for i, c in enumerate(t):
-        kind, shape = _KIND.get(c, (None, _SHAPES.get(c)))
-        if kind is None and shape != "ー":
-            out.append(c)
-            continue
-        near = {script_of(x) if x != "ー" else "KATAKANA" for x in (t[max(0, i - 1) : i] + t[i + 1 : i + 2])}
-        if "KATAKANA" in near and kind != "KATAKANA" and (kind != "HIRAGANA" or "HIRAGANA" not in near):
-            out.append(shape)
-        elif kind == "KATAKANA" and near == {"HIRAGANA"} and KANA_HAN[c] in "りへべぺ":
-            out.append(KANA_HAN[c])
-        else:
-            out.append(c)
-    return "".join(out)
-
-
-def unify_text(text: str, known: dict[str, str] | None = None) -> str:
-    """plain_text with each token in one script."""
-    return "".join(t if t.isspace() or t.isascii() else unify_script(t, known) for t in re.split(r"(\s+)", plain_text(text)))
+    return "".join(_by_neighbours(t, i) for i in range(len(t)))
+
+
+def _by_neighbours(t: str, i: int) -> str:
+    """Letter i in the kind of the kana and Han next to it."""
+    c = t[i]
+    kind, shape = _KIND.get(c, (None, _SHAPES.get(c)))
+    if kind is None and shape != "ー":
+        return c
+    near = {script_of(x) if x != "ー" else "KATAKANA" for x in (t[max(0, i - 1) : i] + t[i + 1 : i + 2])}
+    if "KATAKANA" in near and kind != "KATAKANA" and (kind != "HIRAGANA" or "HIRAGANA" not in near):
+        return shape
+    if kind == "KATAKANA" and near == {"HIRAGANA"} and KANA_HAN[c] in "りへべぺ":
+        return KANA_HAN[c]
+    return c
+
+
+def _plain_blanks(text: str) -> str:
+    """plain_text in which a run of blanks with one other than U+0020 is the joint of words: one U+0020, between letters
+    of unspaced writing and at the text's edges nothing."""
+    if not _ODD_BLANKS.search(text):
+        return plain_text(text)
+    parts = [p for p in map(plain_text, _ODD_BLANKS.split(_INVISIBLE.sub("", text))) if p]
+    joints = ["" if _is_unspaced(a[-1]) and _is_unspaced(b[0]) else " " for a, b in zip(parts, parts[1:])]
+    return "".join(p + j for p, j in zip(parts, [*joints, ""]))
+
+
+def unify_text(text: str, lexicon: Lexicon | None = None) -> str:
+    """The text with plain blanks and each token in one script; unspaced ones are cut into the lexicon's forms."""
+    one = lexicon.plain if lexicon else unify_script
+    return "".join(t if t.isspace() or t.isascii() else one(t) for t in re.split(r"(\s+)", _plain_blanks(text)))
+
+
+def _is_unspaced(token: str) -> bool:
+    return any(script_of(c) in ("CJK", "HIRAGANA", "KATAKANA", "KATAKANA-HIRAGANA") for c in token)
 
 
 class Lexicon:
@@ -133,18 +152,63 @@ class Lexicon:
         self.by_skeleton: dict[str, str] = {}
         for f in sorted(forms):
             self.by_skeleton.setdefault(skeleton(f), f)
-        self.longest = max(map(len, forms), default=0)
-
-    def _unknown(self, s: str, forms: set[str] | dict[str, str]) -> int:
-        """Fewest characters left over when s is cut into forms."""
-        best = [0] * (len(s) + 1)
-        for i in range(1, len(s) + 1):
-            b = best[i - 1] + 1
+        self.longest = max(map(len, [*forms, *self.by_skeleton]), default=0)
+
+    def _cut(self, t: str) -> list[tuple[str, bool]]:
+        """(piece, whether it is a form) of t: forms, in their own spelling, wherever a stretch looks like one. Of all
+        cuts one with the fewest characters left over, then the fewest changed, then the fewest forms."""
+        bones, units = skeleton(t), list(t)
+        ends = list(range(len(t) + 1))
+        if len(bones) != len(t):
+            # Letters with their marks: a skeleton may compose what the text can't.
+            units = []
+            for c in t:
+                if units and unicodedata.combining(c):
+                    units[-1] += c
+                else:
+                    units.append(c)
+            ends = [0]
+            for u in units:
+                ends.append(ends[-1] + len(skeleton(u)))
+        n = len(units)
+        changed, left = n + 1, (n + 1) * (n + 1)
+        best, back = [0] * (n + 1), [(0, "")] * (n + 1)
+        for i in range(1, n + 1):
+            best[i], back[i] = best[i - 1] + left, (i - 1, "")
             for k in range(max(0, i - self.longest), i):
-                if best[k] < b and s[k:i] in forms:
-                    b = best[k]
-            best[i] = b
-        return best[-1]
+                if best[k] < best[i] and (form := self.by_skeleton.get(bones[ends[k] : ends[i]])) is not None:
+                    at = best[k] + 1
+                    if (old := "".join(units[k:i])) in self.forms:
+                        form = old
+                    elif form != old:
+                        at += changed * max(1, sum(a != b for a, b in zip(form, old)))
+                    if at < best[i]:
+                        best[i], back[i] = at, (k, form)
+        pieces, i = [], n
+        while i:
+            k, form = back[i]
+            pieces.append((form or units[k], form != ""))
+            i = k
+        return pieces[::-1]
+
+    def plain(self, token: str) -> str:
+        """unify_script of a token (plain_text); one of unspaced writing that is no form is cut into forms, and what is
+        left over between them takes the kind of its neighbours."""
+        if token in self.forms:
+            return token
+        if skeleton(token).strip() in self.by_skeleton or not _is_unspaced(token):
+            return unify_script(token, self.by_skeleton)
+        pieces = self._cut(token)
+        whole, out, at = "".join(p for p, _ in pieces), [], 0
+        for known, run in groupby(pieces, lambda p: p[1]):
+            text = "".join(p for p, _ in run)
+            if not known:
+                near = "".join(_by_neighbours(whole, i) for i in range(at, at + len(text)))
+                out.append(_ALPHABETIC.sub(lambda m: unify_script(m[0], self.by_skeleton), near))
+            else:
+                out.append(text)
+            at += len(text)
+        return "".join(out)
 
     def differs(self, text: str) -> bool:
         """Whether some place of the text looks like its plain form but is written with other characters."""
@@ -154,10 +218,10 @@ class Lexicon:
             return True
         for token in text.split(" "):
             if not token.isascii() and token not in self.forms:
-                if (bones := skeleton(token)) in self.by_skeleton:
+                if skeleton(token) in self.by_skeleton:
                     return True
                 # Unspaced text: look-alikes let more of it be cut into forms.
-                if any(script_of(c) in ("CJK", "HIRAGANA", "KATAKANA") for c in token) and self._unknown(bones, self.by_skeleton) < self._unknown(token, self.forms):
+                if _is_unspaced(token) and "".join(p for p, _ in self._cut(token)) != token:
                     return True
         return False
 
@@ -206,13 +270,13 @@ def differs_from_plain(lexicon: DataFrame) -> "callable":
 
 def unify(texts: DataFrame, column: str, lexicon: DataFrame | None = None) -> DataFrame:
     """texts with the column in its consistent form (unify_text). ASCII texts stay in the JVM; nulls stay null."""
-    known = {skeleton(f): f for _, f in _lexicon(lexicon)} if lexicon is not None else None
+    forms = Lexicon([f for _, f in _lexicon(lexicon)]) if lexicon is not None else None
 
     @F.pandas_udf("string")
     def united(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: unify_text(t, known), na_action="ignore")
+        return s.map(lambda t: unify_text(t, forms), na_action="ignore")
 
-    return texts.withColumn(column, F.when(is_ascii(F.col(column)), F.col(column)).otherwise(united(F.col(column))))
+    return texts.withColumn(column, F.when(is_ascii(F.col(column)) & ~F.col(column).rlike(r"[\t-\r\x1c-\x1f]"), F.col(column)).otherwise(united(F.col(column))))
 
 
 def is_ascii(c: Column) -> Column:
