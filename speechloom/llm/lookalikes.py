@@ -96,8 +96,7 @@ def unify_script(token: str, known: dict[str, str] | None = None) -> str:
     t = plain_text(token)
     own, able = resolved_scripts(t)
     mixed, whole = len(own) > 1, bool(able - own)
-    japanese = bool(own & {"HIRAGANA", "KATAKANA", "CJK"}) or any(c in _KIND or _SHAPES.get(c) == "ー" for c in t)
-    if known and (mixed or whole or japanese) and (form := known.get(skeleton(t).strip())) is not None:
+    if known and (mixed or whole or not t.isascii()) and (form := known.get(skeleton(t).strip())) is not None:
         return form
     if t.isascii():
         return t
