@@ -46,8 +46,8 @@ def find_conversations(rows: DataFrame) -> DataFrame:
 def with_identifiers(rows: DataFrame) -> DataFrame:
     """rows (swda_utterance) with conversation_no filled in where it is missing.
 
-    A component that holds an identifier gives it to its rows; one without gets minus its least node's number, so it
-    can't clash. Where no row lacks the identifier, rows come back as they are.
+    A component that holds an identifier gives it to its rows; one without gets a negative number with 63 bits of its
+    own. Where no row lacks the identifier, rows come back as they are; else conversation_no is BIGINT.
     """
     if rows.filter("conversation_no is null").isEmpty():
         return rows
@@ -55,7 +55,7 @@ def with_identifiers(rows: DataFrame) -> DataFrame:
     nodes = rows.groupBy("node").agg(F.min("swda_filename").alias("swda_filename"), F.min("transcript_index").alias("transcript_index"), F.min("ptb_basename").alias("ptb_basename"), F.min("conversation_no").alias("given"))
     of = nodes.join(find_conversations(nodes.drop("given")), "node")
     named = of.groupBy("component").agg(F.min("given").alias("given"))
-    named = named.select("component", F.coalesce("given", -F.pmod("component", F.lit(2**31 - 1)).cast("int") - 1).alias("found"))
+    named = named.select("component", F.coalesce(F.col("given").cast("bigint"), F.col("component").bitwiseOR(F.lit(-(2**63)))).alias("found"))
     found = of.join(named, "component").select("node", "found")
     return rows.join(found, "node").withColumn("conversation_no", F.coalesce("conversation_no", "found")).drop("node", "found")
 

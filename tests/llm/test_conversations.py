@@ -33,6 +33,13 @@ def test_good(spark):
     assert good_conversations(d.limit(0), m).count() == 0
 
 
+def test_many_without_identifier_stay_apart(spark):
+    n = 150_000  # with identifiers of 31 bits about five pairs would be one
+    d = spark.range(n).selectExpr("concat('f', id) as swda_filename", "cast(null as string) as ptb_basename", "cast(null as int) as conversation_no", "1 as transcript_index", "'A' as caller", "1 as utterance_index", "1 as subutterance_index", "'hi' as text")
+    got = with_identifiers(d.unionByName(frame(spark, GOOD)))
+    assert got.select("conversation_no").distinct().count() == n + 1 and got.filter("conversation_no >= 0").select("conversation_no").distinct().collect() == [(1,)]
+
+
 def test_components_against_union_find(spark):
     rng = random.Random(9)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(1000, 1200)] + [(5000, x) for x in range(5001, 5100)] + [(7, 7)]
