@@ -20,8 +20,18 @@ def p3_clean_rows(spark: SparkSession, d: str) -> DataFrame:
 
 def p3_asr_words(spark: SparkSession, d: str) -> DataFrame:
     """Per chunk of recogniser output, how many of its words are words once noise is gone."""
-    asr = spark.read.parquet(f"{d}/asr_json.parquet").select("file_id", "chunk_no", F.transform("words", lambda w: w["word"]).alias("w")).dropDuplicates(["file_id", "chunk_no"])
-    return asr.select("file_id", "chunk_no", F.explode("w").alias("w")).groupBy("file_id", "chunk_no").agg(F.count(F.lit(1)).alias("n_entries"), F.count_if(has_word(F.col("w"))).alias("n_spoken"))
+    return _asr_entries(spark, d).groupBy("file_id", "chunk_no").agg(F.count(F.lit(1)).alias("n_entries"), F.count_if("spoken").alias("n_spoken"))
+
+
+def p3_asr_clean_words(spark: SparkSession, d: str) -> DataFrame:
+    """The clean words of recogniser output with their place in the chunk (from 0) and times; noise is left out."""
+    return _asr_entries(spark, d).filter("spoken").select("file_id", "chunk_no", "word_pos", clean_text(F.col("word")).alias("word"), "start", "end")
+
+
+def _asr_entries(spark: SparkSession, d: str) -> DataFrame:
+    """Each entry of a chunk once, with whether it is a word once noise is gone (spoken)."""
+    asr = spark.read.parquet(f"{d}/asr_json.parquet").select("file_id", "chunk_no", "words").dropDuplicates(["file_id", "chunk_no"])
+    return asr.select("file_id", "chunk_no", F.posexplode("words").alias("word_pos", "w")).select("file_id", "chunk_no", "word_pos", "w.word", "w.start", "w.end", has_word(F.col("w.word")).alias("spoken"))
 
 
 _NOTES = r"<<[^<>]*>>|<[^<>]*>|\(\([^()]*\)\)|\([^()]*\)|\[[^\s\[\]+][^\[\]+]*\]|\*[^*]+\*"
@@ -54,4 +64,4 @@ t AS (SELECT *, sum(s) OVER (PARTITION BY conversation_no ORDER BY transcript_in
 SELECT conversation_no, CAST(turn_no AS INTEGER) AS turn_no, min(speaker) AS speaker, min(transcript_index) AS first_index, max(transcript_index) AS last_index
 FROM t GROUP BY conversation_no, turn_no""",
 }
-QUERIES = {"p3_found": p3_found, "p3_clean_rows": p3_clean_rows, "p3_asr_words": p3_asr_words}
+QUERIES = {"p3_found": p3_found, "p3_clean_rows": p3_clean_rows, "p3_asr_words": p3_asr_words, "p3_asr_clean_words": p3_asr_clean_words}

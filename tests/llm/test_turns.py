@@ -71,3 +71,13 @@ def test_empty_and_further_columns(spark):
 def test_long_text(spark):
     long = "um, " * 20_000 + "word"
     assert col(spark, [long], U.clean_text) == ["word"]
+
+
+def test_clean_words_of_recogniser_output(spark, tmp_path):
+    words = [("so", 0.0, 0.5), ("uh", 0.5, 0.7), ("<noise>", 0.7, 0.9), (" well, ", 0.9, 1.4), (None, 1.4, 1.5), ("", 1.5, 1.6), ("fine", None, 2.0)]
+    other = [("um", 0.0, 0.1)]
+    spark.createDataFrame([("f", 0, words), ("f", 0, words), ("f", 1, other)], "file_id string, chunk_no int, words array<struct<word string, start double, end double>>").write.parquet(f"{tmp_path}/asr_json.parquet")
+    from speechloom.llm.turns_queries import QUERIES
+
+    assert rows(QUERIES["p3_asr_clean_words"](spark, str(tmp_path))) == [("f", 0, 0, "so", 0.0, 0.5), ("f", 0, 3, "well,", 0.9, 1.4), ("f", 0, 6, "fine", None, 2.0)]
+    assert rows(QUERIES["p3_asr_words"](spark, str(tmp_path))) == [("f", 0, 7, 3), ("f", 1, 1, 0)]
