@@ -187,7 +187,7 @@ def word_error_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def boundary_agreement(spark: SparkSession, d: str) -> DataFrame:
-    """Boundary scores of sentence starts in transcripts against words cut at pauses, by task and overall."""
+    """Boundary scores of sentence starts in English transcripts against words cut at pauses, by task and overall."""
     c = _chunks(spark, d).filter("transcript is not null and size(words) > 1 and file_id like 'ALL%'")
     cut = lambda by: F.aggregate("words", F.expr("cast(array() as array<struct<e:double,ws:array<string>>>)"), lambda acc, w: F.when((F.size(acc) > 0) & (w["s"] - F.element_at(acc, -1)["e"] < by), F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(w["e"].alias("e"), F.concat(F.element_at(acc, -1)["ws"], F.array(w["word"])).alias("ws"))))).otherwise(F.concat(acc, F.array(F.struct(w["e"].alias("e"), F.array(w["word"]).alias("ws"))))), lambda acc: F.transform(acc, lambda x: x["ws"]))
     seg = c.select("file_id", "chunk_no", F.split(T.normalize(F.col("transcript")), " ").alias("canonical"), cut(0.25).alias("gold"), cut(0.6).alias("auto"))
@@ -196,7 +196,7 @@ def boundary_agreement(spark: SparkSession, d: str) -> DataFrame:
 
 
 def gold_to_time(spark: SparkSession, d: str) -> DataFrame:
-    """Times of transcript stretches of ten words, found through the words spoken."""
+    """Times of stretches of ten words of English transcripts, found through the words spoken."""
     c = _chunks(spark, d).filter("transcript is not null and size(words) > 0 and file_id like 'ALL%'").withColumn("t", F.split(T.normalize(F.col("transcript")), " "))
     c = c.select("file_id", "chunk_no", "words", F.transform(F.sequence(F.lit(0), F.floor((F.size("t") - 1) / 10).cast("int")), lambda i: F.slice("t", i * 10 + 1, 10)).alias("gold"))
     return L.segments_to_time(c, ["file_id", "chunk_no"], "gold", "words")
