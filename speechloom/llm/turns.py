@@ -96,11 +96,15 @@ def resolve_speakers(rows: DataFrame, roster: DataFrame) -> DataFrame:
     near = F.when(F.col("_a").isNull() | (far("_b") <= far("_a")), F.col("_b.sure")).otherwise(F.col("_a.sure"))
     one = one.withColumn("_b", before).withColumn("_a", after).withColumn("by_utterance", F.when(F.col("utterance_index").isNotNull(), near))
     # Labels of a conversation that nothing settles row by row: the assignment to sides with the most agreement.
-    open_ = one.filter("sure is null and label is not null").groupBy("conversation_no", "label").agg(
-        (F.count_if(F.col("by_utterance") == "A") - F.count_if(F.col("by_utterance") == "B")).alias("margin"))
-    of = Window.partitionBy("conversation_no").orderBy(F.desc("margin"), "label")
+    # Labels without a margin take the side that neither a row nor another label has; with both sides taken they stay open.
+    seen = one.groupBy("conversation_no", F.when(F.col("sure").isNull(), F.col("label")).alias("label")).agg(
+        (F.count_if(F.col("by_utterance") == "A") - F.count_if(F.col("by_utterance") == "B")).alias("margin"), F.count_if(F.col("sure") == "A").alias("a"), F.count_if(F.col("sure") == "B").alias("b"))
+    of = Window.partitionBy("conversation_no").orderBy(F.col("label").isNull(), F.desc("margin"), "label")
     every = Window.partitionBy("conversation_no")
-    assigned = open_.select("conversation_no", "label", F.when(F.count(F.lit(1)).over(every) == 2, F.when(F.row_number().over(of) == 1, "A").otherwise("B")).when(F.col("margin") > 0, "A").when(F.col("margin") < 0, "B").alias("by_assignment"))
+    open_label = F.col("label").isNotNull()
+    has_a, has_b = (F.max((F.col(c) > 0) | (open_label & side)).over(every) for c, side in (("a", F.col("margin") > 0), ("b", F.col("margin") < 0)))
+    free = F.when(has_a & ~has_b, "B").when(has_b & ~has_a, "A").when(~has_a & ~has_b, F.when(F.row_number().over(of) == 1, "A").otherwise("B"))
+    assigned = seen.select("conversation_no", "label", F.when(F.count("label").over(every) == 2, F.when(F.row_number().over(of) == 1, "A").otherwise("B")).when(F.col("margin") > 0, "A").when(F.col("margin") < 0, "B").otherwise(free).alias("by_assignment")).filter(open_label)
     return one.join(assigned, ["conversation_no", "label"], "left").select(
         "conversation_no", "transcript_index", "utterance_index", "subutterance_index", "text", "texts",
         F.coalesce("sure", F.when(F.col("label").isNotNull(), F.col("by_assignment")), "by_utterance").alias("speaker"),

@@ -73,6 +73,15 @@ def test_long_text(spark):
     assert col(spark, [long], U.clean_text) == ["word"]
 
 
+def test_open_labels_take_the_free_side(spark):
+    said = {1: ["A", "x"], 2: ["B", "x", "x"], 3: ["x"], 4: ["x", "y", "z"], 5: ["A", "x", "y", "z"], 6: ["A", "B", "x"]}
+    d = spark.createDataFrame([(c, i, who, i, 1, "hi") for c, w in said.items() for i, who in enumerate(w, 1)], ROW)
+    got = {}
+    for r in U.resolve_speakers(d, spark.createDataFrame([], META)).orderBy("conversation_no", "transcript_index").collect():
+        got.setdefault(r.conversation_no, []).append(r.speaker)
+    assert got == {1: ["A", "B"], 2: ["B", "A", "A"], 3: ["A"], 4: ["A", "B", "B"], 5: ["A", "B", "B", "B"], 6: ["A", "B", None]}
+
+
 def test_clean_words_of_recogniser_output(spark, tmp_path):
     words = [("so", 0.0, 0.5), ("uh", 0.5, 0.7), ("<noise>", 0.7, 0.9), (" well, ", 0.9, 1.4), (None, 1.4, 1.5), ("", 1.5, 1.6), ("fine", None, 2.0)]
     other = [("um", 0.0, 0.1)]
