@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from speechloom.session import ensure_checkpoint_dir
+from speechloom.session import forget, read_back, write_shared
 
 
 def _tidy(edges: DataFrame) -> DataFrame:
@@ -29,18 +29,23 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """Component of each node that has a link: node, component (the component's least node).
 
     edges: u, v BIGINT; order, repeats and self-links don't matter, rows with a null are left out. A node with self-links
-    only is not listed. Rounds grow with the logarithm of a component's size. Every round's links are checkpointed, so
-    plans stay short and a lost executor costs no earlier round; a node's links to its least neighbour are found by
+    only is not listed. Rounds grow with the logarithm of a component's size. Every round's links are written to the
+    shared folder and the round's before removed, so plans stay short and a lost executor costs no earlier round; a node's links to its least neighbour are found by
     aggregation and join, so no node's links are gathered in a task.
     """
-    ensure_checkpoint_dir(edges.sparkSession)
-    now = _tidy(edges.filter("u is not null and v is not null")).checkpoint()
+    spark = edges.sparkSession
+    first = _tidy(edges.filter("u is not null and v is not null"))
+    path = write_shared(first, "links")
     told = None
     while True:
-        now = _small_star(_large_star(now)).checkpoint()
+        now = read_back(first, path)
+        after = write_shared(_small_star(_large_star(now)), "links")
+        forget(spark, path)
+        path = after
         # Unchanged links mean stars: the count and the sums of their ends stay the same only then.
-        state = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
+        state = read_back(first, path).agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if told == state:
             break
         told = state
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    stars = read_back(first, path)
+    return stars.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(stars.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from speechloom.llm.components import connected_components
-from speechloom.llm.turns import clean_text, has_word, resolve_speakers
+from speechloom.llm.turns import clean_text, resolve_speakers, row_texts
+from speechloom.session import written
 
 
 def reply_links(rows: DataFrame, block: int = 50_000) -> DataFrame:
@@ -44,20 +45,28 @@ def find_conversations(rows: DataFrame) -> DataFrame:
 
 
 def with_identifiers(rows: DataFrame) -> DataFrame:
-    """rows (swda_utterance) with conversation_no filled in where it is missing.
-
-    A component that holds an identifier gives it to its rows; one without gets a negative number with 63 bits of its
-    own. Where no row lacks the identifier, rows come back as they are; else conversation_no is BIGINT.
-    """
-    if rows.filter("conversation_no is null").isEmpty():
+    """rows (swda_utterance) with conversation_no (BIGINT) filled in where it is missing.
+
+    A component that holds an identifier gives it to its rows (of several the least); one without gets a negative number
+    with 63 bits of its own. Only rows without identifier, and those their file or tree file links them to, are looked
+    at; a table in which every row has one comes back as it is."""
+    rows = rows.withColumn("conversation_no", F.col("conversation_no").cast("bigint"))
+    lacking = rows.filter("conversation_no is null")
+    if lacking.isEmpty():
         return rows
-    rows = rows.withColumn("node", F.xxhash64("swda_filename", "transcript_index", "text"))
-    nodes = rows.groupBy("node").agg(F.min("swda_filename").alias("swda_filename"), F.min("transcript_index").alias("transcript_index"), F.min("ptb_basename").alias("ptb_basename"), F.min("conversation_no").alias("given"))
+    # A row is known by its content, as its identifier isn't there: deliveries of one row are one node.
+    node = F.xxhash64(*[c for c in ("swda_filename", "ptb_basename", "transcript_index", "utterance_index", "subutterance_index", "text") if c in rows.columns])
+    links = written(lacking.select("swda_filename", "ptb_basename").distinct(), "lacking")
+    files, trees = links.select("swda_filename").filter("swda_filename is not null").distinct(), links.select("ptb_basename").filter("ptb_basename is not null").distinct()
+    every = rows.withColumn("node", node)
+    near = every.join(files, "swda_filename", "left_semi").unionByName(every.join(trees, "ptb_basename", "left_semi")).unionByName(every.filter("conversation_no is null"))
+    nodes = near.groupBy("node").agg(F.min("swda_filename").alias("swda_filename"), F.min("transcript_index").alias("transcript_index"), F.min("ptb_basename").alias("ptb_basename"), F.min("conversation_no").alias("given"))
     of = nodes.join(find_conversations(nodes.drop("given")), "node")
     named = of.groupBy("component").agg(F.min("given").alias("given"))
-    named = named.select("component", F.coalesce(F.col("given").cast("bigint"), F.col("component").bitwiseOR(F.lit(-(2**63)))).alias("found"))
-    found = of.join(named, "component").select("node", "found")
-    return rows.join(found, "node").withColumn("conversation_no", F.coalesce("conversation_no", "found")).drop("node", "found")
+    named = named.select("component", F.coalesce(F.col("given"), F.col("component").bitwiseOR(F.lit(-(2**63)))).alias("found"))
+    found = of.filter("given is null").join(named, "component").select("node", "found")
+    filled = lacking.withColumn("node", node).join(found, "node").withColumn("conversation_no", F.col("found")).select(*rows.columns)
+    return rows.filter("conversation_no is not null").unionByName(filled)
 
 
 def validate(resolved: DataFrame) -> DataFrame:
@@ -67,20 +76,22 @@ def validate(resolved: DataFrame) -> DataFrame:
     resolved: rows of resolve_speakers. lacks_index: a row has no utterance_index or subutterance_index. The gaps: index
     values that are not exactly 1...maximum. clash: a position with two speakers or two texts.
     """
-    position = resolved.withColumn("word", has_word(F.col("text"))).groupBy("conversation_no", "utterance_index", "subutterance_index").agg(
-        F.count(F.lit(1)).alias("n"), F.max((F.col("texts") > 1).cast("int")).alias("texts"), F.min("text").alias("t0"), F.max("text").alias("t1"), F.min("speaker").alias("s0"), F.max("speaker").alias("s1"),
-        F.max(F.when(F.col("word") & (F.col("speaker") == "A"), 1)).alias("a"), F.max(F.when(F.col("word") & (F.col("speaker") == "B"), 1)).alias("b"),
+    said_by = lambda s: F.max(F.col("word") & (F.col("speaker") == s))
+    side = F.when(F.col("speaker") == "A", 1).when(F.col("speaker") == "B", 2)
+    position = resolved.groupBy("conversation_no", "utterance_index", "subutterance_index").agg(
+        F.count(F.lit(1)).alias("n"), F.max("two_texts").alias("texts"), F.min("text_hash").alias("t0"), F.max("text_hash").alias("t1"), F.min(side).alias("s0"), F.max(side).alias("s1"), said_by("A").alias("a"), said_by("B").alias("b"),
     )
     lacks = F.col("utterance_index").isNull() | F.col("subutterance_index").isNull()
-    clash = ~lacks & ((F.col("texts") > 0) | (F.col("t0") != F.col("t1")) | (F.col("s0") != F.col("s1")))
+    clash = ~lacks & (F.col("texts") | (F.col("t0") != F.col("t1")) | (F.col("s0") != F.col("s1")))
     utterance = position.groupBy("conversation_no", "utterance_index").agg(
         F.sum("n").alias("n"), F.max(lacks).alias("lacks"), F.max(F.coalesce(clash, F.lit(False))).alias("clash"), F.max("a").alias("a"), F.max("b").alias("b"),
         F.count("subutterance_index").alias("subs"), F.min("subutterance_index").alias("lo"), F.max("subutterance_index").alias("hi"),
     )
     sub_gap = F.col("utterance_index").isNotNull() & ((F.col("lo") != 1) | (F.col("hi") != F.col("subs")))
+    speaking = lambda c: F.coalesce(F.max(c), F.lit(False)).cast("int")
     whole = utterance.groupBy("conversation_no").agg(
         F.sum("n").alias("n_rows"), F.max("lacks").alias("lacks_index"), F.max(F.coalesce(sub_gap, F.lit(False))).alias("subutterance_gap"), F.max("clash").alias("clash"),
-        F.count("utterance_index").alias("us"), F.min("utterance_index").alias("lo"), F.max("utterance_index").alias("hi"), (F.coalesce(F.max("a"), F.lit(0)) + F.coalesce(F.max("b"), F.lit(0))).alias("n_speaking"),
+        F.count("utterance_index").alias("us"), F.min("utterance_index").alias("lo"), F.max("utterance_index").alias("hi"), (speaking("a") + speaking("b")).alias("n_speaking"),
     )
     whole = whole.withColumn("utterance_gap", F.coalesce((F.col("lo") != 1) | (F.col("hi") != F.col("us")), F.lit(False)))
     broken = F.col("lacks_index") | F.col("utterance_gap") | F.col("subutterance_gap") | F.col("clash") | (F.col("n_speaking") < 2)
@@ -88,24 +99,29 @@ def validate(resolved: DataFrame) -> DataFrame:
 
 
 def rebuild_conversations(rows: DataFrame, roster: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows with identifier, speaker and text, verdicts of validate). Nulls in any column are allowed; empty tables
+    """(rows of resolve_speakers with identifier, verdicts of validate). Nulls in any column are allowed; empty tables
     give empty results; further columns are ignored."""
     resolved = resolve_speakers(with_identifiers(rows), roster)
     return resolved, validate(resolved)
 
 
 def good_conversations(rows: DataFrame, roster: DataFrame) -> DataFrame:
-    """The rows of whole conversations in order: conversation_no, position (from 1), speaker, utterance_index,
+    """The rows of whole conversations in order: conversation_no (BIGINT), position (from 1), speaker, utterance_index,
     subutterance_index, text, clean_text. position counts along (utterance_index, subutterance_index)."""
-    resolved, verdict = rebuild_conversations(rows, roster)
-    kept = resolved.join(verdict.filter("not broken").select("conversation_no"), "conversation_no", "left_semi")
-    # A whole conversation has each position once and no holes: rows before an utterance are those of earlier ones.
-    sizes = kept.groupBy("conversation_no", "utterance_index").agg(F.countDistinct("subutterance_index").alias("_n"))
+    rows = with_identifiers(rows)
+    resolved = written(resolve_speakers(rows, roster), "resolved")
+    good = validate(resolved).filter("not broken").select("conversation_no")
+    # A whole conversation has each position once, but for repeats of one text by one speaker, and no holes: rows before
+    # an utterance are those of earlier ones.
+    kept = resolved.join(good, "conversation_no", "left_semi").groupBy("conversation_no", "utterance_index", "subutterance_index").agg(F.min("speaker").alias("speaker"), F.min("transcript_index").alias("transcript_index"))
+    kept = written(kept, "positions")
+    sizes = kept.groupBy("conversation_no", "utterance_index").agg(F.count(F.lit(1)).alias("_n"))
     # Running sums inside blocks of utterances, and over one row per block.
     sizes = sizes.withColumn("_k", F.expr("utterance_index div 50000"))
+    so_far = lambda *by: Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, 0)
     blocks = sizes.groupBy("conversation_no", "_k").agg(F.sum("_n").alias("_t"))
-    blocks = blocks.select("conversation_no", "_k", (F.sum("_t").over(Window.partitionBy("conversation_no").orderBy("_k")) - F.col("_t")).alias("_base"))
-    before = F.col("_base") + F.sum("_n").over(Window.partitionBy("conversation_no", "_k").orderBy("utterance_index")) - F.col("_n")
-    kept = kept.groupBy("conversation_no", "utterance_index", "subutterance_index").agg(F.min("speaker").alias("speaker"), F.min("text").alias("text"))
-    return kept.join(sizes.join(blocks, ["conversation_no", "_k"]).withColumn("_before", before), ["conversation_no", "utterance_index"]).select(
+    blocks = blocks.select("conversation_no", "_k", (F.sum("_t").over(so_far("conversation_no", "_k")) - F.col("_t")).alias("_base"))
+    before = F.col("_base") + F.sum("_n").over(so_far("conversation_no", "_k", "utterance_index")) - F.col("_n")
+    placed = kept.join(sizes.join(blocks, ["conversation_no", "_k"]).withColumn("_before", before), ["conversation_no", "utterance_index"])
+    return placed.join(row_texts(rows), ["conversation_no", "transcript_index"]).select(
         "conversation_no", (F.col("_before") + F.col("subutterance_index")).cast("int").alias("position"), "speaker", "utterance_index", "subutterance_index", "text", clean_text(F.col("text")).alias("clean_text"))

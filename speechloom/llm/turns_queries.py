@@ -5,17 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from speechloom.llm.turns import clean_text, clean_turns, has_word, resolve_speakers
+from speechloom.llm.turns import clean_text, clean_turns, has_word, resolve_speakers, row_texts
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return clean_turns(spark.read.parquet(f"{d}/swda_utterance.parquet"), spark.read.parquet(f"{d}/swda_metadata.parquet"))
+    turns = clean_turns(spark.read.parquet(f"{d}/swda_utterance.parquet"), spark.read.parquet(f"{d}/swda_metadata.parquet"))
+    return turns.withColumn("conversation_no", F.col("conversation_no").cast("int"))
 
 
 def p3_clean_rows(spark: SparkSession, d: str) -> DataFrame:
     """Every row that keeps a word, with its speaker and clean text."""
-    rows = resolve_speakers(spark.read.parquet(f"{d}/swda_utterance.parquet"), spark.read.parquet(f"{d}/swda_metadata.parquet"))
-    return rows.filter(has_word(F.col("text"))).select("conversation_no", "transcript_index", "speaker", clean_text(F.col("text")).alias("clean_text"))
+    utterances = spark.read.parquet(f"{d}/swda_utterance.parquet")
+    spoken = resolve_speakers(utterances, spark.read.parquet(f"{d}/swda_metadata.parquet")).filter("word")
+    return spoken.join(row_texts(utterances), ["conversation_no", "transcript_index"]).select(F.col("conversation_no").cast("int"), "transcript_index", "speaker", clean_text(F.col("text")).alias("clean_text"))
 
 
 def p3_asr_words(spark: SparkSession, d: str) -> DataFrame:

@@ -34,7 +34,7 @@ def test_good(spark):
 
 
 def test_many_without_identifier_stay_apart(spark):
-    n = 150_000  # with identifiers of 31 bits about five pairs would be one
+    n = 60_000  # with identifiers of 31 bits a pair or two would be one
     d = spark.range(n).selectExpr("concat('f', id) as swda_filename", "cast(null as string) as ptb_basename", "cast(null as int) as conversation_no", "1 as transcript_index", "'A' as caller", "1 as utterance_index", "1 as subutterance_index", "'hi' as text")
     got = with_identifiers(d.unionByName(frame(spark, GOOD)))
     assert got.select("conversation_no").distinct().count() == n + 1 and got.filter("conversation_no >= 0").select("conversation_no").distinct().collect() == [(1,)]

@@ -90,3 +90,14 @@ def test_clean_words_of_recogniser_output(spark, tmp_path):
 
     assert rows(QUERIES["p3_asr_clean_words"](spark, str(tmp_path))) == [("f", 0, 0, "so", 0.0, 0.5), ("f", 0, 3, "well,", 0.9, 1.4), ("f", 0, 6, "fine", None, 2.0)]
     assert rows(QUERIES["p3_asr_words"](spark, str(tmp_path))) == [("f", 0, 7, 3), ("f", 1, 1, 0)]
+
+
+def test_shortcut_of_has_word_agrees_with_clean_text(spark, data):
+    texts = spark.read.parquet(f"{data}/swda_utterance.parquet").select("text").unionByName(spark.read.parquet(f"{data}/asr_json.parquet").select(F.explode("words").alias("w")).select(F.col("w.word").alias("text"))).distinct()
+    assert texts.count() > 500 and texts.filter(~U.has_word(F.col("text")).eqNullSafe(U.clean_text(F.col("text")).rlike(r"[\p{L}\p{N}]"))).count() == 0
+
+
+def test_role_words_are_learned_across_transcripts(spark):
+    d = spark.createDataFrame([(c, i, who, i, 1, "hi") for c in range(3) for i, who in enumerate(["Talker A", "talker-b", "Tolker B", "Mr B"], 1)], ROW)
+    assert U.learned_roles(d) == (*U.ROLES, "talker")
+    assert {r.transcript_index: r.speaker for r in U.resolve_speakers(d.filter("transcript_index < 4"), spark.createDataFrame([], META)).collect()} == {1: "A", 2: "B", 3: "B"}
