@@ -50,5 +50,22 @@ def test_nulls_repeats_empty_and_further_columns(spark):
 
 def test_times_not_given(spark):
     nan = float("nan")
-    df = spark.createDataFrame([("a", 1.0, 2.0), ("a", nan, 2.0), ("a", 1.0, None), ("a", 3.0, 2.0), ("a", 1.0, float("inf"))], "k string, x double, y double")
-    assert rows(unpivot_spans(df, ["k"], {"f": ("x", "y")})) == [("a", "f", 10_000, 20_000)]
+    df = spark.createDataFrame([("a", 1.0, 2.0), ("a", nan, 2.0), ("a", 1.0, None), ("a", 3.0, 2.0), ("a", 1.0, float("inf")), ("a", 2e9, 2e9 + 5)], "k string, x double, y double")
+    assert rows(unpivot_spans(df, ["k"], {"f": ("x", "y")})) == [("a", "f", 10_000, 20_000), ("a", "f", 20_000_000_000_000, 20_000_000_050_000)]
+
+
+@pytest.mark.parametrize("bucket", [3, 10])
+def test_intervals_over_many_buckets_against_brute_force(spark, bucket):
+    rng = random.Random(bucket)
+    data = [(f"k{rng.randrange(40)}", b := rng.randrange(-200, 900), b + rng.choice([1, 2, 3, bucket, 4 * bucket, 17 * bucket, 200])) for _ in range(400)]
+    data += [(None, *d[1:]) for d in data[:12]]
+    want = []
+    for k in {d[0] for d in data}:
+        p = brute([d[1:] for d in data if d[0] == k])
+        want += [(k, "period", b, f, s) for b, f, s in p] + [(k, "hole", a[1], b[0], None) for a, b in zip(p, p[1:])]
+    assert rows(periods_and_holes(spark.createDataFrame(data, SCHEMA), ["k"], None, bucket)) == sorted(want, key=repr)
+
+
+def test_an_interval_of_any_length_is_cheap(spark):
+    df = spark.createDataFrame([("a", 0, 10**16), ("a", 5 * 10**15, 5 * 10**15 + 3), ("a", 10**16 + 5, 10**16 + 6)], SCHEMA)
+    assert rows(periods_and_holes(df, ["k"])) == [("a", "hole", 10**16, 10**16 + 5, None), ("a", "period", 0, 10**16, True), ("a", "period", 10**16 + 5, 10**16 + 6, False)]
