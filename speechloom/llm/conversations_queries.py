@@ -38,7 +38,7 @@ def p5_recovered(spark: SparkSession, d: str) -> DataFrame:
     h = F.pmod(F.xxhash64(F.lit("blank"), "conversation_no", "transcript_index"), F.lit(6))
     blanked = rows.withColumns({"given": F.col("conversation_no"), "conversation_no": F.when(h < 2, F.col("conversation_no")), "swda_filename": F.when((h < 4) | F.col("ptb_basename").isNull(), F.col("swda_filename"))})
     found = with_identifiers(blanked).filter(F.pmod(F.xxhash64(F.lit("blank"), "given", "transcript_index"), F.lit(6)) >= 2)
-    return found.agg((F.count(F.lit(1)) > 0).alias("any"), F.count_if(F.col("conversation_no") == F.col("given")).alias("right"), F.count_if((F.col("conversation_no") != F.col("given")) & (F.col("conversation_no") >= 0)).alias("wrong"), F.count(F.lit(1)).alias("n")).select("any", (F.col("right") >= 0.9 * F.col("n")).alias("recall_at_least_90"), "wrong")
+    return found.agg((F.count(F.lit(1)) > 0).alias("some"), F.count_if(F.col("conversation_no") == F.col("given")).alias("right"), F.count_if((F.col("conversation_no") != F.col("given")) & (F.col("conversation_no") >= 0)).alias("wrong"), F.count(F.lit(1)).alias("n")).select("some", (F.col("right") >= 0.9 * F.col("n")).alias("recall_at_least_90"), "wrong")
 
 
 _VERDICT_SQL = ROWS_SQL + rf""",
@@ -56,7 +56,7 @@ SQL = {
     "p5_conversations": _VERDICT_SQL + """
 SELECT conversation_no, CAST(row_number() OVER (PARTITION BY conversation_no ORDER BY utterance_index, subutterance_index) AS INTEGER) AS position, speaker, utterance_index, subutterance_index, text
 FROM (SELECT conversation_no, utterance_index, subutterance_index, min(speaker) AS speaker, min(text) AS text FROM u WHERE conversation_no NOT IN (SELECT conversation_no FROM bad) GROUP BY 1, 2, 3)""",
-    "p5_recovered": "SELECT true AS "any", true AS recall_at_least_90, CAST(0 AS BIGINT) AS wrong",
+    "p5_recovered": "SELECT true AS some, true AS recall_at_least_90, CAST(0 AS BIGINT) AS wrong",
     "p5_threads": "SELECT count(DISTINCT transcript_index) AS n_rows, min(transcript_index) AS first_index, max(transcript_index) AS last_index FROM swda_utterance GROUP BY conversation_no",
 }
 QUERIES = {"p5_found": p5_found, "p5_conversations": p5_conversations, "p5_threads": p5_threads, "p5_recovered": p5_recovered}

@@ -4,9 +4,11 @@ Method. Best-fit decreasing: items in decreasing size go to the open container w
 them, found in a segment tree over remaining capacities in logarithmic time. A larger item is cut into full pieces and
 a rest, which is packed like an item.
 
-Each task packs the rows of its own input partition, at most BATCH items at a time, so nothing is shuffled, no task
-holds more than BATCH sizes, and what is lost against one packing of everything is at most a few containers per batch.
-Container ids name the partition and the container in it. Only ids, sizes and places leave the operator.
+There are at most `capacity` sizes, so the whole packing is decided on how many items of each size there are: items of
+one size are interchangeable, and runs of containers with the same room are taken from the tree at once. The result is
+that of one packing of everything, whatever the input's files and partitions. It says where the r-th item of each size
+goes; items take their rank in their size from counts per (size, hash bucket), so no size is ordered in one task. Only
+counts per size (at most `capacity` rows) reach the driver, and only ids, sizes and places leave the operator.
 """
 
 from __future__ import annotations
@@ -15,12 +17,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from speechloom.session import shuffle_partitions, small_table, written
+
 CAPACITY = 1_024
-#: Items packed at once by a task.
-BATCH = 500_000
+#: Copies of one (key, size) that are worked on as one row.
+COPIES = 65_536
+_RANK_BITS = 44
 
 #: The token rule \w+|[^\w\s]+ with the Unicode meaning of \w (letters, numbers, underscore) and \s.
 _SPACE = r"\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
@@ -33,25 +38,26 @@ def count_tokens(text: Column) -> Column:
 
 
 class Room:
-    """Segment tree over remaining capacities 0...capacity: how many open containers have each."""
+    """Segment tree over remaining capacities 0...capacity: the runs of open containers that have each."""
 
     def __init__(self, capacity: int) -> None:
         self.leaves = 1 << capacity.bit_length()
         self.count = [0] * (2 * self.leaves)
-        self.open: list[list[int]] = [[] for _ in range(capacity + 1)]
+        self.open: list[list[tuple[int, int]]] = [[] for _ in range(capacity + 1)]
 
-    def add(self, room: int, container: int) -> None:
-        self.open[room].append(container)
+    def add(self, room: int, first: int, n: int) -> None:
+        self.open[room].append((first, n))
         i = room + self.leaves
         while i:
             self.count[i] += 1
             i >>= 1
 
-    def take(self, size: int) -> tuple[int, int] | None:
-        """(room, container) of the tightest container with room for size, which is removed; None if there is none."""
+    def take(self, size: int) -> tuple[int, int, int] | None:
+        """(room, first container, containers) of a run with the least room for size, which is removed; None if there
+        is none."""
         i = size + self.leaves
         if not self.count[i]:
-            # Up until a right sibling holds a container, then down to its leftmost one.
+            # Up until a right sibling holds a run, then down to its leftmost one.
             while i > 1 and (i & 1 or not self.count[i + 1]):
                 i >>= 1
             if i <= 1:
@@ -63,60 +69,68 @@ class Room:
         while i:
             self.count[i] -= 1
             i >>= 1
-        return room, self.open[room].pop()
-
-
-def best_fit_decreasing(sizes: np.ndarray, capacity: int) -> np.ndarray:
-    """Container (from 0) of each size; 0 < size <= capacity. Equal sizes keep their order."""
-    at = np.empty(len(sizes), np.int64)
-    room, n = Room(capacity), 0
-    for i in np.argsort(-sizes, kind="stable").tolist():
-        size = int(sizes[i])
-        if (hit := room.take(size)) is None:
-            left, c = capacity - size, n
-            n += 1
-        else:
-            left, c = hit[0] - size, hit[1]
-        at[i] = c
-        if left:
-            room.add(left, c)
-    return at
-
-
-def pack(items: DataFrame, key: str, size: str, capacity: int = CAPACITY, batch: int = BATCH) -> DataFrame:
-    """Pieces of items in containers: key, piece (from 0), offset and length (tokens), part, container.
-
-    items: key (any type), size BIGINT; further columns are ignored. (part, container) names a container. Only items
-    larger than capacity have more than one piece. Null, zero and negative sizes take no room and get no piece; null and
-    repeated keys are packed row by row; an empty table gives an empty result.
-    """
-    kind = dict(items.dtypes)[key]
-    rows = items.select(F.col(key).alias("key"), F.col(size).cast("bigint").alias("size"), F.spark_partition_id().alias("part")).filter("size > 0")
-
-    def packed(got: list[pd.DataFrame], number: int) -> pd.DataFrame:
-        df = pd.concat(got, ignore_index=True)
-        sizes = df["size"].to_numpy()
-        pieces = -(-sizes // capacity)
-        row = np.repeat(np.arange(len(df)), pieces)
-        piece = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-        length = np.minimum(capacity, sizes[row] - piece * capacity)
-        # Part and batch in one number: a partition has less than 2^20 batches.
-        return pd.DataFrame({"key": df["key"].to_numpy()[row], "piece": piece.astype("int32"), "offset": piece * capacity, "length": length, "part": df["part"].to_numpy()[row].astype("int64") << 20 | number, "container": best_fit_decreasing(length, capacity)})
-
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, n, number = [], 0, 0
-        for df in it:
-            for at in range(0, len(df), batch):
-                piece = df.iloc[at : at + batch]
-                if n and n + len(piece) > batch:
-                    yield packed(held, number)
-                    held, n, number = [], 0, number + 1
-                held.append(piece)
-                n += len(piece)
-        if n:
-            yield packed(held, number)
-
-    return rows.mapInPandas(run, f"key {kind}, piece int, offset bigint, length bigint, part bigint, container bigint").withColumnRenamed("key", key)
+        return room, *self.open[room].pop()
+
+
+def best_fit_decreasing(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int]]:
+    """(size, rank, container, per): from this rank on the items of a size go to containers from this one on, `per` to
+    each. counts: items of each size, 0 < size <= capacity. In order of size and rank.
+
+    A container that took an item has less room than before, so it stays the tightest while it takes one more: a run of
+    containers with room r takes r // size items each."""
+    places, fresh, room = [], 0, Room(capacity)
+    for size in sorted(counts, reverse=True):
+        left, rank = counts[size], 0
+        while left:
+            if (hit := room.take(size)) is None:
+                free, first, n = capacity, fresh, -(-left // (capacity // size))
+                fresh += n
+            else:
+                free, first, n = hit
+            per = free // size
+            for run, each in ((min(n, left // per), per), (1, left % per if left < n * per else 0)):
+                if run and each:
+                    places.append((size, rank, first, each))
+                    if rest := free - each * size:
+                        room.add(rest, first, run)
+                    first, n, rank, left = first + run, n - run, rank + run * each, left - run * each
+            if n:
+                room.add(free, first, n)
+    return sorted(places)
+
+
+def pack(items: DataFrame, key: str, size: str, capacity: int = CAPACITY) -> DataFrame:
+    """Pieces of items in containers: key, piece (from 0), offset and length (tokens), container.
+
+    items: key (any type that can be grouped by), size BIGINT; further columns are ignored. Only items larger than
+    capacity have more than one piece. Null, zero and negative sizes take no room and get no piece; rows with a null or
+    repeated key are packed one by one; an empty table gives an empty result. Sizes are counted when this is called."""
+    buckets = shuffle_partitions(items.sparkSession)
+    sized = items.select(F.col(key).alias("_key"), F.col(size).cast("bigint").alias("_size")).filter("_size > 0").groupBy("_key", "_size").agg(F.count(F.lit(1)).alias("_n"))
+    sized = written(sized, "sizes").withColumn("_c", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"(_n - 1) div {COPIES}"))))
+    sized = sized.withColumn("_n", F.least(F.lit(COPIES), F.col("_n") - F.col("_c") * COPIES)).withColumn("_bucket", F.pmod(F.xxhash64("_key", "_size", "_c"), F.lit(buckets)))
+    # An item's full pieces, and its rest.
+    full, rest = F.expr(f"_size div {capacity}"), F.col("_size") % capacity
+    kinds = F.array(F.struct(F.lit(capacity).cast("bigint").alias("length"), full.alias("units"), F.lit(0).cast("bigint").alias("first")), F.struct(rest.alias("length"), (rest > 0).cast("bigint").alias("units"), full.alias("first")))
+    runs = sized.withColumn("_r", F.explode(F.filter(kinds, lambda x: x["units"] > 0))).select("_key", "_size", "_c", "_bucket", "_r.*", (F.col("_n") * F.col("_r.units")).alias("_w"))
+    cells = runs.groupBy("length", "_bucket").agg(F.sum("_w").alias("_t"))
+    until = lambda *by: Window.partitionBy("length", *by[:-1]).orderBy(*by[-1]).rowsBetween(Window.unboundedPreceding, 0)
+    bases = cells.select("length", "_bucket", (F.sum("_t").over(until(["_bucket"])) - F.col("_t")).alias("_base"))
+    counts = {r["length"]: r["n"] for r in small_table(cells.groupBy("length").agg(F.sum("_t").alias("n")), capacity)}
+    places = np.array(best_fit_decreasing(counts, capacity), np.int64).reshape(-1, 4)
+
+    @F.pandas_udf("bigint")
+    def container(it: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        starts = (places[:, 0] << _RANK_BITS) | places[:, 1]
+        for lengths, ranks in it:
+            s, r = lengths.to_numpy(np.int64), ranks.to_numpy(np.int64)
+            at = places[np.searchsorted(starts, (s << _RANK_BITS) | r, "right") - 1]
+            yield pd.Series(at[:, 2] + (r - at[:, 1]) // at[:, 3])
+
+    ranked = runs.withColumn("_start", F.sum("_w").over(until("_bucket", ["_size", "_key", "_c"])) - F.col("_w")).join(bases, ["length", "_bucket"])
+    each = ranked.withColumn("_u", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_w") - 1)))
+    piece = F.col("first") + F.col("_u") % F.col("units")
+    return each.select(F.col("_key").alias(key), piece.cast("int").alias("piece"), (piece * capacity).alias("offset"), "length", container("length", F.col("_base") + F.col("_start") + F.col("_u")).alias("container"))
 
 
 def pack_documents(documents: DataFrame, capacity: int = CAPACITY) -> DataFrame:
