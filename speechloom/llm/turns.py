@@ -32,24 +32,31 @@ _ROLE_AND_SIDE = r"^([a-z]*?)\s*([ab])$"
 _BLOCK = 50_000
 
 
-def clean_text(text: Column) -> Column:
-    """The words of a text, with sentence punctuation, single spaces. Null gives ''."""
+def _bare(text: Column) -> Column:
+    """A text without label, notes, times, markup and hesitations."""
     t = F.regexp_replace(F.coalesce(text, F.lit("")), TEXT_LABEL, " ")
     for pattern in (NOTES, TIMES, MARKUP, HESITATIONS):
         t = F.regexp_replace(t, pattern, " ")
-    t = F.regexp_replace(t, r"(?U)\s+(?=[,.?!;])", "")
+    return t
+
+
+def clean_text(text: Column) -> Column:
+    """The words of a text, with sentence punctuation, single spaces. Null gives ''."""
+    t = F.regexp_replace(_bare(text), r"(?U)\s+(?=[,.?!;])", "")
     t = F.regexp_replace(t, r"(?U)(?:^|(?<=\s))[,.?!;:\-]+|(?<=,),+", " ")
     return F.trim(F.regexp_replace(t, r"(?U)\s+", " "))
 
 
-#: Letters of neither hesitations nor side letters: one of them is a word's, where a text has no notes and no role word.
+#: Lower-case letters of neither hesitations nor side letters: one of them is a word's, where a text holds nothing that
+#: may be a note (a bracket before a space opens a repair, and what follows a brace is upper case) and no role word.
 _SURE = "[cdfgijklnopqstvwxyz]"
-_MAYBE_NOT = r"[<(\[*{]|^\s*(?i:speaker|spk|caller)"
+_MAYBE_NOT = r"[<(*]|\[\S|^\s*(?i:speaker|spk|caller)"
 
 
 def has_word(text: Column) -> Column:
-    """Whether clean_text leaves a letter or digit. Texts that surely do aren't cleaned."""
-    return F.when(text.rlike(_SURE) & ~text.rlike(_MAYBE_NOT), True).otherwise(clean_text(text).rlike(r"[\p{L}\p{N}]"))
+    """Whether clean_text leaves a letter or digit (what it does after _bare takes none). Texts that surely hold a word
+    aren't stripped; a test compares both over whole tables."""
+    return F.when(text.rlike(_SURE) & ~text.rlike(_MAYBE_NOT), True).otherwise(_bare(text).rlike(r"[\p{L}\p{N}]"))
 
 
 def plain_label(label: Column) -> Column:
