@@ -1,7 +1,7 @@
 """Agreement and correlation statistics as grouped aggregations.
 
 All work on long tables: group columns plus a and b (two measurements of one thing), or two boolean labels. Nothing but
-sums leaves the map side, apart from ranks, which need their group's values in order.
+sums leaves the map side, apart from ranks and percentiles, which are made from counts per value.
 """
 
 from __future__ import annotations
@@ -12,9 +12,9 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from speechloom.functions.text import ratio
+from speechloom.session import written
 
 
 def _by(df: DataFrame, by: list[str], *aggs: Column) -> DataFrame:
@@ -38,32 +38,63 @@ def average_rank(column: str, by: list[str]) -> Column:
     return F.rank().over(Window.partitionBy(*by).orderBy(column)) + (F.count(F.lit(1)).over(Window.partitionBy(*by, column)) - 1) / 2
 
 
-def distributed_ranks(df: DataFrame, column: str, by: list[str]) -> DataFrame:
-    """df with rank_<column>, its average rank within by, for groups of any size.
+#: Blocks a group's values are cut into, by approximate quantiles.
+VALUE_BLOCKS = 64
 
-    Values are counted first (hot ones collapse on the map side), the counts are summed along the values inside blocks
-    found by approximate quantiles of the group, and only block totals are summed over a group."""
-    if not by:
-        return distributed_ranks(df.withColumn("_all", F.lit(0)), column, ["_all"]).drop("_all")
-    counts = df.groupBy(*by, column).agg(F.count(F.lit(1)).alias("_n"))
-    cuts = counts.groupBy(*by).agg(F.percentile_approx(column, [i / 64 for i in range(1, 64)], 1000).alias("_cuts"))
-    placed = counts.join(cuts, by).withColumn("_k", F.size(F.filter("_cuts", lambda c: c < F.col(column)))).drop("_cuts")
-    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
-    inside = placed.withColumn("_in", F.coalesce(F.sum("_n").over(before(Window.partitionBy(*by, "_k").orderBy(column))), F.lit(0)))
-    totals = placed.groupBy(*by, "_k").agg(F.sum("_n").alias("_t")).withColumn("_base", F.coalesce(F.sum("_t").over(before(Window.partitionBy(*by).orderBy("_k"))), F.lit(0))).drop("_t")
-    ranks = inside.join(totals, [*by, "_k"]).select(*by, column, (F.col("_base") + F.col("_in") + (F.col("_n") + 1) / 2).alias(f"rank_{column}"))
-    return df.join(ranks, [*by, column])
-
-
-def spearman(df: DataFrame, by: list[str], small: bool = False) -> DataFrame:
-    """by, n, spearman_rho: the correlation of average ranks. small: groups are known to fit a task (one row per file,
-    say), so that ranks may be made by ordering each group in one."""
-    df = df.filter("a is not null and b is not null").select(*by, "a", "b")
-    if small:
-        ranked = df.select(*by, average_rank("a", by).alias("a"), average_rank("b", by).alias("b"))
-    else:
-        ranked = distributed_ranks(distributed_ranks(df, "a", by), "b", by).select(*by, F.col("rank_a").alias("a"), F.col("rank_b").alias("b"))
-    return pearson(ranked, by).select(*by, "n", F.col("pearson_r").alias("spearman_rho"))
+
+def cumulative(counts: DataFrame, by: list[str]) -> DataFrame:
+    """counts (by, v, n; one row per value) with before, how many rows of the group have a smaller value, and total, its
+    rows; for groups of any size.
+
+    Hot values collapse in the counts. These are summed along the values inside blocks found by approximate quantiles of
+    the group, and only block totals are summed over a group. The counts are written once, as they are read three times."""
+    counts = written(counts.select(*by, "v", "n"), "counts").withColumn("_g", F.struct(F.lit(0), *by))
+    cuts = counts.groupBy("_g").agg(F.percentile_approx("v", [i / VALUE_BLOCKS for i in range(1, VALUE_BLOCKS)], 1000).alias("_cuts"))
+    placed = counts.join(cuts, "_g").withColumn("_k", F.size(F.filter("_cuts", lambda c: c < F.col("v")))).drop("_cuts")
+    prior = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    inside = placed.withColumn("_in", F.coalesce(F.sum("n").over(prior(Window.partitionBy("_g", "_k").orderBy("v"))), F.lit(0)))
+    group = Window.partitionBy("_g")
+    blocks = placed.groupBy("_g", "_k").agg(F.sum("n").alias("_t")).select("_g", "_k", F.coalesce(F.sum("_t").over(prior(group.orderBy("_k"))), F.lit(0)).alias("_base"), F.sum("_t").over(group).alias("total"))
+    return inside.join(blocks, ["_g", "_k"]).select(*by, "v", "n", (F.col("_base") + F.col("_in")).alias("before"), "total")
+
+
+def average_ranks(counts: DataFrame, by: list[str]) -> DataFrame:
+    """by, v, rank: the average rank from 1 of each value of counts (by, v, n), and total."""
+    return cumulative(counts, by).select(*by, "v", (F.col("before") + (F.col("n") + 1) / 2).alias("rank"), "total")
+
+
+def percentiles(values: DataFrame, by: list[str], at: tuple[float, ...]) -> DataFrame:
+    """by, and p0, p1, ... the exact percentiles of v (linear between neighbours) at the given shares, for groups of any
+    size. Nulls and NaN are left out."""
+    counts = values.filter("v is not null and not isnan(v)").groupBy(*by, "v").agg(F.count(F.lit(1)).alias("n"))
+    c = cumulative(counts, by)
+    place = [F.lit(q) * (F.col("total") - 1) for q in at]
+    holds = lambda p: (F.col("before") <= p) & (p < F.col("before") + F.col("n"))
+    sides = [(F.max(F.when(holds(F.floor(p)), F.col("v"))).alias(f"_lo{i}"), F.max(F.when(holds(F.ceil(p)), F.col("v"))).alias(f"_hi{i}"), F.max(p - F.floor(p)).alias(f"_w{i}")) for i, p in enumerate(place)]
+    found = c.groupBy(*by).agg(*[x for s in sides for x in s])
+    return found.select(*by, *[(F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * F.col(f"_w{i}")).alias(f"p{i}") for i in range(len(at))])
+
+
+def spearman(df: DataFrame, by: list[str]) -> DataFrame:
+    """by, n, spearman_rho: the correlation of average ranks, over rows with both values. Null where a or b doesn't vary.
+
+    Rows collapse to pairs of values and these to values, so ranks join pairs; only a value paired with very many others
+    stays heavy, which the adaptive skew join splits."""
+    pairs = written(df.filter("a is not null and b is not null").groupBy(*by, "a", "b").agg(F.count(F.lit(1)).alias("n")), "pairs")
+    side = lambda name: F.struct(F.lit(name).alias("side"), F.col(name).cast("double").alias("v"))
+    counts = pairs.select(*by, "n", F.explode(F.array(side("a"), side("b"))).alias("x")).groupBy(*by, "x.side", "x.v").agg(F.sum("n").alias("n"))
+    ranks = average_ranks(counts, [*by, "side"])
+    of = lambda name: ranks.filter(F.col("side") == name).select(F.struct(F.lit(0), *by).alias("_g"), F.col("v").alias(f"_{name}"), (F.col("rank") - (F.col("total") + 1) / 2).alias(f"_r{name}"))
+    p = pairs.select(*by, "n", F.struct(F.lit(0), *by).alias("_g"), F.col("a").cast("double").alias("_a"), F.col("b").cast("double").alias("_b")).join(of("a"), ["_g", "_a"]).join(of("b"), ["_g", "_b"])
+    # Ranks are centred, so their sums of products are the covariance and the variances.
+    s = _by(p, by, F.sum("n").alias("n"), F.sum(F.col("n") * F.col("_ra") * F.col("_rb")).alias("_ab"), F.sum(F.col("n") * F.col("_ra") * F.col("_ra")).alias("_aa"), F.sum(F.col("n") * F.col("_rb") * F.col("_rb")).alias("_bb"))
+    return s.select(*by, "n", F.try_divide("_ab", F.sqrt("_aa") * F.sqrt("_bb")).alias("spearman_rho"))
+
+
+def spearman_small(df: DataFrame, by: list[str]) -> DataFrame:
+    """spearman for groups that are known to fit a task: ranks are made by ordering each group in one."""
+    df = df.filter("a is not null and b is not null").select(*by, average_rank("a", by).alias("a"), average_rank("b", by).alias("b"))
+    return pearson(df, by).select(*by, "n", F.col("pearson_r").alias("spearman_rho"))
 
 
 def icc_2_1(df: DataFrame, by: list[str]) -> DataFrame:
@@ -134,8 +165,11 @@ def macro(df: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
 
 def roc_auc(df: DataFrame, by: list[str], score: str, positive: Column) -> DataFrame:
     """by, n_pos, n_neg, auc by average ranks; null where a class is missing."""
-    ranked = distributed_ranks(df.filter(F.col(score).isNotNull()).select(*by, F.col(score), positive.alias("_p")), score, by).withColumnRenamed(f"rank_{score}", "_r")
-    s = _by(ranked, by, F.count_if("_p").alias("n_pos"), F.count_if(~F.col("_p")).alias("n_neg"), F.sum(F.when(F.col("_p"), F.col("_r"))).alias("_s"))
+    seen = df.filter(F.col(score).isNotNull()).groupBy(*by, F.col(score).cast("double").alias("v")).agg(F.count_if(positive).alias("p"), F.count(F.lit(1)).alias("n"))
+    seen = written(seen, "scores")
+    key = [F.struct(F.lit(0), *by).alias("_g"), "v"]
+    ranked = seen.select(*by, "p", "n", *key).join(average_ranks(seen, by).select(*key, "rank"), ["_g", "v"])
+    s = _by(ranked, by, F.sum("p").alias("n_pos"), F.sum(F.col("n") - F.col("p")).alias("n_neg"), F.sum(F.col("p") * F.col("rank")).alias("_s"))
     n = F.col("n_pos").cast("double")
     return s.select(*by, "n_pos", "n_neg", F.try_divide(F.col("_s") - n * (n + 1) / 2, n * F.col("n_neg")).alias("auc"))
 
@@ -143,7 +177,11 @@ def roc_auc(df: DataFrame, by: list[str], score: str, positive: Column) -> DataF
 def describe(df: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
     """Long table by, measure, count, mean, std (sample), min, p25, p50, p75, max (exact, linear between neighbours)."""
     long = df.select(*by, F.explode(F.array(*[F.struct(F.lit(c).alias("measure"), F.col(c).cast("double").alias("v")) for c in columns])).alias("x")).select(*by, "x.*").filter("v is not null and not isnan(v)")
-    return _by(long, [*by, "measure"], F.count("v").alias("count"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.min("v").alias("min"), *[F.percentile("v", F.lit(q / 100)).alias(f"p{q}") for q in (25, 50, 75)], F.max("v").alias("max"))
+    long, by = written(long, "measures"), [*by, "measure"]
+    g = F.struct(F.lit(0), *by).alias("_g")
+    plain = _by(long, by, F.count("v").alias("count"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.min("v").alias("min"), F.max("v").alias("max")).withColumn("_g", g)
+    p = percentiles(long, by, (0.25, 0.5, 0.75)).select(g, F.col("p0").alias("p25"), F.col("p1").alias("p50"), F.col("p2").alias("p75"))
+    return plain.join(p, "_g").select(*by, "count", "mean", "std", "min", "p25", "p50", "p75", "max")
 
 
 def _tail(t: float, df: float) -> float:
@@ -184,12 +222,6 @@ def p_value(r: str, n: str) -> Column:
     return tail(F.col(r).cast("double"), F.col(n).cast("bigint"))
 
 
-@F.pandas_udf(DoubleType())
-def round_half_even(v: pd.Series, places: pd.Series) -> pd.Series:
-    """Rounding of the binary value, ties to even, as in correct decimal rounding of floats."""
-    return pd.Series([None if x is None or x != x else round(float(x), int(k)) for x, k in zip(v, places)], dtype="float64")
-
-
 def with_overall(df: DataFrame, subset: str) -> DataFrame:
     """Every row once under its subset and once under 'Overall' (null subsets count only there)."""
     return df.withColumn(subset, F.explode(F.array_compact(F.array(F.lit("Overall"), F.col(subset)))))
@@ -200,9 +232,9 @@ def correlations(pairs: DataFrame, measures: tuple[str, ...], subset: Column, tr
     spearman_p, icc_2_1, bias, mae. pairs: columns <measure>_auto and <measure>_manual."""
     long = pairs.select(subset.alias("subset"), F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(f"{m}_auto").alias("a"), F.col(f"{m}_manual").alias("b")) for m in measures])).alias("x")).select("subset", "x.*")
     by = ["subset", "measure"]
-    # One row per file and measure: windows add ranks and a centre, one aggregation makes the table.
-    long = with_overall(long, "subset").filter("a is not null and b is not null").withColumns({"_c": F.avg("a").over(Window.partitionBy(*by)), "_ra": average_rank("a", by), "_rb": average_rank("b", by)})
-    out = _icc(_by(long, by, F.count(F.lit(1)).alias("n"), F.avg("a").alias("mean_auto"), F.avg("b").alias("mean_manual"), _r("a", "b").alias("pearson_r"), _r("_ra", "_rb").alias("spearman_rho"), F.avg(F.col("a") - F.col("b")).alias("bias"), F.avg(F.abs(F.col("a") - F.col("b"))).alias("mae"), *_icc_sums()))
+    long = written(with_overall(long, "subset").filter("a is not null and b is not null"), "pairs")
+    plain = _by(long, by, F.avg("a").alias("mean_auto"), F.avg("b").alias("mean_manual"), _r("a", "b").alias("pearson_r"), F.avg(F.col("a") - F.col("b")).alias("bias"), F.avg(F.abs(F.col("a") - F.col("b"))).alias("mae"))
+    out = plain.join(icc_2_1(long, by), by).join(spearman(long, by).drop("n"), by)
     return out.select(F.lit(track).alias("track"), *by, "n", "mean_auto", "mean_manual", "pearson_r", p_value("pearson_r", "n").alias("pearson_p"), "spearman_rho", p_value("spearman_rho", "n").alias("spearman_p"), "icc_2_1", "bias", "mae")
 
 

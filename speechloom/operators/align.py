@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from speechloom.operators.intervals import along, row_block
+
 ALIGNED = "array<struct<ref_idx:int,hyp_idx:int,op:string>>"
 
 
@@ -222,4 +224,4 @@ def retokenise(words: DataFrame, keys: list[str], tokenise: Callable[[str], list
 
 def lead_gap(words: DataFrame, keys: list[str]) -> DataFrame:
     """words (keys, idx, s, e) with gap, the time to the next word (null at the end)."""
-    return words.withColumn("gap", F.lead("s").over(Window.partitionBy(*keys).orderBy("idx")) - F.col("e"))
+    return along(words, keys, row_block("idx"), ["idx"], _next=("lead", "s")).withColumn("gap", F.col("_next") - F.col("e")).drop("_next")

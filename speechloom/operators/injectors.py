@@ -1,119 +1,121 @@
 """Synthetic disfluencies put into clean sentences, seeded per row so that runs and layouts agree.
 
 A sentence takes one to five insertions at distinct places, each before the word it stems from, so the clean words stay
-a subsequence of the result. Confusions come from groups of words that learners mix up: any other member of a group can
-stand in. Groups and fillers are parameters.
+a subsequence of the result. Slips come from two rules: a function word is taken for another of its closed class, a
+content word for another word of the same sentence that begins or ends alike. Only kinds that have a place left in the
+sentence are drawn. Classes, hesitations and weights are parameters.
 """
 
 from __future__ import annotations
 
 import random
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from speechloom.functions.text import FILLERS_CONSERVATIVE, GAP_FILLER_EN
 
-def confusions(groups: tuple[str, ...]) -> dict[str, list[str]]:
-    """word -> the other members of its groups; groups are strings of words."""
-    out: dict[str, list[str]] = {}
-    for g in groups:
-        members = g.split()
-        for w in members:
-            out.setdefault(w, []).extend(x for x in members if x != w)
-    return out
+KINDS = ("filler", "repeat", "phrase", "correction", "restart", "fragment", "function", "reading")
 
 
 @dataclass(frozen=True)
 class Style:
-    """What an injector draws from. weights: of the kinds, in the order of KINDS; counts: weights of one to five
-    insertions."""
+    """What an injector draws from. fillers: hesitations; edits: what introduces a correction ('': nothing); classes:
+    closed word classes whose members are taken for each other; weights: of KINDS (missing: 1); counts: weights of one to
+    five insertions; phrase: weights of repeated phrases by length; least, most: words of a sentence; fragment_least:
+    characters of a word that may break off."""
 
     fillers: tuple[str, ...]
     edits: tuple[str, ...]
-    starters: tuple[str, ...]
-    function_words: dict[str, list[str]]
-    content_words: dict[str, list[str]]
-    weights: tuple[float, ...]
-    counts: tuple[float, ...]
-    phrase: dict[int, float]
-    least: int
-    most: int
-    partial_least: int
-
-
-KINDS = ("filler", "word", "phrase", "correction", "false_start", "partial", "function", "reading")
+    classes: tuple[tuple[str, ...], ...]
+    weights: dict[str, float] = field(default_factory=dict)
+    counts: tuple[float, ...] = (4, 4, 3, 2, 1)
+    phrase: dict[int, float] = field(default_factory=lambda: {2: 2, 3: 1})
+    least: int = 3
+    most: int = 30
+    fragment_least: int = 3
+
+
 ENGLISH = Style(
-    fillers=("um", "uh", "er", "erm", "hmm", "like", "you know", "well", "so", "I mean", "right", "okay", "let me see"),
-    edits=("no", "I mean", "wait", "sorry", "uh", "well", "actually", ""),
-    starters=("the", "I", "so", "but", "it was", "he", "she", "they", "we", "I think", "that"),
-    function_words=confusions(("a an the", "to at in on for of with from by about")),
-    content_words=confusions(("go goes going went", "is are was were", "has have had", "do does did", "say said tell told", "make made", "take took bring brought", "come came", "see saw look watch", "think thought believe", "big large great", "small little", "good nice", "bad poor", "many much")),
-    weights=(1, 1, 1, 1, 1, 1, 1, 0), counts=(0.25, 0.30, 0.25, 0.12, 0.08), phrase={2: 0.5, 3: 0.3, 4: 0.2}, least=5, most=30, partial_least=3,
+    fillers=(GAP_FILLER_EN, "um", "hm"),
+    edits=("or rather", "that is", ""),
+    classes=(("a", "an", "the"), ("in", "on", "at", "under", "behind"), ("to", "from", "into", "towards"), ("i", "you", "he", "she", "we", "they"), ("me", "him", "her", "us", "them"), ("can", "could", "will", "would", "must", "may"), ("this", "that", "these", "those")),
+    least=5,
 )
 JAPANESE = Style(
-    fillers=("えーと", "あの", "えー", "まあ", "うーん", "なんか", "そのー", "えっと", "あー"),
-    edits=("あ", "いや", "じゃなくて", "ちがう", "えっと", "あの", ""),
-    starters=(),
-    function_words=confusions(("が は を の も", "に で へ を と", "から より まで に")),
-    content_words=confusions(("行き 行っ 行か 行く", "食べ 食べる", "飲み 飲む", "見 見る", "し する やっ", "思い 思っ 考え", "言い 言っ 話し", "書き 書い 書く", "読み 読ん 読む", "聞き 聞い 聞く", "大きい 大きな", "小さい 小さな", "今日 きょう", "明日 あした", "昨日 きのう")),
-    weights=(0.15, 0.15, 0.12, 0.13, 0.13, 0.10, 0.12, 0.10), counts=(0.25, 0.30, 0.25, 0.12, 0.08), phrase={2: 0.6, 3: 0.4}, least=3, most=25, partial_least=2,
+    fillers=tuple(f for f in FILLERS_CONSERVATIVE if f.endswith("ー")),
+    edits=("というか", "もとい", ""),
+    classes=(("は", "が", "も"), ("に", "へ", "で", "まで"), ("を", "と", "から", "より")),
+    most=25, fragment_least=2,
 )
 
 
-def inject(words: list[str], rng: random.Random, style: Style, reading: Callable[[str], str | None] = lambda w: None, tries: int = 100) -> list[str] | None:
-    """words with one to five disfluencies, or None where the drawn kinds find no place within so many tries."""
-    if not style.least <= len(words) <= style.most:
+def kana_reading(word: str) -> str | None:
+    """The reading of a word written in kana alone: itself."""
+    return word if word and all("ぁ" <= c <= "ヿ" for c in word) else None
+
+
+def _alike(a: str, b: str) -> bool:
+    return a != b and (a[:1] == b[:1] or a[-2:] == b[-2:])
+
+
+def inject(words: list[str], rng: random.Random, style: Style, reading: Callable[[str], str | None] = kana_reading) -> list[str] | None:
+    """words with one to five disfluencies; None for sentences outside the style's lengths."""
+    n = len(words)
+    if not style.least <= n <= style.most:
         return None
-    wanted = rng.choices(KINDS, style.weights, k=rng.choices(range(1, 6), style.counts)[0])
-    put: dict[int, str] = {}
-    taken: set[int] = set()
+    low = [w.lower() for w in words]
+    rivals = [[x for c in style.classes if w in c for x in c if x != w] for w in low]
+    slips = [[] if rivals[i] else [words[j] for j in range(n) if not rivals[j] and _alike(low[i], low[j])] for i in range(n)]
+    read = [r if (r := reading(w)) and len(r) > 1 else "" for w in words]
+    everywhere = list(range(n))
+    places = {
+        "filler": everywhere, "repeat": everywhere, "phrase": list(range(n - 1)), "restart": list(range(1, n)),
+        "correction": [i for i in everywhere if slips[i]], "function": [i for i in everywhere if rivals[i]],
+        "fragment": [i for i in everywhere if len(words[i]) >= style.fragment_least], "reading": [i for i in everywhere if read[i]],
+    }
 
     def edited(wrong: str) -> str:
         return f"{wrong} {edit}" if (edit := rng.choice(style.edits)) else wrong
 
-    def cut(w: str, most: int) -> str:
-        return w[: rng.randint(1, max(1, most))]
-
-    def make(kind: str, i: int) -> str | None:
-        w = words[i]
-        if kind == "filler":
-            return rng.choice(style.fillers)
-        if kind == "word":
-            return " ".join([w] * rng.choices((1, 2), (0.8, 0.2))[0])
-        if kind == "partial":
-            return cut(w, len(w) // 2) if len(w) >= style.partial_least else None
-        if kind == "correction":
-            near = style.content_words.get(w.lower())
-            return edited(rng.choice(near) if near else cut(w, len(w) - 1) if len(w) > 1 else w)
-        if kind == "function":
-            near = style.function_words.get(w.lower())
-            return edited(rng.choice(near)) if near else None
-        if kind == "false_start":
-            return edited(rng.choice(style.starters)) if style.starters else edited(cut(w, len(w) - 1)) if len(w) > 1 else None
-        return edited(cut(r, 3)) if (r := reading(w)) else None
-
-    # Kinds that need particular words choose first; phrases last, as they take several places.
-    for kind in sorted(wanted, key=lambda k: ("function", "reading", "correction", "partial", "word", "filler", "false_start", "phrase").index(k)):
-        for _ in range(tries):
-            i, n = rng.randrange(len(words)), 1
-            if kind == "phrase":
-                n = rng.choices(list(style.phrase), list(style.phrase.values()))[0]
-                made = " ".join(words[i : i + n]) if i + n <= len(words) else None
-            else:
-                made = make(kind, i)
-            if made and not taken & set(range(i, i + n)):
-                put[i] = made
-                taken |= set(range(i, i + n))
-                break
+    def head(w: str) -> str:
+        return w[: rng.randint(1, max(1, len(w) - 1))]
+
+    put: dict[int, str] = {}
+    free = set(everywhere)
+    for _ in range(rng.choices(range(1, 6), style.counts)[0]):
+        open_places = {k: [i for i in places[k] if i in free and (k != "phrase" or i + 1 in free)] for k in KINDS}
+        kinds = [k for k in KINDS if open_places[k] and style.weights.get(k, 1) > 0]
+        if not kinds:
+            break
+        kind = rng.choices(kinds, [style.weights.get(k, 1) for k in kinds])[0]
+        i, span = rng.choice(open_places[kind]), 1
+        if kind == "phrase":
+            lengths = [m for m in style.phrase if i + m <= n and all(j in free for j in range(i, i + m))] or [2]
+            span = rng.choices(lengths, [style.phrase.get(m, 1) for m in lengths])[0]
+            put[i] = " ".join(words[i : i + span])
+        elif kind == "filler":
+            put[i] = rng.choice(style.fillers)
+        elif kind == "repeat":
+            put[i] = " ".join([words[i]] * rng.choice((1, 1, 1, 2)))
+        elif kind == "restart":  # the sentence is begun again, and dropped
+            put[i] = edited(" ".join(words[: rng.randint(1, min(2, i))]))
+        elif kind == "correction":
+            put[i] = edited(rng.choice(slips[i]))
+        elif kind == "function":
+            put[i] = edited(rng.choice(rivals[i]))
+        elif kind == "fragment":
+            put[i] = head(words[i])
         else:
-            return None
+            put[i] = edited(head(read[i]))
+        free -= set(range(i, i + span))
     return [x for i, w in enumerate(words) for x in ([put[i], w] if i in put else [w])]
 
 
-def injected(words: Column, key: Column, seed: int, style: Style, reading: Callable[[str], str | None] = lambda w: None) -> Column:
+def injected(words: Column, key: Column, seed: int, style: Style, reading: Callable[[str], str | None] = kana_reading) -> Column:
     """inject of an ARRAY<STRING> as text, drawn from (seed, key); null where nothing could be put in."""
 
     @F.pandas_udf("string")

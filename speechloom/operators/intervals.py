@@ -1,8 +1,10 @@
 """Interval algebra over tidy tables: one row per interval with key columns, s and e (DOUBLE seconds), maybe label.
 
-Every operator partitions by its keys only, so a chain of them over the same keys shares one shuffle; joins also split
-a key by time bins. Rows whose s or e is null or NaN are left out (points of classify are kept, as 'end'); reversed
-intervals (e <= s) too, where said. Keys may be null: windows and aggregates take them as a group, joins drop them.
+A key (a recording) may hold any share of the rows, so nothing is ordered along a whole key in one task: rows are ordered
+inside blocks of time or of their number, and what a row needs from earlier blocks comes from one row per block (along).
+Joins split a key by time bins. Rows whose s or e is null or NaN are left out (points of classify are kept, as 'end');
+reversed intervals (e <= s) too, where said. Keys may be null: windows and aggregates take them as a group, joins of two
+interval tables drop them.
 """
 
 from __future__ import annotations
@@ -10,11 +12,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Width of a time block: ten minutes; rows of a block of numbered rows.
+BLOCK, BLOCK_ROWS = 600.0, 50_000
 
 _GIVEN = "s is not null and e is not null and not isnan(s) and not isnan(e)"
 _USABLE = f"{_GIVEN} and e > s"
 
 
+def time_block(s: str = "s", width: float = BLOCK) -> Column:
+    return F.floor(F.col(s) / F.lit(width)).cast("bigint")
+
+
+def row_block(idx: str, rows: int = BLOCK_ROWS) -> Column:
+    return F.floor(F.col(idx) / F.lit(float(rows))).cast("bigint")
+
+
 def _order(keys: list[str], *by: str) -> Window:
     return Window.partitionBy(*keys).orderBy(*(by or ("s", "e")))
 
@@ -23,6 +35,42 @@ def _before(w: Window) -> Window:
     return w.rowsBetween(Window.unboundedPreceding, -1)
 
 
+def along(df: DataFrame, keys: list[str], block: Column, order: list[str], **what: tuple[str, str]) -> DataFrame:
+    """df with a column per name that says something about the rows before or after along keys, in order.
+
+    what: name = (kind, column). 'max', 'sum': of the column over the rows before (null, 0 for the first); 'lag',
+    'lead': of the row before or after; 'last': last value that isn't null, this row's included. block: a number that
+    doesn't fall in order. Windows run inside (keys, block); blocks hand on one row each, ordered along a key."""
+    cell = ["_key", "_k"]
+    rows = df.withColumns({"_key": F.struct(*keys), "_k": block})
+    w, over = Window.partitionBy(*cell).orderBy(*order), Window.partitionBy("_key").orderBy("_k")
+    upto, rank = w.rowsBetween(Window.unboundedPreceding, 0), F.struct(*order)
+    boxed = lambda c: F.struct(F.col(c).alias("v"))
+    here, summary, across, joined = {}, [], [], {}
+    for name, (kind, c) in what.items():
+        h, b = f"_here_{name}", f"_base_{name}"
+        if kind == "max":
+            here[h], per, base, joined[name] = F.max(c).over(_before(w)), F.max(c), F.max(b).over(_before(over)), F.greatest(h, b)
+        elif kind == "sum":
+            zero = F.lit(0)
+            here[h], per, base, joined[name] = F.coalesce(F.sum(c).over(_before(w)), zero), F.sum(c), F.sum(b).over(_before(over)), F.col(h) + F.coalesce(b, zero)
+        elif kind == "last":
+            here[h], per, base, joined[name] = F.last(c, True).over(upto), F.max_by(c, F.when(F.col(c).isNotNull(), rank)), F.last(b, True).over(_before(over)), F.coalesce(h, b)
+        elif kind == "lag":
+            here[h], per, base, joined[name] = F.lag(boxed(c)).over(w), F.max_by(boxed(c), rank), F.lag(b).over(over), F.coalesce(h, b)["v"]
+        else:
+            here[h], per, base, joined[name] = F.lead(boxed(c)).over(w), F.min_by(boxed(c), rank), F.lead(b).over(over), F.coalesce(h, b)["v"]
+        summary.append(per.alias(b))
+        across.append(base.alias(b))
+    blocks = rows.groupBy(*cell).agg(*summary).select(*cell, *across)
+    return rows.withColumns(here).join(blocks, cell).withColumns(joined).select(*df.columns, *what)
+
+
+def _runs(df: DataFrame, keys: list[str], block: Column, order: list[str], begins: Column) -> DataFrame:
+    """df with _run, the order columns of the row that began its run; begins: Column over df, true for a run's first."""
+    return along(df.withColumn("_at", F.when(begins, F.struct(*order))), keys, block, order, _run=("last", "_at")).drop("_at")
+
+
 def _islands(df: DataFrame, keys: list[str], gap: float) -> DataFrame:
     w = _order(keys)
     reach = F.max("e").over(_before(w))
@@ -30,11 +78,11 @@ def _islands(df: DataFrame, keys: list[str], gap: float) -> DataFrame:
     return df.withColumn("_g", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).groupBy(*keys, "_g").agg(F.min("s").alias("s"), F.max("e").alias("e")).drop("_g")
 
 
-def merge(df: DataFrame, keys: list[str], gap: float = 0.0, split: float | None = None) -> DataFrame:
+def merge(df: DataFrame, keys: list[str], gap: float = 0.0, split: float | None = BLOCK) -> DataFrame:
     """Union of intervals: those that overlap or lie at most gap apart become one. keys, s, e.
 
-    split: width of time blocks that are merged on their own first, for keys that may hold a large share of the rows;
-    only what can reach into another block (at most two rows a block) is then ordered along a key."""
+    split: width of time blocks that are merged on their own first; only what can reach into another block (at most two
+    rows a block) is then ordered along a key. None: for keys that hold few rows each."""
     df = df.filter(_USABLE).select(*keys, "s", "e")
     if split is None:
         return _islands(df, keys, gap)
@@ -50,19 +98,20 @@ def merge(df: DataFrame, keys: list[str], gap: float = 0.0, split: float | None
     return seen.filter("not _chain").select(*keys, "s", "e").unionByName(_islands(links.select(*keys, "s", "e"), keys, gap))
 
 
-def merge_last_end(df: DataFrame, keys: list[str], gap: int) -> DataFrame:
-    """Runs of intervals at most gap after the one before; a run ends where its last interval ends (not the furthest)."""
-    w = _order(keys)
-    df = df.select(*keys, "s", "e").withColumn("_new", F.coalesce((F.col("s") - F.lag("e").over(w) > gap).cast("int"), F.lit(1)))
-    return df.withColumn("_g", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).groupBy(*keys, "_g").agg(F.min("s").alias("s"), F.max_by("e", F.struct("s", "e")).alias("e")).drop("_g")
+def merge_last_end(df: DataFrame, keys: list[str], gap: int, width: float = BLOCK) -> DataFrame:
+    """Runs of intervals (e >= s) at most gap after the one before; a run ends where its last interval ends (not the
+    furthest). width: of a time block, in units of s."""
+    block, order = time_block("s", width), ["s", "e"]
+    seen = along(df.select(*keys, "s", "e"), keys, block, order, _p=("lag", "e"))
+    runs = _runs(seen, keys, block, order, F.coalesce(F.col("s") - F.col("_p") > gap, F.lit(True)))
+    return runs.groupBy(*keys, "_run").agg(F.min("s").alias("s"), F.max_by("e", F.struct("s", "e")).alias("e")).drop("_run")
 
 
 def gaps(df: DataFrame, keys: list[str], min_gap: float, start: float = 0.0, durations: DataFrame | None = None) -> DataFrame:
     """Stretches of at least min_gap that no interval covers: keys, s, e. From start on; durations (keys, duration)
     adds what is left at the end of a key, whole for keys without intervals."""
-    w = _order(keys)
     rows = df.filter(_GIVEN).select(*keys, "s", "e")
-    inner = rows.withColumn("_p", F.greatest(F.coalesce(F.max("e").over(_before(w)), F.lit(start)), F.lit(start)))
+    inner = along(rows, keys, time_block(), ["s", "e"], _top=("max", "e")).withColumn("_p", F.greatest(F.coalesce("_top", F.lit(start)), F.lit(start)))
     out = inner.filter(F.col("s") - F.col("_p") >= min_gap).select(*keys, F.col("_p").alias("s"), F.col("s").alias("e"))
     if durations is None:
         return out
@@ -72,10 +121,15 @@ def gaps(df: DataFrame, keys: list[str], min_gap: float, start: float = 0.0, dur
 
 def numbered_gaps(df: DataFrame, keys: list[str], min_gap: float, max_gap: float, durations: DataFrame | None = None) -> DataFrame:
     """gaps with gap_index from 0 along each key; gaps longer than max_gap take an index but no row."""
-    g = gaps(df, keys, min_gap, 0.0, durations).withColumn("gap_index", F.row_number().over(_order(keys)) - 1)
+    g = along(gaps(df, keys, min_gap, 0.0, durations).withColumn("_one", F.lit(1).cast("bigint")), keys, time_block(), ["s", "e"], gap_index=("sum", "_one")).drop("_one")
     return g.filter(F.col("e") - F.col("s") <= max_gap)
 
 
+def union_merge(a: DataFrame, b: DataFrame, keys: list[str], gap: float = 0.0) -> DataFrame:
+    """The time that either of two interval sets covers: keys, s, e; intervals at most gap apart become one."""
+    return merge(a.select(*keys, "s", "e").unionByName(b.select(*keys, "s", "e")), keys, gap)
+
+
 def overlaps(a: DataFrame, b: DataFrame, keys: list[str], bin_width: float = 30.0) -> DataFrame:
     """Overlapping pairs: keys, a's columns as a_*, b's as b_*, o_s, o_e. a and b need a row identity only if the
     caller wants to group by one.
@@ -93,14 +147,16 @@ def overlaps(a: DataFrame, b: DataFrame, keys: list[str], bin_width: float = 30.
     return o.filter((F.col("o_e") > F.col("o_s")) & (F.floor(F.col("o_s") / F.lit(bin_width)) == F.col("_bin"))).drop("_bin")
 
 
-def overlap_duration(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
-    """Per key the total time in both of two interval sets, each merged first: keys, overlap."""
-    return overlaps(merge(a, keys), merge(b, keys), keys).groupBy(*keys).agg(F.sum(F.col("o_e") - F.col("o_s")).alias("overlap"))
+def hits(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """Per key the total time in both of two merged interval sets, and how many intervals of a any of b overlaps: keys,
+    overlap, n_hit. One clip pass; times are summed as decimals, so that the order of summing doesn't show."""
+    each = overlaps(a, b, keys).groupBy(*keys, "a_s", "a_e").agg(F.sum(exact(F.col("o_e") - F.col("o_s"))).alias("_o"))
+    return each.groupBy(*keys).agg(F.sum("_o").cast("double").alias("overlap"), F.count(F.lit(1)).alias("n_hit"))
 
 
-def count_hit(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
-    """Per key how many intervals of a any interval of b overlaps: keys, n_hit. a's intervals are distinct."""
-    return overlaps(a, b, keys).select(*keys, "a_s", "a_e").distinct().groupBy(*keys).agg(F.count(F.lit(1)).alias("n_hit"))
+def exact(c: Column) -> Column:
+    """A double as a decimal of nine places, whose sums don't depend on their order."""
+    return c.cast("decimal(28,9)")
 
 
 def contained_count(outer: DataFrame, inner: DataFrame, keys: list[str], counted: Column, bin_width: float = 30.0) -> DataFrame:
@@ -141,7 +197,7 @@ def subtract(pauses: DataFrame, islands: DataFrame, keys: list[str], min_part: f
     pauses = pauses.select(*keys, "s", "e").distinct()
     cut = overlaps(pauses, islands.select(*keys, "s", "e"), keys).select(*keys, F.col("a_s").alias("p_s"), F.col("a_e").alias("p_e"), F.col("o_s").alias("s"), F.col("o_e").alias("e"))
     by = [*keys, "p_s", "p_e"]
-    m = merge(cut, by, merge_gap)
+    m = merge(cut, by, merge_gap, None)  # a pause holds few islands
     w = _order(by)
     touched = m.withColumn("_from", F.coalesce(F.lag("e").over(w), F.col("p_s"))).withColumn("_last", F.lead("s").over(w).isNull()).withColumn("n_islands", F.count(F.lit(1)).over(Window.partitionBy(*by)))
     parts = touched.select(*by, "n_islands", F.explode(F.array(F.struct(F.col("_from").alias("s"), F.col("s").alias("e")), F.when(F.col("_last"), F.struct(F.col("e").alias("s"), F.col("p_e").alias("e"))))).alias("_x"))
@@ -170,39 +226,42 @@ def patch(tier: DataFrame, islands: DataFrame, keys: list[str], is_pause: Column
 
 def coalesce_equal(tier: DataFrame, keys: list[str], eps: float = 1e-6) -> DataFrame:
     """Neighbours that meet (within eps) and share a label become one: keys, s, e, label."""
-    w = _order(keys)
-    same = (F.abs(F.col("s") - F.lag("e").over(w)) < eps) & (F.col("label") == F.lag("label").over(w))
-    t = tier.select(*keys, "s", "e", "label").withColumn("_new", F.coalesce((~same).cast("int"), F.lit(1)))
-    return t.withColumn("_g", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).groupBy(*keys, "_g", "label").agg(F.min("s").alias("s"), F.max("e").alias("e")).select(*keys, "s", "e", "label")
+    order = ["s", "e"]
+    t = along(tier.select(*keys, "s", "e", "label"), keys, time_block(), order, _p=("lag", "e"), _l=("lag", "label"))
+    same = (F.abs(F.col("s") - F.col("_p")) < eps) & (F.col("label") == F.col("_l"))
+    runs = _runs(t, keys, time_block(), order, F.coalesce(~same, F.lit(True)))
+    return runs.groupBy(*keys, "_run", "label").agg(F.min("s").alias("s"), F.max("e").alias("e")).select(*keys, "s", "e", "label")
 
 
 def run_units(words: DataFrame, keys: list[str], order: str, breaks: Column, units: Column) -> DataFrame:
     """Units between breaks: keys, run, units; runs without units are left out."""
-    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return words.withColumn("run", F.sum(breaks.cast("int")).over(w)).groupBy(*keys, "run").agg(F.sum(units).alias("units")).filter("units > 0")
+    w = along(words.withColumn("_b", F.coalesce(breaks, F.lit(False)).cast("bigint")), keys, row_block(order), [order], _n=("sum", "_b"))
+    return w.withColumn("run", F.col("_n") + F.col("_b")).groupBy(*keys, "run").agg(F.sum(units).alias("units")).filter("units > 0")
 
 
 def clean_nonoverlap(df: DataFrame, keys: list[str], low: Column, high: Column) -> DataFrame:
     """Intervals clamped to [low, high] and started no earlier than the one before ended: keys, s, e, label; empty ones
     go. low and high are Columns over df, constant per key."""
     rows = df.filter(_GIVEN).select("*", F.greatest("s", low).alias("_s"), F.least("e", high).alias("_e")).filter("_e > _s")
-    cursor = F.max("_e").over(_before(_order(keys, "s", "e", "label")))
-    return rows.withColumn("_c", F.greatest("_s", F.coalesce(cursor, F.col("_s")))).filter("_e > _c").select(*keys, F.col("_c").alias("s"), F.col("_e").alias("e"), "label")
+    rows = along(rows, keys, time_block(), ["s", "e", "label"], _cursor=("max", "_e"))
+    return rows.withColumn("_c", F.greatest("_s", F.coalesce("_cursor", "_s"))).filter("_e > _c").select(*keys, F.col("_c").alias("s"), F.col("_e").alias("e"), "label")
 
 
 def fill_timeline(df: DataFrame, keys: list[str], bounds: DataFrame) -> DataFrame:
     """clean_nonoverlap within bounds (keys, low, high) with blank intervals in the holes; keys without intervals get one blank."""
     clean = clean_nonoverlap(df.join(bounds, keys), keys, F.col("low"), F.col("high"))
-    w = _order(keys)
-    holes = clean.join(bounds, keys).withColumn("_p", F.coalesce(F.lag("e").over(w), F.col("low"))).filter("s > _p").select(*keys, F.col("_p").alias("s"), F.col("s").alias("e"), F.lit("").alias("label"))
+    # Bounds count as an empty interval at their start, so every hole but the last lies before an interval.
+    edge = bounds.select(*keys, F.col("low").alias("s"), F.col("low").alias("e"), F.lit("").alias("label"))
+    placed = along(clean.unionByName(edge), keys, time_block(), ["s", "e"], _p=("max", "e"))
+    own, hole = F.struct("s", "e", "label"), F.struct(F.col("_p").alias("s"), F.col("s").alias("e"), F.lit("").alias("label"))
+    pieces = placed.select(*keys, F.explode(F.array_compact(F.array(F.when(F.col("e") > F.col("s"), own), F.when(F.col("s") > F.col("_p"), hole)))).alias("x")).select(*keys, "x.*")
     tail = bounds.join(clean.groupBy(*keys).agg(F.max("e").alias("_p")), keys, "left").withColumn("_p", F.coalesce("_p", "low")).filter("_p < high").select(*keys, F.col("_p").alias("s"), F.col("high").alias("e"), F.lit("").alias("label"))
-    return clean.unionByName(holes).unionByName(tail)
+    return pieces.unionByName(tail)
 
 
 def offsets(df: DataFrame, keys: list[str], order: str, size: Column) -> DataFrame:
     """df with offset: sum of size over the rows before in order."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    return df.withColumn("offset", F.coalesce(F.sum(size).over(_before(w)), F.lit(0)).cast("bigint"))
+    return along(df.withColumn("_size", size.cast("bigint")), keys, row_block(order), [order], offset=("sum", "_size")).drop("_size")
 
 
 def blank_outside(tier: DataFrame, keys: list[str], span: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from speechloom.functions import text as T
@@ -28,11 +28,14 @@ def one_delivery(intervals: DataFrame) -> DataFrame:
 def pick_tier(intervals: DataFrame, names: tuple[str, ...], else_first: bool = False) -> DataFrame:
     """Rows of each file's tier by the first of names it has; else_first: of its first tier where it has none.
 
-    The choice is a window over the file, above the removal of repeats. Nothing is pushed below it, so all tiers taken
-    from one table share its scan and shuffles, and later windows over files need no further one."""
+    The choice is made on the files' tiers, one row each once combined on the map side; rows then join it, and those of
+    other tiers leave the scan early where the names alone decide."""
     rank = F.array_position(F.array(*map(F.lit, names)), F.col("tier")).cast("bigint")
     order = F.shiftleft(F.when(rank > 0, rank).otherwise(len(names) + 1 if else_first else F.lit(None)).cast("bigint"), 32) + F.col("tier_idx")
-    return one_delivery(intervals).withColumn("_o", order).withColumn("_best", F.min("_o").over(Window.partitionBy("file_id"))).filter("_o = _best").drop("_o", "_best")
+    best = intervals.groupBy("file_id", "tier", "tier_idx").agg(F.min(order).alias("_o")).groupBy("file_id").agg(F.min_by(F.struct("tier", "tier_idx"), "_o").alias("_t"), F.min("_o").alias("_o")).filter("_o is not null")
+    chosen = best.select("file_id", "_t.*")
+    rows = intervals if else_first else intervals.filter(F.col("tier").isin(*names))
+    return rows.select(*_COLUMNS).join(chosen, ["file_id", "tier", "tier_idx"]).select(*_COLUMNS).distinct()
 
 
 def word_rows(intervals: DataFrame, names: tuple[str, ...] = WORD_TIERS_JA, pauses: tuple[str, ...] = T.PAUSE_EXTENDED) -> DataFrame:
@@ -87,13 +90,14 @@ def fluency_measures(words: DataFrame, clauses: DataFrame, pauses: DataFrame | N
     keys = ["file_id"]
     p = (long_pauses(words, min_pause) if pauses is None else pauses.select("file_id", "s", "e"))
     d = F.col("e") - F.col("s")
+    time = lambda c: F.coalesce(F.sum(I.exact(c)).cast("double"), F.lit(0.0))
     located = I.classify(p, clauses, keys, "idx").groupBy("file_id").agg(
-        F.count(F.lit(1)).alias("n_pauses"), F.sum(d).alias("_dur"),
-        F.count_if(F.col("location") == "mid").alias("n_mid"), F.coalesce(F.sum(F.when(F.col("location") == "mid", d)), F.lit(0.0)).alias("_mid"),
-        F.count_if(F.col("location") == "end").alias("n_end"), F.coalesce(F.sum(F.when(F.col("location") == "end", d)), F.lit(0.0)).alias("_end"),
+        F.count(F.lit(1)).alias("n_pauses"), time(d).alias("_dur"),
+        F.count_if(F.col("location") == "mid").alias("n_mid"), time(F.when(F.col("location") == "mid", d)).alias("_mid"),
+        F.count_if(F.col("location") == "end").alias("n_end"), time(F.when(F.col("location") == "end", d)).alias("_end"),
     )
-    w = Window.partitionBy("file_id").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
-    runs = words.withColumn("run", F.sum((F.col("pause") & (d >= min_pause)).cast("int")).over(w)).groupBy("file_id", "run").agg(
+    broken = I.along(words.withColumn("_b", (F.col("pause") & (d >= min_pause)).cast("bigint")), keys, I.row_block("idx"), ["idx"], _n=("sum", "_b"))
+    runs = broken.withColumn("run", F.col("_n") + F.col("_b")).groupBy("file_id", "run").agg(
         F.sum("units").alias("units"), F.min_by("s", "idx").alias("_s"), F.min("idx").alias("_i"), F.max_by("e", "idx").alias("_e"), F.max("idx").alias("_j"))
     per = runs.groupBy("file_id").agg(F.sum("units").alias("units"), F.avg(F.when(F.col("units") > 0, F.col("units"))).alias("MLR"), F.min_by("_s", "_i").alias("_first"), F.max_by("_e", "_j").alias("_last"))
     n_clauses = clauses.groupBy("file_id").agg(F.count(F.lit(1)).alias("n_clauses"))
@@ -112,9 +116,8 @@ def refinement_stats(pauses: DataFrame, refined: DataFrame) -> DataFrame:
     """Per file: clf_pause_candidates, clf_pauses_split, clf_refined_pause_count. pauses: file_id, s, e; refined:
     refine_pauses."""
     before = pauses.groupBy("file_id").agg(F.count(F.lit(1)).alias("clf_pause_candidates"))
-    kept = refined.filter("n_islands = 0").groupBy("file_id").agg(F.count(F.lit(1)).alias("_kept"))
-    after = refined.groupBy("file_id").agg(F.count(F.lit(1)).alias("clf_refined_pause_count"))
-    f = before.join(kept, "file_id", "left").join(after, "file_id", "left").fillna(0)
+    after = refined.groupBy("file_id").agg(F.count(F.lit(1)).alias("clf_refined_pause_count"), F.count_if(F.col("n_islands") == 0).alias("_kept"))
+    f = before.join(after, "file_id", "left").fillna(0)
     return f.select("file_id", "clf_pause_candidates", (F.col("clf_pause_candidates") - F.col("_kept")).alias("clf_pauses_split"), "clf_refined_pause_count")
 
 
@@ -129,11 +132,12 @@ def skip_reason(occupancy: Column, n_islands: Column, prob: Column, low: float =
 
 
 def candidate_stats(candidates: DataFrame) -> DataFrame:
-    """Per file: n_rows, n_scored, n_predicted, max_prob, mean_prob (NaN where nothing is scored)."""
+    """Per file: n_rows, n_scored, n_predicted, max_prob, mean_prob (NaN where nothing is scored). Probabilities are
+    summed as decimals, so that the mean doesn't depend on the order of summing."""
     once = candidates.select("file_id", "gap_index", "island_index", "prob_filler", "pred_filler").distinct()
     p = F.when(F.col("prob_filler").isNotNull() & ~F.isnan("prob_filler"), F.col("prob_filler"))
     nan = F.lit(float("nan"))
-    return once.groupBy("file_id").agg(F.count(F.lit(1)).alias("n_rows"), F.count(p).alias("n_scored"), F.count_if(F.col("pred_filler") == 1).alias("n_predicted"), F.coalesce(F.max(p), nan).alias("max_prob"), F.coalesce(F.avg(p), nan).alias("mean_prob"))
+    return once.groupBy("file_id").agg(F.count(F.lit(1)).alias("n_rows"), F.count(p).alias("n_scored"), F.count_if(F.col("pred_filler") == 1).alias("n_predicted"), F.coalesce(F.max(p), nan).alias("max_prob"), F.coalesce(F.try_divide(F.sum(I.exact(p)).cast("double"), F.count(p).cast("double")), nan).alias("mean_prob"))
 
 
 def run_totals(stats: DataFrame) -> DataFrame:

@@ -162,7 +162,7 @@ def lexicon_fillers(spark: SparkSession, d: str) -> DataFrame:
     """Recogniser words that are fillers, by lexicon, with their number and mean length in seconds."""
     w = _t(spark, d, "asr_json").dropDuplicates(["file_id", "chunk_no"]).select(F.explode("words").alias("w")).select("w.*").filter("word is not null and not isnan(start) and not isnan(`end`) and `end` > start")
     strict = T.in_filler_lexicon(F.col("word"), T.FILLERS_CONSERVATIVE)
-    return w.filter(T.in_filler_lexicon(F.col("word"), T.FILLERS_PERMISSIVE)).groupBy(T.surface(F.col("word")).alias("filler"), strict.alias("conservative")).agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("end") - F.col("start")).alias("mean_s"))
+    return w.filter(T.in_filler_lexicon(F.col("word"), T.FILLERS_PERMISSIVE)).groupBy(T.surface(F.col("word")).alias("filler"), strict.alias("conservative")).agg(F.count(F.lit(1)).alias("n"), (F.sum(I.exact(F.col("end") - F.col("start"))).cast("double") / F.count(F.lit(1))).alias("mean_s"))
 
 
 def filler_choice(spark: SparkSession, d: str) -> DataFrame:
@@ -300,7 +300,7 @@ def spearman(spark: SparkSession, d: str) -> DataFrame:
 
 def spearman_windows(spark: SparkSession, d: str) -> DataFrame:
     """Spearman with ranks made by ordering each group in one task."""
-    return A.spearman(_pairs(spark, d), ["l_returnflag"], small=True)
+    return A.spearman_small(_pairs(spark, d), ["l_returnflag"])
 
 
 def kappa_prf(spark: SparkSession, d: str) -> DataFrame:
@@ -418,7 +418,7 @@ SELECT word, regexp_replace(regexp_replace(lower(trim(word)), '^[^a-z0-9'']+|[^a
   regexp_replace(lower(trim(word)), '[^\\w'']', '', 'g') AS compare FROM w WHERE regexp_matches(word, '^[\\x20-\\x7e]+$')""",
     "lexicon_fillers": f"""WITH {_CHUNK_WORDS}, x AS (SELECT regexp_replace(translate(lower(regexp_replace(w.word, '^[{_WS}]+|[{_WS}]+$', '', 'g')), '〜～ 　', 'ーー'), '^[\\s.,!?！？。、・「」『』()（）\\[\\]【】]+|[\\s.,!?！？。、・「」『』()（）\\[\\]【】]+$', '', 'g') AS f, w."end" - w.start AS d FROM cw
   WHERE w.word IS NOT NULL AND NOT isnan(w.start) AND NOT isnan(w."end") AND w."end" > w.start)
-SELECT f AS filler, f IN ({', '.join(f"'{t}'" for t in T.FILLERS_CONSERVATIVE)}) AS conservative, count(*) AS n, avg(d) AS mean_s FROM x WHERE f IN ({', '.join(f"'{t}'" for t in T.FILLERS_PERMISSIVE)}) GROUP BY 1, 2""",
+SELECT f AS filler, f IN ({', '.join(f"'{t}'" for t in T.FILLERS_CONSERVATIVE)}) AS conservative, count(*) AS n, sum(CAST(d AS DECIMAL(28,9)))::DOUBLE / count(*) AS mean_s FROM x WHERE f IN ({', '.join(f"'{t}'" for t in T.FILLERS_PERMISSIVE)}) GROUP BY 1, 2""",
     "subtoken_majority": "SELECT lex_id, 0 AS word_id, CAST(sum(CASE WHEN regexp_matches(c, '[aeiou]') THEN 1 ELSE 0 END) * 2 > count(*) AS INTEGER) AS label FROM (SELECT lex_id, unnest(string_split(form, '')) AS c FROM lexicon WHERE lang = 'en') GROUP BY 1",
     "icc_agreement": f"""WITH c AS (SELECT l_returnflag, avg(a) AS ca, avg(b) AS cb, (avg(a) + avg(b)) / 2 AS gm, count(*) AS n FROM {_PAIRS} GROUP BY 1),
 s AS (SELECT p.l_returnflag, any_value(n) AS n, 2 * sum(((a + b) / 2 - gm) ** 2) AS ssr, any_value(n * ((ca - gm) ** 2 + (cb - gm) ** 2)) AS ssc, sum((a - gm) ** 2 + (b - gm) ** 2) AS sst FROM {_PAIRS} p JOIN c USING (l_returnflag) GROUP BY 1),

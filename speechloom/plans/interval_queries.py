@@ -9,12 +9,11 @@ from speechloom.functions import text as T
 from speechloom.operators import agreement as A
 from speechloom.operators import intervals as I
 from speechloom.operators import measures as M
+from speechloom.session import written
 from speechloom.sinks import writers as W
 from speechloom.sources import textgrid as TG
 
 K = ["file_id"]
-#: Time blocks merged on their own first: ten minutes.
-BLOCK = 600.0
 
 
 def _intervals(spark: SparkSession, d: str) -> DataFrame:
@@ -33,41 +32,48 @@ def _spoken(spark: SparkSession, d: str) -> DataFrame:
     return _words(spark, d).filter(~F.col("pause"))
 
 
+def _tiers(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Words and clauses, written once, as measures read them several times."""
+    return written(_words(spark, d), "words"), written(M.clause_rows(_intervals(spark, d)), "clauses")
+
+
 def fluency_measures(spark: SparkSession, d: str) -> DataFrame:
-    return M.fluency_measures(_words(spark, d), M.clause_rows(_intervals(spark, d)))
+    return M.fluency_measures(*_tiers(spark, d))
+
+
+def _refined(words: DataFrame, clauses: DataFrame, candidates: DataFrame) -> DataFrame:
+    return M.fluency_measures(words, clauses, written(M.refine_pauses(M.long_pauses(words), M.predicted_islands(candidates)), "refined"))
 
 
 def fluency_refined(spark: SparkSession, d: str) -> DataFrame:
     """The measures with pauses cut by predicted fillers; runs keep the word tier's own pauses."""
-    words = _words(spark, d)
-    refined = M.refine_pauses(M.long_pauses(words), M.predicted_islands(_candidates(spark, d)))
-    return M.fluency_measures(words, M.clause_rows(_intervals(spark, d)), refined)
+    return _refined(*_tiers(spark, d), _candidates(spark, d))
 
 
 def refinement_stats(spark: SparkSession, d: str) -> DataFrame:
-    pauses = M.long_pauses(_words(spark, d))
+    pauses = written(M.long_pauses(_words(spark, d)), "pauses")
     return M.refinement_stats(pauses, M.refine_pauses(pauses, M.predicted_islands(_candidates(spark, d))))
 
 
 def interval_merge(spark: SparkSession, d: str) -> DataFrame:
-    return I.merge(_spoken(spark, d), K, 0.03, BLOCK)
+    return I.merge(_spoken(spark, d), K, 0.03)
 
 
 def merge_runs(spark: SparkSession, d: str) -> DataFrame:
     """Runs of candidate islands in hundredths of a second, ended where the last one ends."""
     c = _candidates(spark, d).filter("not isnan(candidate_start) and not isnan(candidate_end) and candidate_end > candidate_start")
     unit = lambda x: F.floor(F.col(x) * 100).cast("bigint")
-    return I.merge_last_end(c.select("file_id", unit("candidate_start").alias("s"), unit("candidate_end").alias("e")).distinct(), K, 300)
+    return I.merge_last_end(c.select("file_id", unit("candidate_start").alias("s"), unit("candidate_end").alias("e")).distinct(), K, 300, 100 * I.BLOCK)
 
 
 def interval_gaps(spark: SparkSession, d: str) -> DataFrame:
-    words = _words(spark, d)
+    words = written(_words(spark, d), "words")
     return I.gaps(I.merge(words.filter(~F.col("pause")), K, 0.03), K, 0.12, 0.0, words.groupBy("file_id").agg(F.max("e").alias("duration")))
 
 
 def gap_candidates(spark: SparkSession, d: str) -> DataFrame:
     """Gaps of 0.12 to 1.2 s with their number along the recording; longer ones leave holes in the numbers."""
-    words = _words(spark, d)
+    words = written(_words(spark, d), "words")
     return I.numbered_gaps(I.merge(words.filter(~F.col("pause")), K, 0.03), K, 0.12, 1.2, words.groupBy("file_id").agg(F.max("e").alias("duration"))).select("file_id", F.col("gap_index").cast("int").alias("gap_index"), "s", "e")
 
 
@@ -98,14 +104,14 @@ def coalesce_labels(spark: SparkSession, d: str) -> DataFrame:
 def _fillers(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     words = _words(spark, d)
     said = words.filter(T.in_filler_lexicon(F.col("label"), T.FILLERS_PERMISSIVE) | F.lower("label").isin("uh", "um", "er", "hmm"))
-    return I.merge(said, K, 0.05, BLOCK), I.merge(M.predicted_islands(_candidates(spark, d)), K, 0.02, BLOCK)
+    return written(I.merge(said, K, 0.05), "said"), written(I.merge(M.predicted_islands(_candidates(spark, d)), K, 0.02), "predicted")
 
 
 def overlap_coverage(spark: SparkSession, d: str) -> DataFrame:
     """Per recording with spoken fillers: their time, predicted time, time in both, and how many are hit."""
     said, predicted = _fillers(spark, d)
-    total = lambda df, n: df.groupBy(*K).agg(F.sum(F.col("e") - F.col("s")).alias(n), F.count(F.lit(1)).alias(f"n_{n}"))
-    return total(said, "said").join(total(predicted, "predicted"), K, "left").join(I.overlap_duration(said, predicted, K), K, "left").join(I.count_hit(said, predicted, K), K, "left").fillna(0)
+    total = lambda df, n: df.groupBy(*K).agg(F.sum(I.exact(F.col("e") - F.col("s"))).cast("double").alias(n), F.count(F.lit(1)).alias(f"n_{n}"))
+    return total(said, "said").join(total(predicted, "predicted"), K, "left").join(I.hits(said, predicted, K), K, "left").fillna(0)
 
 
 def coverage_summary(spark: SparkSession, d: str) -> DataFrame:
@@ -113,7 +119,9 @@ def coverage_summary(spark: SparkSession, d: str) -> DataFrame:
     macro means."""
     per = overlap_coverage(spark, d).withColumn("task", T.task_ja(F.col("file_id")))
     per = per.withColumn("recall", T.safe_div(F.col("overlap"), F.col("said"))).withColumn("precision", T.safe_div(F.col("overlap"), F.col("predicted")))
-    micro = per.groupBy("task").agg(T.safe_div(F.sum("overlap"), F.sum("said")).alias("recall_micro"), T.safe_div(F.sum("overlap"), F.sum("predicted")).alias("precision_micro"))
+    per = written(per, "coverage")
+    sums = lambda c: F.sum(I.exact(F.col(c))).cast("double")
+    micro = per.groupBy("task").agg(T.safe_div(sums("overlap"), sums("said")).alias("recall_micro"), T.safe_div(sums("overlap"), sums("predicted")).alias("precision_micro"))
     return micro.join(A.macro(per, ["task"], ["recall", "precision"]), "task")
 
 
@@ -185,7 +193,7 @@ def candidate_predict(spark: SparkSession, d: str) -> DataFrame:
 def gap_occupancy(spark: SparkSession, d: str) -> DataFrame:
     """Per gap: time of its islands over its length."""
     c = _candidates(spark, d).filter("island_index >= 0").select("file_id", "gap_index", "island_index", "island_duration", "gap_duration").distinct()
-    return c.groupBy("file_id", "gap_index").agg((F.sum(F.when(~F.isnan("island_duration"), F.col("island_duration"))) / F.max("gap_duration")).alias("occupancy"), F.count(F.lit(1)).alias("n_islands"))
+    return c.groupBy("file_id", "gap_index").agg((F.sum(I.exact(F.when(~F.isnan("island_duration"), F.col("island_duration")))).cast("double") / F.max("gap_duration")).alias("occupancy"), F.count(F.lit(1)).alias("n_islands"))
 
 
 def describe_measures(spark: SparkSession, d: str) -> DataFrame:
@@ -200,14 +208,15 @@ def task_rollup(spark: SparkSession, d: str) -> DataFrame:
 
 def measure_correlations(spark: SparkSession, d: str) -> DataFrame:
     """Correlations of refined with raw measures, overall and by task (long table, p-values included)."""
-    auto = fluency_refined(spark, d).select("file_id", *[F.col(m).alias(f"{m}_auto") for m in M.MEASURES])
-    manual = fluency_measures(spark, d).select("file_id", *[F.col(m).alias(f"{m}_manual") for m in M.MEASURES])
+    words, clauses = _tiers(spark, d)
+    auto = _refined(words, clauses, _candidates(spark, d)).select("file_id", *[F.col(m).alias(f"{m}_auto") for m in M.MEASURES])
+    manual = M.fluency_measures(words, clauses).select("file_id", *[F.col(m).alias(f"{m}_manual") for m in M.MEASURES])
     return A.correlations(auto.join(manual, "file_id"), M.MEASURES, T.task_ja(F.col("file_id")), "refined")
 
 
 def pause_agreement(spark: SparkSession, d: str) -> DataFrame:
     """Agreement of pause locations found with tolerances of 0.15 s and 0.02 s, overall and by task."""
-    p, c = M.long_pauses(_words(spark, d)), M.clause_rows(_intervals(spark, d))
+    p, c = written(M.long_pauses(_words(spark, d)), "pauses"), written(M.clause_rows(_intervals(spark, d)), "clauses")
     both = I.classify(p, c, K, "idx", 0.15).withColumnRenamed("location", "auto").join(I.classify(p, c, K, "idx", 0.02).withColumnRenamed("location", "gold"), ["file_id", "s", "e"])
     return A.location_scores(A.with_overall(both.withColumn("task", T.task_ja(F.col("file_id"))), "task"), ["task"])
 
@@ -281,8 +290,8 @@ run AS (SELECT file_id, run, CAST(sum(units) AS BIGINT) AS units FROM runs GROUP
 f AS (SELECT w.file_id, CAST(sum(units) AS BIGINT) AS u, arg_max(e, idx) - arg_min(s, idx) AS t FROM w GROUP BY w.file_id),
 m AS (SELECT file_id, avg(units) AS MLR FROM run GROUP BY file_id),
 n AS (
-  SELECT file_id, count(*) AS n, sum(e - s) AS d, count(*) FILTER (location = 'mid') AS nm, coalesce(sum(e - s) FILTER (location = 'mid'), 0) AS dm,
-    count(*) FILTER (location = 'end') AS ne, coalesce(sum(e - s) FILTER (location = 'end'), 0) AS de FROM loc GROUP BY file_id),
+  SELECT file_id, count(*) AS n, sum(CAST(e - s AS DECIMAL(28,9)))::DOUBLE AS d, count(*) FILTER (location = 'mid') AS nm, coalesce(sum(CAST(e - s AS DECIMAL(28,9))) FILTER (location = 'mid'), 0)::DOUBLE AS dm,
+    count(*) FILTER (location = 'end') AS ne, coalesce(sum(CAST(e - s AS DECIMAL(28,9))) FILTER (location = 'end'), 0)::DOUBLE AS de FROM loc GROUP BY file_id),
 k AS (SELECT file_id, count(*) AS n_clauses FROM c GROUP BY file_id),
 measures AS (
   SELECT f.file_id, coalesce(CASE WHEN t - coalesce(d, 0) > 0 THEN u / (t - coalesce(d, 0)) END, 0) AS AR, coalesce(CASE WHEN t > 0 THEN u / t END, 0) AS SR, coalesce(MLR, 0) AS MLR,
@@ -300,9 +309,9 @@ _COVER = ",\n".join([
     """hits AS (SELECT said.file_id, said.s, said.e, least(said.e, pred.e) - greatest(said.s, pred.s) AS o FROM said JOIN pred ON said.file_id = pred.file_id AND pred.s < said.e AND pred.e > said.s),
 cov AS (
   SELECT a.file_id, said, n_said, coalesce(predicted, 0) AS predicted, coalesce(n_predicted, 0) AS n_predicted, coalesce(overlap, 0) AS overlap, coalesce(n_hit, 0) AS n_hit
-  FROM (SELECT file_id, sum(e - s) AS said, count(*) AS n_said FROM said GROUP BY 1) a
-  LEFT JOIN (SELECT file_id, sum(e - s) AS predicted, count(*) AS n_predicted FROM pred GROUP BY 1) b USING (file_id)
-  LEFT JOIN (SELECT file_id, sum(o) AS overlap, count(DISTINCT (s, e)) AS n_hit FROM hits GROUP BY 1) h USING (file_id))""",
+  FROM (SELECT file_id, sum(CAST(e - s AS DECIMAL(28,9)))::DOUBLE AS said, count(*) AS n_said FROM said GROUP BY 1) a
+  LEFT JOIN (SELECT file_id, sum(CAST(e - s AS DECIMAL(28,9)))::DOUBLE AS predicted, count(*) AS n_predicted FROM pred GROUP BY 1) b USING (file_id)
+  LEFT JOIN (SELECT file_id, sum(CAST(o AS DECIMAL(28,9)))::DOUBLE AS overlap, count(DISTINCT (s, e)) AS n_hit FROM hits GROUP BY 1) h USING (file_id))""",
 ])
 _GAPS = ",\n".join([
     "spoken AS (SELECT file_id, s, e FROM w WHERE NOT pause)", _merge_sql("cover", "spoken", "file_id", 0.03),
@@ -313,7 +322,7 @@ gaps AS (
 ])
 _KEPT_CANDIDATES = "(SELECT DISTINCT file_id, gap_index, island_index, gap_duration, island_duration, prob_filler, pred_filler, skip_reason FROM candidates)"
 _STATS = f"""SELECT file_id, count(*) AS n_rows, count(*) FILTER (prob_filler IS NOT NULL AND NOT isnan(prob_filler)) AS n_scored, count(*) FILTER (pred_filler = 1) AS n_predicted,
-  coalesce(max(prob_filler) FILTER (NOT isnan(prob_filler)), 'nan'::DOUBLE) AS max_prob, coalesce(avg(prob_filler) FILTER (NOT isnan(prob_filler)), 'nan'::DOUBLE) AS mean_prob FROM {_KEPT_CANDIDATES} GROUP BY file_id"""
+  coalesce(max(prob_filler) FILTER (NOT isnan(prob_filler)), 'nan'::DOUBLE) AS max_prob, coalesce(sum(TRY_CAST(prob_filler AS DECIMAL(28,9))) FILTER (NOT isnan(prob_filler))::DOUBLE / nullif(count(*) FILTER (prob_filler IS NOT NULL AND NOT isnan(prob_filler)), 0), 'nan'::DOUBLE) AS mean_prob FROM {_KEPT_CANDIDATES} GROUP BY file_id"""
 
 SQL = {
     "fluency_measures": f"{_PLAIN} SELECT * FROM measures",
@@ -342,7 +351,7 @@ n AS (SELECT *, CASE WHEN abs(s - lag(e) OVER o) < 1e-6 AND label = lag(label) O
 g AS (SELECT *, sum(fresh) OVER (PARTITION BY file_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS g FROM n) SELECT file_id, min(s) AS s, max(e) AS e, label FROM g GROUP BY file_id, g, label""",
     "overlap_coverage": f"WITH {WORDS},\n{_COVER} SELECT * FROM cov",
     "coverage_summary": f"""WITH {WORDS},\n{_COVER}, r AS (SELECT *, {_TASK_JA} AS task, CASE WHEN said > 0 THEN overlap / said END AS recall, CASE WHEN predicted > 0 THEN overlap / predicted END AS prec FROM cov)
-SELECT task, coalesce(CASE WHEN sum(said) > 0 THEN sum(overlap) / sum(said) END, 'nan'::DOUBLE) AS recall_micro, coalesce(CASE WHEN sum(predicted) > 0 THEN sum(overlap) / sum(predicted) END, 'nan'::DOUBLE) AS precision_micro,
+SELECT task, coalesce(CASE WHEN sum(CAST(said AS DECIMAL(28,9))) > 0 THEN sum(CAST(overlap AS DECIMAL(28,9)))::DOUBLE / sum(CAST(said AS DECIMAL(28,9)))::DOUBLE END, 'nan'::DOUBLE) AS recall_micro, coalesce(CASE WHEN sum(CAST(predicted AS DECIMAL(28,9))) > 0 THEN sum(CAST(overlap AS DECIMAL(28,9)))::DOUBLE / sum(CAST(predicted AS DECIMAL(28,9)))::DOUBLE END, 'nan'::DOUBLE) AS precision_micro,
   count(*) AS n_files, avg(recall) AS macro_recall, avg(prec) AS macro_precision FROM r GROUP BY task""",
     "timeline": """WITH RECURSIVE b AS (SELECT file_id, min(gap_start) AS low, max(gap_end) AS high FROM candidates GROUP BY 1),
 i AS (SELECT DISTINCT c.file_id, greatest(candidate_start, low) AS s, least(candidate_end, high) AS e, CAST(pred_filler AS VARCHAR) AS label, candidate_start AS s0, candidate_end AS e0 FROM candidates c JOIN b USING (file_id)
@@ -365,7 +374,7 @@ count(*) FILTER (lower({_STRIP}) IN ({_BASIC}, 'pause', 'silB', 'silE', '#', '..
     "candidate_stats": _STATS,
     "candidate_totals": f"SELECT count(*) AS n_files, CAST(sum(n_rows) AS BIGINT) AS n_rows, CAST(sum(n_scored) AS BIGINT) AS n_scored, CAST(sum(n_predicted) AS BIGINT) AS n_predicted, avg(n_predicted) AS mean_predicted FROM ({_STATS})",
     "candidate_predict": f"SELECT skip_reason, CAST(sum(CASE WHEN NOT isnan(prob_filler) AND prob_filler >= 0.3::DOUBLE THEN 1 ELSE 0 END) AS BIGINT) AS at_30, CAST(sum(CASE WHEN NOT isnan(prob_filler) AND prob_filler >= 0.7::DOUBLE THEN 1 ELSE 0 END) AS BIGINT) AS at_70 FROM {_KEPT_CANDIDATES} GROUP BY 1",
-    "gap_occupancy": f"SELECT file_id, gap_index, sum(island_duration) FILTER (NOT isnan(island_duration)) / max(gap_duration) AS occupancy, count(*) AS n_islands FROM {_KEPT_CANDIDATES} WHERE island_index >= 0 GROUP BY 1, 2",
+    "gap_occupancy": f"SELECT file_id, gap_index, sum(TRY_CAST(island_duration AS DECIMAL(28,9))) FILTER (NOT isnan(island_duration))::DOUBLE / max(gap_duration) AS occupancy, count(*) AS n_islands FROM {_KEPT_CANDIDATES} WHERE island_index >= 0 GROUP BY 1, 2",
     "describe_measures": f"{_PLAIN}, long AS (" + " UNION ALL ".join(f"SELECT {_TASK_JA} AS task, '{m}' AS measure, CAST({m} AS DOUBLE) AS v FROM measures" for m in _NINE) + """)
 SELECT task, measure, count(v) AS count, avg(v) AS mean, stddev_samp(v) AS std, min(v) AS min, quantile_cont(v, 0.25) AS p25, quantile_cont(v, 0.5) AS p50, quantile_cont(v, 0.75) AS p75, max(v) AS max FROM long GROUP BY 1, 2""",
     "task_rollup": f"{_PLAIN}, t AS (SELECT *, CASE WHEN contains(file_id, 'ST1') THEN 'ST1' ELSE 'ST2' END AS task FROM measures) SELECT CASE WHEN grouping(task) = 1 THEN 'Overall' ELSE task END AS task, count(*) AS n, " + ", ".join(f"avg({m}) AS {m}" for m in _NINE) + " FROM t GROUP BY GROUPING SETS ((), (task))",

@@ -4,22 +4,28 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-
-def _of(spec: str) -> T.StructType:
-    kinds = {"s": T.StringType(), "i": T.IntegerType(), "l": T.LongType(), "d": T.DoubleType(), "b": T.BooleanType(), "as": T.ArrayType(T.StringType()), "ai": T.ArrayType(T.IntegerType()), "date": T.DateType()}
-    return T.StructType([T.StructField(n, kinds[k]) for n, k in (x.split(":") for x in spec.split())])
-
-
-INTERVALS = _of("file_id:s tier:s tier_idx:i idx:i xmin:d xmax:d label:s")
-WORD = _of("word:s start:d end:d source:s")
-AUGMENTATION = _of("mfa_word_count:i filler_injected:i filler_consumed:i fallback_count:i skipped_mfa_tokens:i filler_injected_leading:i filler_injected_trailing:i")
-ASR_JSON = T.StructType([T.StructField("duration", T.DoubleType()), T.StructField("transcript", T.StringType()), T.StructField("n_words", T.IntegerType()), T.StructField("words", T.ArrayType(WORD)), T.StructField("filler_augmentation", AUGMENTATION)])
-ALIGNER_JSON = T.StructType([T.StructField("tiers", T.StructType([T.StructField("words", T.StructType([T.StructField("entries", T.ArrayType(T.ArrayType(T.StringType())))]))]))])
-CANDIDATES = _of("file_id:s gap_index:i island_index:i gap_start:d gap_end:d gap_duration:d vad_occupancy:d n_voiced_islands:i island_duration:d candidate_start:d candidate_end:d prob_filler:d pred_filler:i skip_reason:s")
-CAF = _of("file:s AR:d SR:d MLR:d MCPR:d ECPR:d PR:d MCPD:d ECPD:d MPD:d total_syllables:i total_duration:d phonation_time:d n_pauses:i n_mid_clause_pauses:i n_end_clause_pauses:i n_clauses:i error:s")
-SWDA_RAW = _of("swda_filename:s ptb_basename:s conversation_no:s transcript_index:s act_tag:s caller:s utterance_index:s subutterance_index:s text:s pos:s trees:s ptb_treenumbers:s")
-SWDA_METADATA_RAW = _of("conversation_no:s talk_day:s length:s topic_description:s prompt:s from_caller:s to_caller:s from_caller_sex:s to_caller_sex:s from_caller_education:s to_caller_education:s from_caller_birth_year:s to_caller_birth_year:s from_caller_dialect_area:s to_caller_dialect_area:s")
-FILLER_EVENTS = _of("podcast_filename:s episode_split_subset:s clip_split_subset:s clip_start_inepisode:d clip_end_inepisode:d label_consolidated_vocab:s clip_name:s pfID:i")
+S, I, D = T.StringType(), T.IntegerType(), T.DoubleType()
+
+
+def _struct(**fields: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(n, t) for n, t in fields.items()])
+
+
+INTERVALS = _struct(file_id=S, tier=S, tier_idx=I, idx=I, xmin=D, xmax=D, label=S)
+WORD = _struct(word=S, start=D, end=D, source=S)
+AUGMENTATION = _struct(mfa_word_count=I, filler_injected=I, filler_consumed=I, fallback_count=I, skipped_mfa_tokens=I, filler_injected_leading=I, filler_injected_trailing=I)
+ASR_JSON = _struct(duration=D, transcript=S, n_words=I, words=T.ArrayType(WORD), filler_augmentation=AUGMENTATION)
+ALIGNER_JSON = _struct(tiers=_struct(words=_struct(entries=T.ArrayType(T.ArrayType(S)))))
+CANDIDATES = _struct(
+    file_id=S, gap_index=I, island_index=I, gap_start=D, gap_end=D, gap_duration=D, vad_occupancy=D, n_voiced_islands=I, island_duration=D, candidate_start=D, candidate_end=D, prob_filler=D, pred_filler=I, skip_reason=S)
+CAF = _struct(
+    file=S, AR=D, SR=D, MLR=D, MCPR=D, ECPR=D, PR=D, MCPD=D, ECPD=D, MPD=D, total_syllables=I, total_duration=D, phonation_time=D, n_pauses=I, n_mid_clause_pauses=I, n_end_clause_pauses=I, n_clauses=I, error=S)
+SWDA_COLUMNS = ["swda_filename", "ptb_basename", "conversation_no", "transcript_index", "act_tag", "caller", "utterance_index", "subutterance_index", "text", "pos", "trees", "ptb_treenumbers"]
+SWDA_RAW = _struct(**{c: S for c in SWDA_COLUMNS})
+SWDA_METADATA_RAW = _struct(
+    conversation_no=S, talk_day=S, length=S, topic_description=S, prompt=S, from_caller=S, to_caller=S, from_caller_sex=S, to_caller_sex=S, from_caller_education=S, to_caller_education=S, from_caller_birth_year=S, to_caller_birth_year=S,
+    from_caller_dialect_area=S, to_caller_dialect_area=S)
+FILLER_EVENTS = _struct(podcast_filename=S, episode_split_subset=S, clip_split_subset=S, clip_start_inepisode=D, clip_end_inepisode=D, label_consolidated_vocab=S, clip_name=S, pfID=I)
 
 
 def require(df, columns: T.StructType | list[str]) -> None:
