@@ -13,7 +13,9 @@ FILLER_MARKERS = ("<filler_speech>", "<filler>", "filler_speech")
 VOWELS = ("AA", "AE", "AH", "AO", "AW", "AX", "AXR", "AY", "EH", "ER", "EY", "IH", "IX", "IY", "OW", "OY", "UH", "UW", "UX")
 SMALL_KANA = "ぁぃぅぇぉゃゅょゎァィゥェォャュョヮっッー"
 # Japanese filler lexicons.
-FILLERS_CONSERVATIVE = tuple("えっと えーと えと えっとー えーっと ええと ええっと えー あー うー うーん あのー そのー まあ まあまあ なんか なんていうか なんだっけ うん ええ はい ああ へー ふーん ね ねー ちょっと".split())
+FILLERS_CONSERVATIVE = (
+    "えっと", "えーと", "えと", "えっとー", "えーっと", "ええと", "ええっと", "えー", "あー", "うー", "うーん", "あのー", "そのー", "まあ", "まあまあ", "なんか", "なんていうか", "なんだっけ", "うん", "ええ", "はい", "ああ", "へー", "ふーん", "ね", "ねー", "ちょっと",
+)
 FILLERS_PERMISSIVE = (*FILLERS_CONSERVATIVE, "あの", "その", "あ", "え", "ん", "ま")
 # Filler tokens put into gaps, by gap length in seconds.
 GAP_FILLER_EN = "uh"
@@ -65,7 +67,7 @@ def aligner_token_en(c: Column) -> Column:
 
 
 def aligner_token_ja(c: Column) -> Column:
-    return F.regexp_replace(strip(c), f"^{_EDGE_JA}|{_EDGE_JA}$", "")
+    return F.regexp_replace(strip(c), f"(?U)^{_EDGE_JA}|{_EDGE_JA}$", "")
 
 
 def clean_word_en(c: Column) -> Column:
@@ -74,7 +76,7 @@ def clean_word_en(c: Column) -> Column:
 
 
 def clean_word_ja(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{_EDGE_JA}|{_EDGE_JA}$", "")
+    return F.regexp_replace(c, f"(?U)^{_EDGE_JA}|{_EDGE_JA}$", "")
 
 
 def compare_key(c: Column) -> Column:

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from speechloom.operators.intervals import along, row_block
+from speechloom.operators import intervals as I
 
 ALIGNED = "array<struct<ref_idx:int,hyp_idx:int,op:string>>"
 
@@ -106,8 +106,13 @@ def greedy_matches(gold: DataFrame, pred: DataFrame, keys: list[str], window: fl
     """One-to-one matches of equal tokens in gold order, each to the nearest unused start less than window away: keys,
     g_idx, p_idx, start_error, end_error. gold, pred: keys, idx, s, e, token.
 
-    Tokens match only their like, so each (keys, token) is worked on its own; among its gold rows order is kept."""
-    both = gold.select(*keys, "token", F.lit(0).alias("side"), "idx", "s", "e").unionByName(pred.select(*keys, "token", F.lit(1).alias("side"), "idx", "s", "e")).filter("token <> ''")
+    Tokens match only their like, and never over a stretch of at least window in which none of them begins: each such
+    run of (keys, token) is worked on alone, so a task holds as many rows as one token has without such a rest."""
+    side = lambda df, k: df.select(*keys, "token", F.lit(k).alias("side"), F.col("idx").cast("bigint").alias("idx"), "s", "e")
+    both = side(gold, 0).unionByName(side(pred, 1)).filter("token <> '' and s is not null and not isnan(s)")
+    by, order = [*keys, "token"], ["s", "side", "idx"]
+    both = I.along(both, by, I.time_block(), order, _p=("lag", "s"))
+    both = I._runs(both, by, I.time_block(), order, F.coalesce(F.col("s") - F.col("_p") >= window, F.lit(True)))
 
     def match(rows: list[dict]) -> list[dict]:
         pred = sorted((r for r in rows if r["side"]), key=lambda r: (r["s"], r["idx"]))
@@ -121,7 +126,7 @@ def greedy_matches(gold: DataFrame, pred: DataFrame, keys: list[str], window: fl
                 out.append({"g_idx": g["idx"], "p_idx": pred[k]["idx"], "start_error": best[0], "end_error": abs(g["e"] - pred[k]["e"])})
         return out
 
-    return _per_group(both, [*keys, "token"], match, ["side", "idx", "s", "e"], "g_idx:int,p_idx:int,start_error:double,end_error:double")
+    return _per_group(both, [*by, "_run"], match, ["side", "idx", "s", "e"], "g_idx:bigint,p_idx:bigint,start_error:double,end_error:double").drop("_run", "token")
 
 
 def map_back(expected: list[str], heard: list[str], joins: int = 1) -> list[tuple[int, int] | None]:
@@ -224,4 +229,4 @@ def retokenise(words: DataFrame, keys: list[str], tokenise: Callable[[str], list
 
 def lead_gap(words: DataFrame, keys: list[str]) -> DataFrame:
     """words (keys, idx, s, e) with gap, the time to the next word (null at the end)."""
-    return along(words, keys, row_block("idx"), ["idx"], _next=("lead", "s")).withColumn("gap", F.col("_next") - F.col("e")).drop("_next")
+    return I.along(words, keys, I.row_block("idx"), ["idx"], _next=("lead", "s")).withColumn("gap", F.col("_next") - F.col("e")).drop("_next")

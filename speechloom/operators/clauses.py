@@ -15,7 +15,7 @@ COPULA_FORMS = ("'m", "'re", "'s", "is", "are", "was", "were")
 STANCE_EN = ("think", "believe", "guess", "suppose", "know", "feel", "mean")
 STANCE_JA = ("思う", "考える")
 SUBORDINATORS_JA = ("から", "ながら", "つつ", "けど", "けれど", "が", "なら", "ば", "と", "し")
-FILLERS_JA = tuple("えー え あー あ んー うーん えっと ええと まー まあ そのー その あのー あの ねー ね うん ふーん へー はい ええ".split())
+FILLERS_JA = ("えー", "え", "あー", "あ", "んー", "うーん", "えっと", "ええと", "まー", "まあ", "そのー", "その", "あのー", "あの", "ねー", "ね", "うん", "ふーん", "へー", "はい", "ええ")
 
 KEYS = ["file_id", "sent"]
 

@@ -172,10 +172,10 @@ def word_errors(df: DataFrame) -> DataFrame:
 
 
 def sample_per_group(df: DataFrame, by: list[str], key: str, n: int, seed: int) -> DataFrame:
-    """n rows of each group by lowest hash of (seed, key): the same rows on every run and layout.
+    """n rows of each group by lowest MD5 of 'seed:key': the same rows on every run, layout and engine.
 
     Each task keeps only n rows of a group before anything moves."""
-    h = df.withColumn("_h", F.xxhash64(F.lit(seed), F.col(key)))
+    h = df.withColumn("_h", F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")).cast("binary")))
     w = Window.partitionBy(*by).orderBy("_h", key)
     return h.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= n).drop("_n", "_h")
 

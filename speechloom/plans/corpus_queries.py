@@ -13,6 +13,7 @@ from speechloom.operators import corpus as C
 from speechloom.operators import injectors as J
 from speechloom.operators import intervals as I
 from speechloom.operators import models as MO
+from speechloom.session import written
 from speechloom.streaming import periods as P
 
 
@@ -31,12 +32,23 @@ def _chunks(spark: SparkSession, d: str) -> DataFrame:
     return a.select("file_id", "chunk_no", "duration", "transcript", F.transform(w, lambda x: F.struct(x["word"].alias("word"), x["start"].alias("s"), x["end"].alias("e"))).alias("words"))
 
 
+def _place() -> Column:
+    """Place of a word in its recording, by chunk and position."""
+    return F.shiftleft(F.col("chunk_no").cast("bigint"), 32) + F.col("pos")
+
+
+def _line(array: str) -> Column:
+    """An array as one line of text."""
+    return F.array_join(F.transform(array, lambda x: x.cast("string")), " ")
+
+
 def utterance_concat(spark: SparkSession, d: str) -> DataFrame:
     return C.utterance_texts(_utterances(spark, d))
 
 
 def markup_labels(spark: SparkSession, d: str) -> DataFrame:
-    return C.labelled_sentences(C.utterance_texts(_utterances(spark, d)))
+    s = C.labelled_sentences(C.utterance_texts(_utterances(spark, d)))
+    return s.withColumns({"words": _line("words"), "labels": _line("labels")})
 
 
 def split_stats(spark: SparkSession, d: str) -> DataFrame:
@@ -207,14 +219,16 @@ def greedy_match(spark: SparkSession, d: str) -> DataFrame:
     from speechloom.operators import measures as M
 
     gold = M.word_rows(_t(spark, d, "intervals")).filter(~F.col("pause")).select("file_id", "idx", "s", "e", T.compare_key(F.col("label")).alias("token"))
-    w = _chunks(spark, d).select("file_id", "chunk_no", F.posexplode("words").alias("pos", "w")).select("file_id", (F.col("chunk_no") * 1000 + F.col("pos")).alias("idx"), "w.s", "w.e", T.compare_key(F.col("w.word")).alias("token"))
+    w = _chunks(spark, d).select("file_id", "chunk_no", F.posexplode("words").alias("pos", "w")).select("file_id", _place().alias("idx"), "w.s", "w.e", T.compare_key(F.col("w.word")).alias("token"))
     return L.greedy_matches(gold, w, ["file_id"])
 
 
 def timing_percentiles(spark: SparkSession, d: str) -> DataFrame:
     """Mean, median and 90th percentile of start and end errors of matched words, in milliseconds."""
-    m = greedy_match(spark, d).select(F.explode(F.array("start_error", "end_error")).alias("x"))
-    return m.agg(F.count("x").alias("n"), (F.avg("x") * 1000).alias("mean_ms"), (F.median("x") * 1000).alias("median_ms"), (F.percentile("x", F.lit(0.9)) * 1000).alias("p90_ms"))
+    x = written(greedy_match(spark, d).select(F.explode(F.array("start_error", "end_error")).alias("v")), "errors")
+    mean = (F.sum(I.exact(F.col("v"))).cast("double") / F.count("v") * 1000).alias("mean_ms")
+    p = A.percentiles(x, [], (0.5, 0.9))
+    return x.agg(F.count("v").alias("n"), mean).crossJoin(F.broadcast(p.select((F.col("p0") * 1000).alias("median_ms"), (F.col("p1") * 1000).alias("p90_ms"))))
 
 
 def aligner_map_back(spark: SparkSession, d: str) -> DataFrame:
@@ -222,7 +236,7 @@ def aligner_map_back(spark: SparkSession, d: str) -> DataFrame:
     from speechloom.operators import measures as M
 
     words = M.word_rows(_t(spark, d, "intervals")).filter(~F.col("pause")).select("file_id", "idx", F.lit(0).alias("sub"), T.aligner_token_ja(F.col("label")).alias("token"), F.col("label").alias("word"), "s", "e")
-    heard = _chunks(spark, d).select("file_id", "chunk_no", F.posexplode("words").alias("pos", "w")).select("file_id", (F.col("chunk_no") * 1000 + F.col("pos")).alias("idx"), T.aligner_token_ja(F.col("w.word")).alias("token"), "w.s", "w.e")
+    heard = _chunks(spark, d).select("file_id", "chunk_no", F.posexplode("words").alias("pos", "w")).select("file_id", _place().alias("idx"), T.aligner_token_ja(F.col("w.word")).alias("token"), "w.s", "w.e")
     return L.aligner_times(words, heard, ["file_id"], joins=5)
 
 
@@ -246,7 +260,7 @@ def label_derivation(spark: SparkSession, d: str) -> DataFrame:
     """Labels derived from utterances and their fluent words, against the labels of the markup."""
     s = C.labelled_sentences(C.utterance_texts(_utterances(spark, d)))
     fluent = F.transform(F.filter(F.arrays_zip("words", "labels"), lambda x: x["labels"] == 0), lambda x: x["words"])
-    return s.select("conversation_no", "caller", "utterance_index", C.derive_labels(F.col("words"), fluent).alias("derived"), "labels")
+    return s.select("conversation_no", "caller", "utterance_index", C.derive_labels(F.col("words"), fluent).alias("derived"), "labels").withColumns({"derived": F.when(F.col("derived").isNotNull(), _line("derived")), "labels": _line("labels")})
 
 
 def word_errors(spark: SparkSession, d: str) -> DataFrame:
@@ -259,7 +273,7 @@ def injected_en(spark: SparkSession, d: str) -> DataFrame:
     """Synthetic disfluencies in English sentences, with labels derived from the clean ones."""
     s = dedup_sentences(spark, d).withColumn("w", F.split("sentence", " "))
     x = s.withColumn("disfluent", J.injected(F.col("w"), F.col("sentence"), 42, J.ENGLISH)).filter("disfluent is not null")
-    return x.select("sentence", "disfluent", C.derive_labels(F.split("disfluent", " "), F.col("w")).alias("labels"))
+    return x.select("sentence", "disfluent", C.derive_labels(F.split("disfluent", " "), F.col("w")).alias("labels")).withColumn("labels", _line("labels"))
 
 
 def injected_ja(spark: SparkSession, d: str) -> DataFrame:
@@ -272,7 +286,7 @@ def injected_ja(spark: SparkSession, d: str) -> DataFrame:
 def disfluency_tagging(spark: SparkSession, d: str) -> DataFrame:
     """Utterances with a stand-in labeller's labels and cleaned text."""
     s = C.labelled_sentences(C.utterance_texts(_utterances(spark, d))).select("conversation_no", "caller", "utterance_index", "words")
-    return MO.disfluency_labels(s, "words", lambda: lambda ws: [[int(w.rstrip(",.") in ("uh", "um", "er", "hmm") or w.endswith("-")) for w in x] for x in ws])
+    return MO.disfluency_labels(s, "words", lambda: lambda ws: [[int(w.rstrip(",.") in ("uh", "um", "er", "hmm") or w.endswith("-")) for w in x] for x in ws]).withColumns({"words": _line("words"), "labels": _line("labels")})
 
 
 def subtoken_majority(spark: SparkSession, d: str) -> DataFrame:
@@ -321,7 +335,7 @@ def class_weights(spark: SparkSession, d: str) -> DataFrame:
 
 
 def sample_documents(spark: SparkSession, d: str) -> DataFrame:
-    """Five documents of each source by seeded hash."""
+    """Five documents of each source by seeded MD5."""
     return C.sample_per_group(_t(spark, d, "documents").select("doc_id", "source"), ["source"], "doc_id", 5, 42)
 
 

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from speechloom.plans import corpus_queries, interval_queries, periods_queries
+from speechloom.plans import corpus_queries, interval_queries, periods_queries, sequence_sql
 
-_MODULES = [periods_queries, interval_queries, corpus_queries]
+_MODULES = [periods_queries, sequence_sql, interval_queries, corpus_queries]
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in _MODULES for k, v in m.SQL.items()}

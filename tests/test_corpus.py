@@ -65,6 +65,7 @@ def test_injected_sentences_hold_the_clean_words():
     assert n > 150
     assert J.inject(["a"], random.Random(1), J.ENGLISH) is None
     assert J.inject("私 は 本 を 読み ました".split(), random.Random(3), J.JAPANESE, lambda w: "よみ") is not None
+    assert not any(J.kana_reading(w) for w in ("本", "読み", "")) and J.kana_reading("カメラ") == "カメラ"
 
 
 def test_injection_does_not_depend_on_layout(spark):
