@@ -3,12 +3,14 @@
 Method. Texts are brought to what the eye reads (markup tags, case, punctuation, spacing, line layout and character
 variants gone) and to templates: numbers, names and units become typed placeholders. Template windows of items (12
 words, or 24 characters of Japanese) are hash-joined to those of the documents. Matching windows are then compared slot
-by slot: all slots equal is a leaked passage, slots that differ but map one-to-one a re-parameterised one.
+by slot: all slots equal is a leaked passage, slots that differ but map one-to-one a re-parameterised one. As a leaked
+Japanese passage is 24 equal characters, its windows are of characters; a re-parameterised one may have names of another
+length, so there a run of katakana or of digits is one slot.
 
 Dashes are punctuation, though after kana one may stand for the long vowel mark ー: Japanese texts with dashes are read
 every way they can be.
 
-The items are a stated, size-checked table: their window hashes go to the executors, where each document's windows are
+The items are a stated query set, taken in blocks of checked size: their window hashes go to the executors, where each document's windows are
 formed by a rolling hash over arrays and only those with an item's hash leave the scan. Nothing of the corpus is
 shuffled but these matches. Repeated documents are matched one by one.
 """
@@ -17,8 +19,8 @@ from __future__ import annotations
 
 import html
 import re
-from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -26,12 +28,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from speechloom.llm.lookalikes import plain_text, skeleton
-from speechloom.session import small_table
+from speechloom.session import small_table, written
 
 WORDS = 12
 CHARS = 24
-#: Items are cut into windows on the driver, and every task holds the windows' hashes; a larger table is refused.
-MAX_ITEMS = 20_000
+#: Items, and characters of items, whose windows are cut on the driver and held by a task at a time; a larger table is
+#: worked through in blocks of items, each against all documents.
+MAX_ITEMS, MAX_ITEM_CHARS = 20_000, 8_000_000
 #: Characters of text worked on at a time.
 CHUNK = 4_000_000
 
@@ -48,6 +51,8 @@ _DASH = re.compile("[\u2012-\u2015\u2212\u2500]")
 #: Dashes that can't be a long vowel mark: not after kana, or several in a row.
 _PAUSE = re.compile(f"(?<![ぁ-ゖゝゞァ-ヺー-ヿ]){_DASH.pattern}|{_DASH.pattern}{{2,}}")
 _NUM, _NAME, _UNIT, _UNKNOWN = 1, 2, 3, 0
+#: What ends a sentence ('' at the start of a text), and what may stand before its first word.
+_ENDS, _OPENING = ("", ".", "!", "?", "\n", "…"), " \t\"'(["
 
 
 def _bare(text: str) -> str:
@@ -101,32 +106,44 @@ def _windows(codes: np.ndarray, width: int) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def _katakana(c: int) -> bool:
-    return 0x30A1 <= c <= 0x30FA
+_SLOTS = re.compile("[ァ-ヺー]+|[0-9]+|.")
+#: Kinds of windows: words, characters, Japanese slots.
+KINDS = (0, 1, 2)
+
+
+def slots(chars: str) -> list[str]:
+    """Characters, with runs of katakana (names) and of digits as one."""
+    return _SLOTS.findall(chars)
 
 
 class Templates:
     """The items' words, names and template windows.
 
     A word's placeholder depends on the word alone, so equal passages have equal templates: items' words that are
-    always capitalised inside sentences are names, and so are capitalised words that no item has.
+    capitalised wherever they stand, at least once inside a sentence, are names, and so are capitalised words that no
+    item has.
     """
 
     def __init__(self, items: list[tuple[int, str]]) -> None:
         words = [(i, word_list(t)) for i, t in items if t]
-        lower, upper = Counter(), Counter()
-        for _, w in words:
-            for x in w:
-                (upper if x[:1].isupper() else lower)[x.lower()] += 1
-        self.names = {w for w in upper if w not in lower and (upper[w] > 1 or not w.isascii())} - set(NUMBERS) - set(UNITS)
-        self.code = {w: i + 4 for i, w in enumerate(sorted(set(lower) | set(upper)))}
+        lower, upper, inside = set(), set(), set()
+        for _, t in items:
+            seen = read_as_seen(t or "")
+            for m in _WORD.finditer(seen):
+                x = m[0]
+                (upper if x[:1].isupper() else lower).add(x.lower())
+                if x[:1].isupper() and seen[: m.start()].rstrip(_OPENING)[-1:] not in _ENDS:
+                    inside.add(x.lower())
+        self.names = (upper & inside) - lower - NUMBERS - UNITS
+        self.code = {w: i + 4 for i, w in enumerate(sorted(lower | upper))}
         self.rows: list[tuple[int, int, int, int, str]] = []
         for i, w in words:
             self._add(i, 0, _windows(_mix(np.array([self.placeholder(x) for x in w])), WORDS), [x.lower() for x in w], WORDS, " ")
         for i, t in items:
             for s in char_strings(t or ""):
                 self._add(i, 1, _windows(_mix(self.chars(s)), CHARS), s, CHARS, "")
-        self.hashes = [np.unique(np.array([np.uint64(r[2] & (2**64 - 1)) for r in self.rows if r[1] == kind], np.uint64)) for kind in (0, 1)]
+                self._add(i, 2, _windows(_mix(self.slot_codes(u := slots(s))), CHARS), u, CHARS, " ")
+        self.hashes = [np.unique(np.array([np.uint64(r[2] & (2**64 - 1)) for r in self.rows if r[1] == kind], np.uint64)) for kind in KINDS]
 
     def _add(self, item: int, kind: int, hashes: np.ndarray, units: list[str] | str, width: int, joint: str) -> None:
         self.rows += [(item, kind, int(h.astype(np.int64)), p, joint.join(units[p : p + width])) for p, h in enumerate(hashes)]
@@ -148,6 +165,12 @@ class Templates:
         return np.where((c >= 0x30) & (c <= 0x39), _NUM, np.where((c >= 0x30A1) & (c <= 0x30FA), _NAME, c))
 
 
+    @staticmethod
+    def slot_codes(units: list[str]) -> np.ndarray:
+        """Codes of slots by their first character."""
+        return Templates.chars("".join(u[0] for u in units))
+
+
 class _Codes(dict):
     """Placeholders of words met, kept while few."""
 
@@ -181,8 +204,8 @@ class Finder:
             at = at[known[np.minimum(np.searchsorted(known, h[at]), len(known) - 1)] == h[at]]
         return np.stack([at, h[at].astype(np.int64)], 1) if len(at) else np.empty((0, 2), np.int64)
 
-    def find(self, texts: list[str]) -> list[tuple[int, int, int, int, str]]:
-        """(text's number, kind, hash, position, literal) of each matching window."""
+    def find(self, texts: list[str], kinds: tuple[int, ...] = (0, 1)) -> list[tuple[int, int, int, int, str]]:
+        """(text's number, kind, hash, position, literal) of each matching window of the kinds (0 is always searched)."""
         out = []
         words = [word_list(t) for t in texts]
         starts = np.cumsum([0, *map(len, words)])
@@ -193,32 +216,50 @@ class Finder:
             if p + WORDS <= len(words[d]):
                 out.append((d, 0, h, p, " ".join(words[d][p : p + WORDS]).lower()))
         ja = [(d, s) for d, t in enumerate(texts) if not t.isascii() for s in char_strings(t)]
-        starts = np.cumsum([0, *(len(s) for _, s in ja)])
-        whole = "".join(s for _, s in ja)
-        for at, h in self._hits(self.templates.chars(whole), 1, CHARS).tolist():
-            k = int(np.searchsorted(starts, at, "right")) - 1
-            p = at - int(starts[k])
-            if p + CHARS <= len(ja[k][1]):
-                out.append((ja[k][0], 1, h, p, ja[k][1][p : p + CHARS]))
+        if 1 in kinds:
+            starts = np.cumsum([0, *(len(s) for _, s in ja)])
+            for at, h in self._hits(self.templates.chars("".join(s for _, s in ja)), 1, CHARS).tolist():
+                k = int(np.searchsorted(starts, at, "right")) - 1
+                p = at - int(starts[k])
+                if p + CHARS <= len(ja[k][1]):
+                    out.append((ja[k][0], 1, h, p, ja[k][1][p : p + CHARS]))
+        if 2 in kinds:
+            cut = [slots(s) for _, s in ja]
+            starts = np.cumsum([0, *map(len, cut)])
+            for at, h in self._hits(self.templates.slot_codes([u for us in cut for u in us]), 2, CHARS).tolist():
+                k = int(np.searchsorted(starts, at, "right")) - 1
+                p = at - int(starts[k])
+                if p + CHARS <= len(cut[k]):
+                    out.append((ja[k][0], 2, h, p, " ".join(cut[k][p : p + CHARS])))
         return out
 
 
-def template_matches(documents: DataFrame, items: DataFrame) -> DataFrame:
-    """Windows shared as templates: doc_id, item_id, kind (0 words, 1 characters), doc_pos, item_pos, doc_words,
-    item_words (the literal windows). Characters' positions are those of a reading; a text with several may repeat a window.
+def template_matches(documents: DataFrame, items: DataFrame, kinds: tuple[int, ...] = (0, 1)) -> DataFrame:
+    """Windows shared as templates: doc_id, item_id, kind (0 words, 1 characters, 2 Japanese slots), doc_pos, item_pos,
+    doc_words, item_words (the literal windows). Characters' positions are those of a reading; a text with several may
+    repeat a window.
 
-    documents: doc_id, text. items: item_id, text, at most MAX_ITEMS rows. Null and empty texts have no windows.
+    documents: doc_id, text. items: item_id, text. Null and empty texts have no windows.
     """
+    items = items.select(F.col("item_id").cast("bigint"), "text").filter("item_id is not null and text is not null")
+    size = items.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars")).first()
+    blocks = max(1, -(-2 * size["n"] // MAX_ITEMS) if size["n"] > MAX_ITEMS else 1, -(-size["chars"] // MAX_ITEM_CHARS))
+    found = [_block_matches(documents, items if blocks == 1 else items.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b), kinds) for b in range(blocks)]
+    return reduce(DataFrame.unionByName, found)
+
+
+def _block_matches(documents: DataFrame, items: DataFrame, kinds: tuple[int, ...]) -> DataFrame:
+    """template_matches for one block of items."""
     spark = documents.sparkSession
-    rows = [(r[0], r[1]) for r in small_table(items.select(F.col("item_id").cast("bigint"), "text"), MAX_ITEMS) if r[0] is not None]
-    made = Templates(rows)
-    windows, made.rows = made.rows, []  # tasks need the hashes only
+    made = Templates([(r[0], r[1]) for r in small_table(items, MAX_ITEMS)])
+    windows, made.rows = [r for r in made.rows if r[1] in kinds], []  # tasks need the hashes only
+    sent = spark.sparkContext.broadcast(made)
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        finder = Finder(made)
+        finder = Finder(sent.value)
 
         def search(ids: list[int], texts: list[str]) -> pd.DataFrame:
-            hits = finder.find(texts)
+            hits = finder.find(texts, kinds)
             return pd.DataFrame({"doc_id": [ids[h[0]] for h in hits], **{n: [h[i] for h in hits] for i, n in ((1, "kind"), (2, "h"), (3, "doc_pos"), (4, "doc_words"))}}).astype({"doc_id": "int64", "kind": "int32", "h": "int64", "doc_pos": "int32", "doc_words": "str"})
 
         for df in it:
@@ -244,13 +285,14 @@ def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def reparameterised(documents: DataFrame, items: DataFrame) -> DataFrame:
-    """Documents with an item's passage under other numbers, names or units: doc_id, item_id, n_windows, n_slots.
+    """Documents with an item's passage under other numbers, names or units: doc_id, item_id, n_windows (places of the
+    document with one of its templates), n_slots (differing slots).
 
-    Only pairs whose differing words map one-to-one over all their shared windows, and that are no leak, count.
+    Only pairs whose differing words map one-to-one over all their shared windows, and that are no leak, count. English
+    names are told by their capitals, Japanese ones by katakana.
     """
-    m = template_matches(documents, items).filter("kind = 0")
-    pairs = m.select("doc_id", "item_id", (F.col("doc_words") == F.col("item_words")).alias("same"), F.arrays_zip(F.split("doc_words", " ").alias("d"), F.split("item_words", " ").alias("i")).alias("z"), "doc_pos", "item_pos")
-    slots = pairs.select("doc_id", "item_id", "same", "doc_pos", F.explode("z").alias("s")).groupBy("doc_id", "item_id", "s.d", "s.i").agg(F.max("same").alias("same"), F.countDistinct("doc_pos").alias("n"))
-    per = slots.groupBy("doc_id", "item_id").agg(
-        F.max("same").alias("same"), F.count(F.lit(1)).alias("pairs"), F.countDistinct("d").alias("ds"), F.countDistinct("i").alias("is"), F.count_if(F.col("d") != F.col("i")).alias("n_slots"), F.max("n").alias("n_windows"))
-    return per.filter("not same and pairs = ds and pairs = `is` and n_slots > 0").select("doc_id", "item_id", "n_windows", "n_slots")
+    m = written(template_matches(documents, items, (0, 2)), "matches")
+    whole = m.groupBy("doc_id", "item_id").agg(F.max(F.col("doc_words") == F.col("item_words")).alias("same"), F.countDistinct("doc_pos").alias("n_windows"))
+    slot = m.select("doc_id", "item_id", F.explode(F.arrays_zip(F.split("doc_words", " ").alias("d"), F.split("item_words", " ").alias("i"))).alias("s")).select("doc_id", "item_id", "s.*").distinct()
+    per = slot.groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("pairs"), F.countDistinct("d").alias("ds"), F.countDistinct("i").alias("is"), F.count_if(F.col("d") != F.col("i")).alias("n_slots"))
+    return per.filter("pairs = ds and pairs = `is` and n_slots > 0").join(whole.filter("not same"), ["doc_id", "item_id"]).select("doc_id", "item_id", "n_windows", "n_slots")

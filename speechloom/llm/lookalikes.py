@@ -7,6 +7,9 @@ spelled in a script all its letters can take; among several the known spelling (
 most of its letters have. Invisible characters go, compatibility forms (full and half width, ligatures, radicals),
 blanks, apostrophes and combining marks take their plain composed form.
 
+Letters of the same shape come from the fixed tables below and, beyond them, from the Unicode table of confusable
+characters in the ICU library that Spark ships, as far as they look like a Latin letter.
+
 Skeletons serve as join keys: two texts look alike if their skeletons are equal. Only words that are not already plain
 leave the JVM.
 """
@@ -15,9 +18,12 @@ from __future__ import annotations
 
 import re
 import unicodedata
+import zipfile
 from collections import Counter
 from collections.abc import Iterator
+from importlib.util import find_spec
 from itertools import groupby
+from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -41,17 +47,61 @@ _INVISIBLE = re.compile(rf"[{INVISIBLE}]+")
 _ODD = re.compile(rf"[{INVISIBLE}{re.escape(APOSTROPHES + BLANKS)}]")
 _BLANKS = str.maketrans(dict.fromkeys(BLANKS, " "))
 _APOSTROPHES = str.maketrans(dict.fromkeys(APOSTROPHES, "'"))
-_SHAPES: dict[str, str] = CYRILLIC_LIKE | GREEK_LIKE | LATIN_OTHER | {v: k for k, v in KANA_HAN.items()} | dict.fromkeys(DASHES_LIKE_CHOON, "ー")
+#: Scripts whose letters are spelled one for one in another of them.
+ALPHABETS = ("LATIN", "CYRILLIC", "GREEK", "ARMENIAN", "CHEROKEE", "LISU", "COPTIC")
+
+
+def script_of(c: str) -> str:
+    """First word of the letter's Unicode name, that of its plain form where it is a compatibility form; '' for what
+    belongs to no script (marks, digits, signs)."""
+    if unicodedata.category(c)[0] != "L":
+        return ""
+    plain = unicodedata.normalize("NFKC", c)
+    return unicodedata.name(plain[:1] or c, "").split(" ")[0]
+
+
+def unicode_prototypes() -> dict[str, str]:
+    """The Unicode table of confusable characters, character -> prototype, from the ICU library that Spark ships; empty
+    where that isn't at hand."""
+    jars = sorted((Path(find_spec("pyspark").origin).parent / "jars").glob("icu4j-*.jar"))
+    try:
+        with zipfile.ZipFile(jars[-1]) as z:
+            raw = z.read("com/ibm/icu/impl/data/icudata/confusables.cfu")
+    except (IndexError, KeyError, OSError):
+        return {}
+    raw = raw[int.from_bytes(raw[:2], "big") :]  # after ICU's own header
+    head = [int.from_bytes(raw[4 * i : 4 * i + 4], "big") for i in range(9)]
+    (keys, n), (index, m), (strings, k) = head[3:5], head[5:7], head[7:9]
+    text = raw[strings : strings + 2 * k].decode("utf-16-be", "replace")
+    out = {}
+    for i in range(min(n, m)):
+        key = int.from_bytes(raw[keys + 4 * i : keys + 4 * i + 4], "big")
+        at, length = int.from_bytes(raw[index + 2 * i : index + 2 * i + 2], "big"), (key >> 24) + 1
+        out[chr(key & 0xFFFFFF)] = chr(at) if length == 1 else text[at : at + length]
+    return out
+
+
+def _latin_shape(c: str, prototype: str) -> str | None:
+    """The ASCII letter that stands for a letter's group: its prototype, or the letter whose small capital that is."""
+    if len(prototype) != 1 or unicodedata.category(c)[0] != "L" or script_of(c) not in ALPHABETS or unicodedata.normalize("NFKC", c) != c:
+        return None
+    if prototype.isascii() and prototype.isalpha():
+        return "I" if prototype == "l" and c.isupper() else prototype
+    small = re.fullmatch("LATIN LETTER SMALL CAPITAL ([A-Z])|LATIN SMALL LETTER (K)RA|LATIN SMALL LETTER TURNED (W)", unicodedata.name(prototype, ""))
+    return {"w": "m"}.get(x := (small[1] or small[2] or small[3]).lower(), x) if small else None
+
+
+_FIXED = CYRILLIC_LIKE | GREEK_LIKE | LATIN_OTHER | {"п": "n"}
+_FOUND = {c: x for c, p in unicode_prototypes().items() if not c.isascii() and c not in _FIXED and (x := _latin_shape(c, p))}
+_SHAPES: dict[str, str] = _FOUND | _FIXED | {v: k for k, v in KANA_HAN.items()} | dict.fromkeys(DASHES_LIKE_CHOON, "ー")
 _SKELETON = str.maketrans(_SHAPES)
 #: What a skeleton may change: letters of a group, and composed letters, whose base may be one.
 _SHAPED = re.compile("[" + "".join(_SHAPES) + "\u00c0-\u024f\u0370-\u03ff\u0400-\u04ff\u1e00-\u1fff\u3041-\u30ff]")
-_ALPHABETIC = re.compile("[A-Za-z\u00c0-\u024f\u0250-\u02af\u0300-\u058f\u1e00-\u1fff]+")
+_ALPHABETIC = re.compile("[A-Za-z\u00c0-\u024f\u0250-\u02af\u0300-\u058f\u13a0-\u13ff\u1e00-\u1fff\u2c80-\u2cff\ua4d0-\ua4ff\uab70-\uabbf]+")
+#: Spellings of a group by script; those of the fixed tables first.
 _SPELLINGS: dict[str, dict[str, str]] = {}
-for _script, _table in (("CYRILLIC", CYRILLIC_LIKE), ("GREEK", GREEK_LIKE)):
-    for _o, _l in _table.items():
-        _SPELLINGS.setdefault(_l, {"LATIN": _l}).setdefault(_script, _o)
-for _o, _l in LATIN_OTHER.items():
-    _SPELLINGS.setdefault(_l, {"LATIN": _l})
+for _o, _l in (_FIXED | _FOUND).items():
+    _SPELLINGS.setdefault(_l, {"LATIN": _l}).setdefault(script_of(_o), _o)
 #: Kana and Han are one writing system: a letter takes the kind of its neighbours.
 _KIND = {**{k: ("KATAKANA", k) for k in KANA_HAN}, **{v: ("HIRAGANA" if v in "りへべぺ" else "CJK", k) for k, v in KANA_HAN.items()}}
 
@@ -73,11 +123,6 @@ def skeleton(s: str) -> str:
     return unicodedata.normalize("NFC", unicodedata.normalize("NFD", s).translate(_SKELETON))
 
 
-def script_of(c: str) -> str:
-    """First word of the letter's Unicode name; '' for what belongs to no script (marks, digits, signs)."""
-    return unicodedata.name(c, "").split(" ")[0] if unicodedata.category(c)[0] == "L" else ""
-
-
 def resolved_scripts(token: str) -> tuple[set[str], set[str]]:
     """(scripts of the letters, scripts in which the whole token can be spelled). More than one of the first: mixed;
     others than the first in the second: whole-script confusable."""
@@ -90,22 +135,35 @@ def resolved_scripts(token: str) -> tuple[set[str], set[str]]:
     return own, able or set()
 
 
+def spelled_in(token: str, script: str) -> str:
+    """A token (plain_text) with its letters of other scripts spelled in this one, where they have a shape in it."""
+    return unicodedata.normalize("NFC", "".join(_SPELLINGS.get(_SHAPES.get(c, c), {}).get(script, c) if script_of(c) not in ("", script) or c in LATIN_OTHER else c for c in unicodedata.normalize("NFD", token)))
+
+
 def unify_script(token: str, known: dict[str, str] | None = None) -> str:
-    """The token in one consistent script. known: plain spelling by skeleton; where the letters allow several spellings,
-    it decides; it keeps the token's own edges out. Without a known spelling a token all of one script stays."""
+    """The token in one consistent script. known: plain spelling by skeleton. Of the scripts the letters' resolved sets
+    have in common, the one that spells a known form holds (its edges are kept out); Japanese writing, in which scripts
+    mix, is looked up by its look. Without a known spelling a token all of one script stays, and a mixed one is spelled
+    in the script it can all take (Latin if it has Latin letters, else the one most of its letters have)."""
     t = plain_text(token)
     own, able = resolved_scripts(t)
     mixed, whole = len(own) > 1, bool(able - own)
-    if known and (mixed or whole or not t.isascii()) and (form := known.get(skeleton(t).strip())) is not None:
-        return form
+    if known and (mixed or whole or not t.isascii()):
+        count = Counter(map(script_of, t))
+        if own & set(ALPHABETS):
+            for script in sorted(able, key=lambda s: (-count[s], s)):
+                if known.get(skeleton(form := spelled_in(t, script).strip())) == form:
+                    return form
+        if (form := known.get(skeleton(t).strip())) is not None:
+            return form
     if t.isascii():
         return t
-    if own & {"LATIN", "CYRILLIC", "GREEK", "ARMENIAN"}:
+    if own & set(ALPHABETS):
         if not mixed or not able:
             return t
         count = Counter(script_of(c) for c in t)
         to = "LATIN" if "LATIN" in own & able else max(sorted(able), key=lambda s: count[s])
-        return unicodedata.normalize("NFC", "".join(_SPELLINGS.get(_SHAPES.get(c, c), {}).get(to, c) if script_of(c) not in ("", to) else c for c in unicodedata.normalize("NFD", t)))
+        return spelled_in(t, to)
     return "".join(_by_neighbours(t, i) for i in range(len(t)))
 
 
@@ -225,8 +283,9 @@ class Lexicon:
         return False
 
 
-#: The lexicon is read on the driver and sent to the executors; a larger one is refused.
-MAX_LEXICON = 200_000
+#: The lexicon is read on the driver and sent to the executors as one broadcast; a larger one, which no language's list
+#: of written forms reaches, is refused.
+MAX_LEXICON = 1_000_000
 
 
 def _lexicon(lexicon: DataFrame) -> list[tuple[int, str]]:
@@ -242,11 +301,12 @@ def is_lexicon_alike(words: DataFrame, word: str, lexicon: DataFrame) -> DataFra
     known: dict[str, str] = {}
     for _, f in sorted(pairs):
         known.setdefault(skeleton(f), f)
+    sent = spark.sparkContext.broadcast(known)
     forms = F.broadcast(spark.createDataFrame(pairs, "_lex_id int, _form string").groupBy("_form").agg(F.min("_lex_id").alias("_lex_id")))
 
     @F.pandas_udf("string")
     def spelled(s: pd.Series) -> pd.Series:
-        return s.map(lambda w: unify_script(w, known).strip(), na_action="ignore")
+        return s.map(lambda w: unify_script(w, sent.value).strip(), na_action="ignore")
 
     odd = words.filter(F.col(word).isNotNull()).join(forms.select(F.col("_form").alias("_exact")), F.col(word) == F.col("_exact"), "left_anti")
     found = odd.withColumn("_plain", spelled(F.col(word))).join(forms, F.col("_plain") == F.col("_form"))
@@ -255,12 +315,12 @@ def is_lexicon_alike(words: DataFrame, word: str, lexicon: DataFrame) -> DataFra
 
 def differs_from_plain(lexicon: DataFrame) -> "callable":
     """A function Column -> BOOLEAN Column: Lexicon.differs of a text; false for null."""
-    forms = [f for _, f in _lexicon(lexicon)]
+    sent = lexicon.sparkSession.sparkContext.broadcast([f for _, f in _lexicon(lexicon)])
     made: list[Lexicon] = []
 
     @F.pandas_udf("boolean")
     def differs(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        made[:] = [Lexicon(forms)]
+        made[:] = [Lexicon(sent.value)]
         for s in it:
             yield s.map(lambda t: t is not None and made[0].differs(t)).astype("bool")
 
@@ -269,11 +329,11 @@ def differs_from_plain(lexicon: DataFrame) -> "callable":
 
 def unify(texts: DataFrame, column: str, lexicon: DataFrame | None = None) -> DataFrame:
     """texts with the column in its consistent form (unify_text). ASCII texts stay in the JVM; nulls stay null."""
-    forms = Lexicon([f for _, f in _lexicon(lexicon)]) if lexicon is not None else None
+    sent = texts.sparkSession.sparkContext.broadcast(Lexicon([f for _, f in _lexicon(lexicon)]) if lexicon is not None else None)
 
     @F.pandas_udf("string")
     def united(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: unify_text(t, forms), na_action="ignore")
+        return s.map(lambda t: unify_text(t, sent.value), na_action="ignore")
 
     return texts.withColumn(column, F.when(is_ascii(F.col(column)) & ~F.col(column).rlike(r"[\t-\r\x1c-\x1f]"), F.col(column)).otherwise(united(F.col(column))))
 

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from speechloom.operators.periods import to_units
-from speechloom.session import shuffle_partitions
+from speechloom.session import shuffle_partitions, written
 
 #: Nearest words are looked for up to this far away (0.15 s in units of 0.0001 s).
 TOLERANCE = 1_500
@@ -44,11 +44,10 @@ def nearest_in_time(left: DataFrame, right: DataFrame, entity: str, tolerance: i
     '_'). right: entity, ts ARRAY<STRUCT<t BIGINT, ref BIGINT>>, points packed by row. Returns the left columns,
     distance and ref, for the left rows that have a point within tolerance; left columns of these two names are left
     out of the result. Ties go to the smallest ref.
+    The result is computed when this is called and written to the shared folder.
     Null entity or t, null arrays and null points: never matched, left out. Empty tables give an empty result.
     """
     spark = left.sparkSession
-    # The rings' join keys refine the partitioning by (entity, block); without this Spark would shuffle for each ring.
-    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
     n = shuffle_partitions(spark)
     names = left.columns
     todo = (
@@ -81,7 +80,16 @@ def nearest_in_time(left: DataFrame, right: DataFrame, entity: str, tolerance: i
         if w >= tolerance:
             break
         ring *= 2
-    return todo.filter("_d is not null").select(*[c for c in names if c not in ("distance", "ref")], F.col("_d").alias("distance"), F.col("_ref").alias("ref"))
+    found = todo.filter("_d is not null").select(*[c for c in names if c not in ("distance", "ref")], F.col("_d").alias("distance"), F.col("_ref").alias("ref"))
+    # The rings' join keys refine the partitioning by (entity, block); without this setting Spark would shuffle for each
+    # ring (15 exchanges for 6). It holds while the result is written, no longer.
+    setting = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "false")
+    try:
+        return written(found, "nearest")
+    finally:
+        spark.conf.set(setting, before)
 
 
 def word_points(asr: DataFrame) -> DataFrame:

@@ -8,14 +8,14 @@ it is frequent among the easy ones and not more so among the others. The weights
 ridge regression towards fixed ones, on at most MAX_RATED rated documents.
 
 Words are runs of letters, apostrophes and hyphens in English and character pairs in Japanese, look-alike characters made plain. Sentences end at
-stops that aren't abbreviations; what runs on for more than LONGEST words without one, or RUN_ON words without any mark,
-or ends without a stop, is unpunctuated and not measured, and a document without a measured sentence takes the corpus
-mean.
+stops that aren't abbreviations; a sentence of any length is measured if it is punctuated. What runs on for more than
+RUN_ON words without any mark, or ends without a stop, is unpunctuated and not measured, and a document without a
+measured sentence takes the corpus mean.
 
 Texts are cut in Arrow batches: cutting with built-in regex functions took five times the CPU. The frequency pass counts
-inside each task and shuffles one row per word and task; the scoring pass shuffles nothing. The list holds words of at
-least MIN_SHARE of the easy documents, so it has at most (distinct words of a document) / MIN_SHARE entries whatever the
-corpus size; that bound is checked before it is sent to the executors.
+inside each task and shuffles one row per word and task; the scoring pass shuffles nothing. The list holds the MAX_LIST
+most frequent of the words in at least MIN_SHARE of the easy documents, whatever the corpus size, and goes to the
+executors as one broadcast.
 """
 
 from __future__ import annotations
@@ -27,6 +27,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,13 +35,13 @@ from speechloom.llm.lookalikes import plain_text, skeleton
 
 #: Rated documents the weights are fitted on, by lowest hash of doc_id.
 MAX_RATED = 20_000
+#: A word of the high-frequency list is in so many of the easy documents; the list is as long as this at most, as any
+#: list of familiar words has a length.
 MIN_SHARE = 0.001
 MAX_LIST = 400_000
 #: Words a task counts before it passes the counts on.
 MAX_COUNTED = 400_000
-#: Longest measured sentence: words (English), characters (Japanese).
-LONGEST = {False: 100, True: 200}
-#: Longest stretch without any punctuation in a measured sentence, likewise.
+#: Longest stretch without any punctuation in a measured sentence: words (English), characters (Japanese).
 RUN_ON = {False: 35, True: 80}
 DEMANDING = 3.5
 MIN_WORDS, MIN_CHARS = 40, 100
@@ -79,7 +80,7 @@ class Profile:
 def _measured(piece: str, ja: bool) -> int:
     """Length of a sentence, 0 if it is empty or looks unpunctuated."""
     n = len(piece) if ja else len(piece.split())
-    if n > LONGEST[ja] or n > RUN_ON[ja] and max(len(x) if ja else len(x.split()) for x in _MARK[ja].split(piece)) > RUN_ON[ja]:
+    if n > RUN_ON[ja] and max(len(x) if ja else len(x.split()) for x in _MARK[ja].split(piece)) > RUN_ON[ja]:
         return 0
     return n
 
@@ -187,7 +188,8 @@ def train(documents: DataFrame, levels: DataFrame, max_rated: int = MAX_RATED) -
     rated = levels.filter("doc_id is not null and reading_level is not null").groupBy("doc_id").agg(F.avg("reading_level").alias("level")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rated)
     rated = spark.createDataFrame([tuple(r) for r in rated.collect()], "doc_id bigint, level double")  # at most max_rated rows
 
-    def measured(it: Iterator[pd.DataFrame], known: Model | None) -> Iterator[pd.DataFrame]:
+    def measured(it: Iterator[pd.DataFrame], sent: Broadcast | None) -> Iterator[pd.DataFrame]:
+        known = sent.value if sent else None
         for df in it:
             rows = []
             for t, level in zip(df["text"], df["level"]):
@@ -198,8 +200,8 @@ def train(documents: DataFrame, levels: DataFrame, max_rated: int = MAX_RATED) -
 
     sample = documents.filter("text is not null").select("doc_id", "text").join(F.broadcast(rated), "doc_id").select("text", "level").persist()
 
-    def collect(known: Model | None) -> dict[bool, np.ndarray]:
-        rows = sample.mapInPandas(lambda it: measured(it, known), "ja boolean, guess_at double, unfamiliar double, sentence double, level double").collect()
+    def collect(sent: Broadcast | None) -> dict[bool, np.ndarray]:
+        rows = sample.mapInPandas(lambda it: measured(it, sent), "ja boolean, guess_at double, unfamiliar double, sentence double, level double").collect()
         return {j: np.array([tuple(r)[1:] for r in rows if r["ja"] == j], float).reshape(-1, 4) for j in (False, True)}
 
     for j, z in collect(None).items():
@@ -209,16 +211,14 @@ def train(documents: DataFrame, levels: DataFrame, max_rated: int = MAX_RATED) -
         totals = {r["ja"]: r for r in frequency.filter("word is null").collect()}
         of = lambda c: F.when(F.col("ja"), F.lit(max(1, totals[True][c]) if True in totals else 1)).otherwise(F.lit(max(1, totals[False][c]) if False in totals else 1))
         listed = frequency.filter("word is not null and in_easy >= 2").filter((F.col("in_easy") >= MIN_SHARE * of("in_easy")) & (F.col("in_easy") / of("in_easy") >= F.col("in_hard") / of("in_hard")))
-        words = listed.select("ja", "word").limit(MAX_LIST + 1).collect()
+        words = listed.orderBy(F.desc("in_easy"), "word").select("ja", "word").limit(MAX_LIST).collect()
     finally:
         frequency.unpersist()
-    if len(words) > MAX_LIST:
-        raise ValueError("the high-frequency list is longer than its bound")
     for j in (False, True):
         model.familiar[j] = frozenset(r["word"] for r in words if r["ja"] == j)
         if j in totals and totals[j]["measured"]:
             model.sentence[j] = totals[j]["sentences"] / totals[j]["measured"]
-    for j, z in collect(model).items():
+    for j, z in collect(spark.sparkContext.broadcast(model)).items():
         model.weights[j] = fit(z[:, 1:3], z[:, 3], WEIGHTS[j], SCALE[j])
         # A fitted line flattens the ends: the cut lies between what documents rated about 3 and about 4 get (medians, as
         # raters err), nearer to the one with the smaller spread. PRIOR documents of the nominal level keep it steady.
@@ -241,7 +241,10 @@ def reading_levels(documents: DataFrame, levels: DataFrame) -> DataFrame:
     documents = documents.select("doc_id", "text")
     model = train(documents, levels)
 
-    def run(it: Iterator[pd.DataFrame], m: Model = model) -> Iterator[pd.DataFrame]:
+    sent = documents.sparkSession.sparkContext.broadcast(model)
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        m = sent.value
         for df in it:
             rows = []
             for t in df["text"]:

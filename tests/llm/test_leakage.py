@@ -80,3 +80,48 @@ def test_against_brute_force(spark):
     grams = lambda t: {tuple(t[i : i + 12]) for i in range(len(t) - 11)}
     want = [(n, i) for n, t in docs for i, s in items if grams(t.split()) & grams(s.split())]
     assert rows(G.leaks(*frames(spark, docs, items))) == sorted(want, key=repr)
+
+
+def test_blocks_of_items_find_the_same(spark, monkeypatch):
+    items = [(i, " ".join(f"{x}{i}" for x in "abcdefghijklmnop")) for i in range(9)] + [(20, JA)]
+    docs = [(i, "so " + t.replace(f"a{i} ", "") if i < 9 else t) for i, t in items]
+    want = rows(G.leaks(*frames(spark, docs, items)))
+    assert len(want) == 10
+    monkeypatch.setattr(G, "MAX_ITEMS", 8)
+    assert rows(G.leaks(*frames(spark, docs, items))) == want
+    monkeypatch.setattr(G, "MAX_ITEM_CHARS", 100)
+    assert rows(G.leaks(*frames(spark, docs, items))) == want
+
+
+def test_reparameterised_japanese_and_number_of_windows(spark):
+    other = JA.replace("ボガイウト", "タロ").replace("ドノセミマ", "サクラコヤナ")
+    d, i = frames(spark, [(1, other), (2, JA), (3, JA.replace("ボガイウト", "タロ", 1)), (4, ITEM.replace("Pursalr", "Zidaes").replace("7", "12"))])
+    got = {(r.doc_id, r.item_id): (r.n_windows, r.n_slots) for r in G.reparameterised(d, i).collect()}
+    assert set(got) == {(1, 2), (4, 1)} and got[1, 2][1] == 2 and got[4, 1] == (len(ITEM.split()) - 11, 2)
+
+
+def test_recall_of_planted_reparameterised_items(spark, data):
+    """Every item with its numbers and names changed, one for one, planted in a text; a name stands with a capital
+    inside a sentence, or in katakana of at least three letters."""
+    import re
+
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{data}/eval_items.parquet").collect() if r.text]
+    docs = []
+    for k, t in items:
+        # Long vowels stay: a name of them alone would be no name.
+        names = set(re.findall(r"(?<=[a-z,] )[A-Z][a-z]{2,}", t)) | set(re.findall("[ァ-ヴ]{3,}", t))
+        numbers = set(re.findall(r"(?<![\w.])\d+(?![\w.])", t))
+        new = t
+        for n, x in enumerate(sorted(names)):
+            new = re.sub(rf"\b{x}\b" if x.isascii() else x, ("Qu" + "bcdfghjklm"[n % 10] + "ovan" + "stvwxyz"[n // 10]) if x.isascii() else "ヌヌ" + "ケセテネヘメレ"[n % 7] * 2, new)
+        for n, x in enumerate(sorted(numbers)):
+            new = re.sub(rf"(?<![\w.]){x}(?![\w.])", str(7001 + n), new)
+        if new != t:
+            docs.append((k, "So it was. " + new + " And then." if t.isascii() else new))
+    # A text that still shares a window as it stands is a leak, not a re-parameterised question.
+    leaked = {r.doc_id for r in G.leaks(*frames(spark, docs, items)).collect()}
+    docs = [(k, t) for k, t in docs if k not in leaked]
+    found = {(r.doc_id, r.item_id) for r in G.reparameterised(*frames(spark, docs, items)).collect()}
+    hit = sum((k, k) in found for k, _ in docs)
+    print(f"planted {len(docs)}, found {hit}, others {len(found) - hit}")
+    assert len(docs) > 50 and hit >= 0.9 * len(docs)
