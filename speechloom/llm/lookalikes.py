@@ -51,13 +51,17 @@ _APOSTROPHES = str.maketrans(dict.fromkeys(APOSTROPHES, "'"))
 ALPHABETS = ("LATIN", "CYRILLIC", "GREEK", "ARMENIAN", "CHEROKEE", "LISU", "COPTIC")
 
 
+_SCRIPTS: dict[str, str] = {}  # what script_of and _scripts_of found; at most one entry a character
+_ABLE: dict[str, tuple[str, frozenset[str]]] = {}
+
+
 def script_of(c: str) -> str:
     """First word of the letter's Unicode name, that of its plain form where it is a compatibility form; '' for what
     belongs to no script (marks, digits, signs)."""
-    if unicodedata.category(c)[0] != "L":
-        return ""
-    plain = unicodedata.normalize("NFKC", c)
-    return unicodedata.name(plain[:1] or c, "").split(" ")[0]
+    if (s := _SCRIPTS.get(c)) is None:
+        plain = unicodedata.normalize("NFKC", c)
+        s = _SCRIPTS[c] = unicodedata.name(plain[:1] or c, "").split(" ")[0] if unicodedata.category(c)[0] == "L" else ""
+    return s
 
 
 def unicode_prototypes() -> dict[str, str]:
@@ -123,16 +127,24 @@ def skeleton(s: str) -> str:
     return unicodedata.normalize("NFC", unicodedata.normalize("NFD", s).translate(_SKELETON))
 
 
+def _scripts_of(c: str) -> tuple[str, frozenset[str]]:
+    """(script of a letter, scripts that have a letter of its shape)."""
+    if (found := _ABLE.get(c)) is None:
+        own = script_of(c)
+        found = _ABLE[c] = (own, frozenset({own, *_SPELLINGS.get(_SHAPES.get(c, c), {})}))
+    return found
+
+
 def resolved_scripts(token: str) -> tuple[set[str], set[str]]:
     """(scripts of the letters, scripts in which the whole token can be spelled). More than one of the first: mixed;
     others than the first in the second: whole-script confusable."""
     own, able = set(), None
     for c in unicodedata.normalize("NFD", token):
-        if s := script_of(c):
+        s, can = _scripts_of(c)
+        if s:
             own.add(s)
-            can = {s, *_SPELLINGS.get(_SHAPES.get(c, c), {})}
             able = can if able is None else able & can
-    return own, able or set()
+    return own, set(able or ())
 
 
 def spelled_in(token: str, script: str) -> str:
@@ -141,24 +153,21 @@ def spelled_in(token: str, script: str) -> str:
 
 
 def unify_script(token: str, known: dict[str, str] | None = None) -> str:
-    """The token in one consistent script. known: plain spelling by skeleton. Of the scripts the letters' resolved sets
-    have in common, the one that spells a known form holds (its edges are kept out); Japanese writing, in which scripts
-    mix, is looked up by its look. Without a known spelling a token all of one script stays, and a mixed one is spelled
+    """The token in one consistent script. known: plain spelling by skeleton. A known form holds (the token's edges are
+    kept out) if it is in a script that the letters' resolved sets have in common; Japanese writing, in which scripts mix,
+    is looked up by its look alone. Without a known spelling a token all of one script stays, and a mixed one is spelled
     in the script it can all take (Latin if it has Latin letters, else the one most of its letters have)."""
     t = plain_text(token)
     own, able = resolved_scripts(t)
     mixed, whole = len(own) > 1, bool(able - own)
-    if known and (mixed or whole or not t.isascii()):
-        count = Counter(map(script_of, t))
-        if own & set(ALPHABETS):
-            for script in sorted(able, key=lambda s: (-count[s], s)):
-                if known.get(skeleton(form := spelled_in(t, script).strip())) == form:
-                    return form
-        if (form := known.get(skeleton(t).strip())) is not None:
+    alphabetic = not own.isdisjoint(ALPHABETS)
+    if known and (mixed or whole or not t.isascii()) and (form := known.get(skeleton(t).strip())) is not None:
+        # The form's own script is one that all letters of the token can take.
+        if not alphabetic or any(script_of(c) in able for c in form):
             return form
     if t.isascii():
         return t
-    if own & set(ALPHABETS):
+    if alphabetic:
         if not mixed or not able:
             return t
         count = Counter(script_of(c) for c in t)
