@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from speechloom import schema as S
+from speechloom.session import written
 
 
 def textgrid_text(intervals: DataFrame) -> DataFrame:
@@ -39,18 +40,24 @@ def pause_tier(words: DataFrame, least: float = 0.25) -> DataFrame:
     return words.withColumn("tier", F.lit("pauses")).withColumn("tier_idx", F.col("tier_idx") + 1).withColumn("label", F.when((F.trim("label") == "") & (F.col("xmax") - F.col("xmin") >= least), "sp").otherwise(""))
 
 
+def write_per_file(texts: DataFrame, path: str) -> None:
+    """One text file per row of file_id, value, in a folder 'file_id=...' of any store that Spark writes to."""
+    texts.select("file_id", "value").write.mode("overwrite").partitionBy("file_id").text(path)
+
+
 def write_textgrids(intervals: DataFrame, path: str) -> None:
-    textgrid_text(intervals).write.format("textgrid").mode("append").save(path)
+    """TextGrid files as write_per_file puts them."""
+    write_per_file(textgrid_text(intervals), path)
 
 
 def write_csv_per_file(df: DataFrame, path: str) -> None:
     """One directory of CSV per file_id."""
-    df.repartition("file_id").write.mode("overwrite").option("header", True).partitionBy("file_id").csv(path)
+    df.write.mode("overwrite").option("header", True).option("escape", '"').partitionBy("file_id").csv(path)
 
 
 def write_csv(df: DataFrame, path: str, sep: str = ",") -> None:
     """One CSV for results of report size, with a header even if there are no rows."""
-    df.coalesce(1).write.mode("overwrite").option("header", True).option("sep", sep).csv(path)
+    df.repartition(1).write.mode("overwrite").option("header", True).option("sep", sep).option("escape", '"').csv(path)
 
 
 def empty_candidates(spark) -> DataFrame:
@@ -69,10 +76,16 @@ def write_json(df: DataFrame, path: str) -> None:
 
 
 def write_label_pair(sentences: DataFrame, order: list[str], path: str) -> None:
-    """.dis and .labels directories of lines in the same order (words and labels joined by spaces)."""
-    ordered = sentences.orderBy(*order)
-    ordered.select(F.concat_ws(" ", "words").alias("value")).write.mode("overwrite").text(f"{path}.dis")
-    ordered.select(F.concat_ws(" ", F.transform("labels", lambda x: x.cast("string"))).alias("value")).write.mode("overwrite").text(f"{path}.labels")
+    """.dis and .labels directories, one file each, of lines in the same order (words and labels joined by spaces).
+
+    Rows are sorted once, by order and then by their lines, and both files are written from that; a pair of files is
+    one task's work, as line n of one belongs to line n of the other."""
+    line = lambda c: F.concat_ws(" ", F.transform(c, lambda x: x.cast("string")))
+    lines = sentences.select(*order, line("words").alias("_dis"), line("labels").alias("_labels"))
+    ordered = written(lines.repartition(1).sortWithinPartitions(*order, "_dis", "_labels"), "pair")
+    for c in ("dis", "labels"):
+        one = ordered.select(*order, "_dis", "_labels").repartition(1).sortWithinPartitions(*order, "_dis", "_labels")
+        one.select(F.col(f"_{c}").alias("value")).write.mode("overwrite").text(f"{path}.{c}")
 
 
 def markdown(df: DataFrame, most: int = 1_000) -> str:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -10,15 +10,24 @@ from pyspark.sql import functions as F
 
 from speechloom import schema as S
 from speechloom.functions import text as T
+from speechloom.operators import intervals as I
 
 
 def _stem() -> Column:
-    return T.file_stem(F.col("_metadata.file_path"))
+    """File id: of the folder 'file_id=...' that a file lies in, where sinks.writers put it there, else its name's stem."""
+    path = F.col("_metadata.file_path")
+    folder = F.regexp_extract(path, r"/file_id=([^/]+)/", 1)
+    return F.when(folder != "", F.url_decode(folder)).otherwise(T.file_stem(path))
+
+
+def _whole_texts(spark: SparkSession, path: str) -> DataFrame:
+    """file_id, value of every text file under a path."""
+    return spark.read.option("recursiveFileLookup", True).text(path, wholetext=True).select(_stem().alias("file_id"), "value")
 
 
 def read_asr_json(spark: SparkSession, path: str) -> DataFrame:
     """One row per JSON file: file_id and the fields; what doesn't parse is null."""
-    return spark.read.schema(S.ASR_JSON).option("multiLine", True).option("mode", "PERMISSIVE").json(path).select(_stem().alias("file_id"), "*")
+    return spark.read.schema(S.ASR_JSON).option("multiLine", True).option("recursiveFileLookup", True).option("mode", "PERMISSIVE").json(path).select(_stem().alias("file_id"), "*")
 
 
 def asr_words(asr: DataFrame) -> DataFrame:
@@ -30,7 +39,7 @@ def asr_words(asr: DataFrame) -> DataFrame:
 
 def read_aligner_json(spark: SparkSession, path: str) -> DataFrame:
     """file_id, idx, s, e, word of an aligner's word entries; blanks and '<eps>' left out."""
-    raw = spark.read.schema(S.ALIGNER_JSON).option("multiLine", True).json(path).select(_stem().alias("file_id"), F.posexplode("tiers.words.entries").alias("idx", "x"))
+    raw = spark.read.schema(S.ALIGNER_JSON).option("multiLine", True).option("recursiveFileLookup", True).json(path).select(_stem().alias("file_id"), F.posexplode("tiers.words.entries").alias("idx", "x"))
     e = lambda i: F.get("x", F.lit(i))
     return raw.select("file_id", "idx", e(0).try_cast("double").alias("s"), e(1).try_cast("double").alias("e"), e(2).alias("word")).filter("word <> '' and word <> '<eps>'")
 
@@ -44,7 +53,7 @@ def read_file_list(spark: SparkSession, path: str, key: str = "all_selected") ->
 
 def read_candidates(spark: SparkSession, path: str) -> DataFrame:
     """Candidate CSVs of a directory; file_id from the column, else from the file's name."""
-    df = spark.read.schema(S.CANDIDATES).option("header", True).option("nanValue", "nan").csv(path)
+    df = spark.read.schema(S.CANDIDATES).option("header", True).option("enforceSchema", False).csv(path)
     return df.withColumn("file_id", F.coalesce("file_id", _stem()))
 
 
@@ -56,7 +65,7 @@ def read_gold_segments(spark: SparkSession, paths: list[str]) -> DataFrame:
     """file_id, idx, text: one normalised segment per non-blank line, of the first of the directories that has the file."""
     every = None
     for k, p in enumerate(paths):
-        one = spark.read.text(p, wholetext=True).select(_stem().alias("file_id"), F.lit(k).alias("_p"), F.regexp_replace("value", "^﻿", "").alias("value"))
+        one = _whole_texts(spark, p).select("file_id", F.lit(k).alias("_p"), F.regexp_replace("value", "^\ufeff", "").alias("value"))
         every = one if every is None else every.unionByName(one)
     first = every.groupBy("file_id").agg(F.min_by("value", "_p").alias("value"))
     lines = first.select("file_id", F.posexplode(F.filter(F.transform(F.split("value", r"\r?\n"), T.normalize), lambda x: x != "")).alias("idx", "text"))
@@ -64,16 +73,18 @@ def read_gold_segments(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 
 def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.text(path, wholetext=True).select(_stem().alias("file_id"), T.normalize(F.regexp_replace("value", "^﻿", "")).alias("text"))
+    return _whole_texts(spark, path).select("file_id", T.normalize(F.regexp_replace("value", "^\ufeff", "")).alias("text"))
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """file, line_no (from 0), value. Lines are numbered where each file is read whole; for files that fit a task."""
-    return spark.read.text(path, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)$", 1).alias("file"), F.posexplode(F.split(F.regexp_replace("value", r"\r?\n\z", ""), r"\r?\n")).alias("line_no", "value"))
+    """file, line_no (from 0), value. Files are read in splits: lines are numbered inside each split, and splits hand on
+    their number of lines."""
+    raw = spark.read.text(path).select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)$", 1).alias("file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"), "value", F.lit(1).cast("bigint").alias("_one"))
+    return I.along(raw, ["file"], F.col("_block"), ["_id"], line_no=("sum", "_one")).select("file", "line_no", "value")
 
 
 def parallel_lines(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
-    """Lines of parallel files joined by number (up to the shortest): line_no and a column per name."""
+    """Lines of parallel files, one file each, joined by number (up to the shortest): line_no and a column per name."""
     out = None
     for name, p in paths.items():
         one = read_lines(spark, p).select("line_no", F.col("value").alias(name))
@@ -91,6 +102,17 @@ def read_swda(spark: SparkSession, path: str) -> DataFrame:
     return df.filter(" and ".join(f"{c} is not null" for c in numbers)).withColumns({"act_tag": F.replace(F.col("act_tag"), F.lit("*"), F.lit("")), "trees": many("trees"), "ptb_treenumbers": F.transform(many("ptb_treenumbers"), lambda x: x.cast("int"))})
 
 
+def read_swda_positional(spark: SparkSession, path: str) -> DataFrame:
+    """Utterance CSVs by the place of their columns, whatever the header calls them: conversation_no, caller,
+    utterance_index, text. The header, rows of fewer than nine columns and rows without a whole conversation and utterance
+    number are left out; bytes that are no text become replacement characters."""
+    names = S.SWDA_COLUMNS
+    raw = spark.read.schema(S.SWDA_RAW).option("header", False).option("multiLine", True).option("escape", '"').option("mode", "PERMISSIVE").csv(path)
+    cells = raw.select(*[F.col(n) for n in names])
+    numbers = {"conversation_no": F.col(names[2]).try_cast("int"), "utterance_index": F.col(names[6]).try_cast("int")}
+    return cells.select(numbers["conversation_no"].alias("conversation_no"), F.col(names[5]).alias("caller"), numbers["utterance_index"].alias("utterance_index"), F.col(names[8]).alias("text")).filter("conversation_no is not null and utterance_index is not null")
+
+
 def read_swda_metadata(spark: SparkSession, path: str) -> DataFrame:
     raw = spark.read.schema(S.SWDA_METADATA_RAW).option("header", True).option("multiLine", True).option("escape", '"').csv(path)
     ints = ["conversation_no", "length", "from_caller", "to_caller", "from_caller_education", "to_caller_education", "from_caller_birth_year", "to_caller_birth_year"]
@@ -105,10 +127,20 @@ def read_delimited(spark: SparkSession, path: str, key: str, columns: list[str])
     return df.groupBy(key).agg(F.max_by(F.struct(*[c for c in columns if c != key]), "line_no").alias("_r")).select(key, "_r.*")
 
 
-def read_sentence_dump(spark: SparkSession, path: str) -> DataFrame:
-    """Third column of a TSV dump (bz2 is read as it is): 3 to 80 characters, no ASCII letters, distinct."""
-    df = spark.read.option("sep", "\t").option("quote", "").schema("id string, lang string, text string").csv(path)
-    return df.filter(F.col("text").isNotNull() & F.length("text").between(3, 80) & ~F.col("text").rlike("[A-Za-z]")).select("text").distinct()
+def read_sentence_dump(spark: SparkSession, path: str, tokenise: Callable[[str], list[str]] | None = None, least: int = 3, most: int = 25) -> DataFrame:
+    """Third column of a TSV dump (bz2 is read as it is): 3 to 80 characters, no ASCII letters, distinct; with a
+    tokeniser, of `least` to `most` pieces."""
+    df = spark.read.option("sep", "\t").option("quote", "").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).schema("id string, lang string, text string").csv(path)
+    df = df.filter(F.col("text").isNotNull() & F.length("text").between(3, 80) & ~F.col("text").rlike("[A-Za-z]")).select("text").distinct()
+    if tokenise is None:
+        return df
+
+    @F.pandas_udf("int")
+    def pieces(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in it:
+            yield s.map(lambda t: len(tokenise(t)))
+
+    return df.filter(pieces("text").between(least, most))
 
 
 def read_filler_events(spark: SparkSession, path: str) -> DataFrame:
@@ -117,12 +149,17 @@ def read_filler_events(spark: SparkSession, path: str) -> DataFrame:
     return df.select(*[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in S.FILLER_EVENTS])
 
 
+def _path_id() -> Column:
+    folder = F.regexp_extract("path", r"/file_id=([^/]+)/", 1)
+    return F.when(folder != "", F.url_decode(folder)).otherwise(T.file_stem(F.col("path")))
+
+
 def list_files(spark: SparkSession, path: str, extensions: tuple[str, ...]) -> DataFrame:
     """file_id, path, extension of files under a directory, one per id by order of the extensions; sorted by id."""
     f = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path")
     f = f.withColumn("extension", F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))).filter(F.col("extension").isin(*extensions))
     rank = F.array_position(F.array(*map(F.lit, extensions)), F.col("extension"))
-    return f.groupBy(T.file_stem(F.col("path")).alias("file_id")).agg(F.min_by(F.struct("path", "extension"), rank).alias("_x")).select("file_id", "_x.*").orderBy("file_id")
+    return f.groupBy(_path_id().alias("file_id")).agg(F.min_by(F.struct("path", "extension"), rank).alias("_x")).select("file_id", "_x.*").orderBy("file_id")
 
 
 def read_audio(spark: SparkSession, path: str, decode: "callable", rate: int = 16_000) -> DataFrame:

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-import glob
+import fnmatch
 import os
 import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow.fs as pafs
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, Filter, In, InputPartition, WriterCommitMessage
 
+from speechloom.functions import text as T
+
 COLUMNS = "tier_idx int, tier string, idx int, xmin double, xmax double, label string"
 _VALUE = re.compile(r'"((?:[^"]|"")*)"|(?<![\w"])(-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?)(?![\w"])')
 
@@ -61,6 +64,24 @@ def intervals_of_text(files: DataFrame, file_id: str = "file_id", text: str = "v
     return files.select(file_id, text).mapInPandas(run, f"file_id string, {COLUMNS}, error string")
 
 
+def _text_of(raw: bytes) -> str:
+    return raw.decode("utf-16") if raw[:2] in (b"\xff\xfe", b"\xfe\xff") else raw.decode("utf-8-sig", "replace")
+
+
+def read_textgrids(spark: SparkSession, path: str) -> DataFrame:
+    """Interval rows (with an error column, see intervals_of_text) of the text files under a path of any store that Spark
+    reads; UTF-8 and UTF-16. file_id is that of a folder 'file_id=...', else the file's stem."""
+    folder = F.regexp_extract("path", r"/file_id=([^/]+)/", 1)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+
+    @F.pandas_udf("string")
+    def decoded(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in it:
+            yield s.map(lambda b: _text_of(bytes(b)))
+
+    return intervals_of_text(files.select(F.when(folder != "", F.url_decode(folder)).otherwise(T.file_stem(F.col("path"))).alias("file_id"), decoded("content").alias("value")))
+
+
 def _tier_words(block: Column, pattern: str) -> Column:
     part = lambda g: F.regexp_extract_all(block, F.lit(pattern), F.lit(g))
     rows = F.transform(F.arrays_zip(part(1).alias("a"), part(2).alias("b"), part(3).alias("c")), lambda x: F.struct(x["a"].cast("double").alias("xmin"), x["b"].cast("double").alias("xmax"), F.lower(F.trim(x["c"])).alias("label")))
@@ -80,6 +101,11 @@ def long_words(text: Column, tier: str) -> Column:
     return _tier_words(block, r'xmin = ([\d.eE+-]+)\s+xmax = ([\d.eE+-]+)\s+text = "((?:[^"]|"")*)"')
 
 
+def _store(path: str) -> tuple[pafs.FileSystem, str]:
+    """The store a path or URI lies in (local, HDFS, S3, ...) and the path in it; drivers and executors open it alike."""
+    return pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), os.path.abspath(path))
+
+
 class _File(InputPartition):
     def __init__(self, paths: list[str]) -> None:
         self.paths = paths
@@ -103,17 +129,23 @@ class _Reader(DataSourceReader):
                 yield f
 
     def partitions(self) -> list[InputPartition]:
-        pattern = os.path.join(self.path, "**", "*.TextGrid") if os.path.isdir(self.path) else self.path
-        paths = sorted(p for p in glob.glob(pattern, recursive=True) if self.ids is None or os.path.splitext(os.path.basename(p))[0] in self.ids)
+        fs, root = _store(self.path)
+        stem = lambda p: os.path.splitext(os.path.basename(p))[0]
+        if fs.get_file_info(root).type == pafs.FileType.Directory:
+            paths = [f.path for f in fs.get_file_info(pafs.FileSelector(root, recursive=True)) if f.path.endswith(".TextGrid")]
+        else:
+            parent = os.path.dirname(root)
+            paths = [f.path for f in fs.get_file_info(pafs.FileSelector(parent, allow_not_found=True)) if fnmatch.fnmatch(f.path, root)]
+        paths = sorted(p for p in paths if self.ids is None or stem(p) in self.ids)
         return [_File(paths[i : i + self.per]) for i in range(0, len(paths), self.per)] or [_File([])]
 
     def read(self, partition: _File) -> Iterator[tuple]:
+        fs, _ = _store(self.path)
         for path in partition.paths:
             name = os.path.splitext(os.path.basename(path))[0]
-            with open(path, "rb") as f:
+            with fs.open_input_stream(path) as f:
                 raw = f.read()
-            text = raw.decode("utf-16") if raw[:2] in (b"\xff\xfe", b"\xfe\xff") else raw.decode("utf-8-sig", "replace")
-            for row in parse_textgrid(text):
+            for row in parse_textgrid(_text_of(raw)):
                 if self.tiers is None or row[1] in self.tiers:
                     yield (name, *row)
 
@@ -128,13 +160,15 @@ class _Writer(DataSourceWriter):
         self.path = options["path"]
 
     def write(self, rows: Iterator) -> _Message:
-        os.makedirs(self.path, exist_ok=True)
+        fs, root = _store(self.path)
+        fs.create_dir(root, recursive=True)
         n = 0
         for r in rows:
-            end = os.path.join(self.path, f"{r['file_id']}.TextGrid")
-            with open(f"{end}.part{os.getpid()}", "w", encoding="utf-8") as f:
-                f.write(r["value"])
-            os.replace(f.name, end)  # a task tried again replaces its file whole
+            end = f"{root}/{r['file_id']}.TextGrid"
+            part = f"{end}.part{os.getpid()}"
+            with fs.open_output_stream(part) as f:
+                f.write(r["value"].encode("utf-8"))
+            fs.move(part, end)  # a task tried again replaces its file whole
             n += 1
         return _Message(n)
 
