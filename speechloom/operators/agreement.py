@@ -159,6 +159,14 @@ def location_scores(df: DataFrame, by: list[str]) -> DataFrame:
     return c.select(*by, "n", *[F.when(n < 2, 0.0).otherwise(v).alias(k) for k, v in out.items()])
 
 
+def file_agreement(files: DataFrame, located: DataFrame) -> DataFrame:
+    """file_id, n_pauses, n_agree, accuracy of every file of files: located (file_id, auto, gold) counts where auto and
+    gold agree; files without a row have zeros."""
+    n = located.groupBy("file_id").agg(F.count(F.lit(1)).alias("n_pauses"), F.count_if(F.col("auto") == F.col("gold")).alias("n_agree"))
+    every = files.select("file_id").distinct().join(n, "file_id", "left").fillna(0, ["n_pauses", "n_agree"])
+    return every.withColumn("accuracy", ratio(F.col("n_agree"), F.col("n_pauses")))
+
+
 def macro(df: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
     """Means over files of the columns, NaN left out (null where nothing is left): by, n_files, macro_<column>."""
     return _by(df, by, F.count(F.lit(1)).alias("n_files"), *[F.avg(F.when(~F.isnan(c), F.col(c))).alias(f"macro_{c}") for c in columns])

@@ -230,3 +230,12 @@ def retokenise(words: DataFrame, keys: list[str], tokenise: Callable[[str], list
 def lead_gap(words: DataFrame, keys: list[str]) -> DataFrame:
     """words (keys, idx, s, e) with gap, the time to the next word (null at the end)."""
     return I.along(words, keys, I.row_block("idx"), ["idx"], _next=("lead", "s")).withColumn("gap", F.col("_next") - F.col("e")).drop("_next")
+
+
+def gaps_with_edges(words: DataFrame, keys: list[str], bounds: DataFrame) -> DataFrame:
+    """Gaps of a key: keys, place ('leading', 'between', 'trailing'), gap. From low to the first word, between words in
+    order of idx, from the last word to high. words: keys, idx, s, e; bounds: keys, low, high; keys without words: no gap."""
+    between = lead_gap(words, keys).filter("gap is not null").select(*keys, F.lit("between").alias("place"), "gap")
+    ends = words.groupBy(*keys).agg(F.min_by("s", "idx").alias("_f"), F.max_by("e", "idx").alias("_l")).join(bounds, keys)
+    edge = F.array(F.struct(F.lit("leading").alias("place"), (F.col("_f") - F.col("low")).alias("gap")), F.struct(F.lit("trailing").alias("place"), (F.col("high") - F.col("_l")).alias("gap")))
+    return between.unionByName(ends.select(*keys, F.explode(edge).alias("x")).select(*keys, "x.*"))

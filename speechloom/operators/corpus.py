@@ -165,6 +165,13 @@ def count_desc(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.groupBy(*columns).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), *columns)
 
 
+def match_rates(df: DataFrame, by: list[str], matches: Column) -> DataFrame:
+    """by, n_match, n_mismatch, pct_match, pct_mismatch; where nothing tells, it is a mismatch."""
+    g = df.groupBy(*by).agg(F.count_if(F.coalesce(matches, F.lit(False))).alias("n_match"), F.count(F.lit(1)).alias("_n"))
+    share = lambda c: F.lit(100.0) * c / F.col("_n")
+    return g.select(*by, "n_match", (F.col("_n") - F.col("n_match")).alias("n_mismatch"), share(F.col("n_match")).alias("pct_match"), share(F.col("_n") - F.col("n_match")).alias("pct_mismatch"))
+
+
 def word_errors(df: DataFrame) -> DataFrame:
     """Per word: missed, false_positive, correct. df: words, auto, gold (arrays of equal length)."""
     x = df.select(F.explode(F.arrays_zip("words", "auto", "gold")).alias("x")).select("x.*")
@@ -231,6 +238,17 @@ def readings(tokens: DataFrame, reading_of: "callable") -> DataFrame:
     return t.withColumn("reading", read("word")).filter(F.length("reading") >= 3)
 
 
+def lemmas(words: DataFrame, lemmatise: "callable") -> DataFrame:
+    """words (word, tag, ...) with lemma by a lemmatiser (word, tag) -> lemma, run in Arrow batches; null words have none."""
+
+    @F.pandas_udf("string")
+    def run(it: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for w, t in it:
+            yield pd.Series([None if a is None else lemmatise(a, b or "") for a, b in zip(w, t)])
+
+    return words.withColumn("lemma", run("word", "tag"))
+
+
 def keep_files(df: DataFrame, ids: DataFrame | None, empty_keeps_all: bool) -> DataFrame:
     """df's rows with a file_id in ids. ids None: all rows; empty ids: all rows or none, as empty_keeps_all says."""
     if ids is None or (empty_keeps_all and ids.isEmpty()):

@@ -75,8 +75,8 @@ def log_mel(clip: np.ndarray, rate: int, bands: int = 64, frames: int = 101, win
 
 
 def sample_index(t: Column, rate: int, n: Column) -> Column:
-    """Sample of a time, rounded half to even, within 0...n."""
-    return F.least(F.greatest(F.rint(t * rate).cast("bigint"), F.lit(0)), n)
+    """Sample of a time, rounded half to even, within 0...n; null for null."""
+    return F.when(t.isNotNull(), F.least(F.greatest(F.rint(t * rate).cast("bigint"), F.lit(0)), n))
 
 
 def disfluency_labels(sentences: DataFrame, words: str, load: Callable[[], Callable[[list[list[str]]], list[list[int]]]]) -> DataFrame:
@@ -92,3 +92,55 @@ def disfluency_labels(sentences: DataFrame, words: str, load: Callable[[], Calla
             yield df.assign(labels=labels, cleaned=[" ".join(w for w, x in zip(a, b) if not x) for a, b in zip(ws, labels)])
 
     return sentences.mapInPandas(run, ", ".join([*names, "labels array<int>, cleaned string"]))
+
+
+def match_counts(events: DataFrame, audio: DataFrame, keys: list[str]) -> DataFrame:
+    """One row: n_events, n_matched, n_unmatched events by their composite key, and n_keys matched. Audio columns beside
+    the keys aren't read; a null in a key never matches."""
+    there = audio.select(*keys).distinct().withColumn("_there", F.struct(*keys))
+    m = events.select(*keys).join(there, keys, "left")
+    return m.agg(F.count(F.lit(1)).alias("n_events"), F.count("_there").alias("n_matched"), F.count_if(F.col("_there").isNull()).alias("n_unmatched"), F.countDistinct("_there").alias("n_keys"))
+
+
+def event_clips(events: DataFrame, audio: DataFrame, keys: list[str], start: str, end: str, rate: int, least: float) -> DataFrame:
+    """Events whose key has audio (keys, samples ARRAY<FLOAT>), with clip, the samples from start to end, and dropped: '',
+    'no time' (null or NaN) or 'too short' (under `least` seconds); dropped events have no clip."""
+    m = events.join(audio, keys)
+    n = F.size("samples").cast("bigint")
+    given = F.col(start).isNotNull() & F.col(end).isNotNull() & ~F.isnan(start) & ~F.isnan(end)
+    m = m.withColumns({"_a": F.when(given, sample_index(F.col(start), rate, n)), "_b": F.when(given, sample_index(F.col(end), rate, n))})
+    dropped = F.when(~given, "no time").when(F.col("_b") - F.col("_a") < round(least * rate), "too short").otherwise("")
+    m = m.withColumn("dropped", dropped)
+    clip = F.when(F.col("dropped") == "", F.slice("samples", (F.col("_a") + 1).cast("int"), (F.col("_b") - F.col("_a")).cast("int")))
+    return m.withColumn("clip", clip).drop("samples", "_a", "_b")
+
+
+def clip_features(clips: DataFrame, column: str, rate: int, load: Callable[[], Callable[[np.ndarray, int], np.ndarray]]) -> DataFrame:
+    """clips with features ARRAY<DOUBLE> by an extractor that is loaded once per task; null clips have none."""
+    names = [f"`{n}` {t}" for n, t in clips.dtypes if n != column]
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        extract = None
+        for df in it:
+            extract = extract or load()
+            made = [None if c is None else [float(x) for x in extract(np.asarray(c, np.float64), rate)] for c in df[column]]
+            yield df.drop(columns=[column]).assign(features=pd.Series(made, index=df.index, dtype="object"))
+
+    return clips.mapInPandas(run, ", ".join([*names, "features array<double>"]))
+
+
+def hand_features(clip: np.ndarray, rate: int, frame: float = 0.025, hop: float = 0.010) -> np.ndarray:
+    """35 numbers of a clip: duration; mean and deviation over frames of loudness, zero crossings, spectral centroid and
+    spectral spread; and of 13 cepstral coefficients of the log-mel energies. Clips under a frame are padded."""
+    n, step = max(int(frame * rate), 2), max(int(hop * rate), 1)
+    x = np.pad(np.asarray(clip, np.float64), (0, max(0, n - len(clip))))
+    frames = np.lib.stride_tricks.sliding_window_view(x, n)[::step]
+    power = np.abs(np.fft.rfft(frames * np.hanning(n))) ** 2
+    freqs, total = np.fft.rfftfreq(n, 1 / rate), power.sum(1) + 1e-12
+    centroid = power @ freqs / total
+    spread = np.sqrt(np.maximum(power @ freqs**2 / total - centroid**2, 0))
+    mel = log_mel(x, rate, 40, max(1, len(frames)))
+    k = np.arange(40)
+    cepstra = np.cos(np.pi / 40 * np.outer(np.arange(13), k + 0.5)) @ mel
+    rows = [np.sqrt((frames**2).mean(1)), (np.diff(np.signbit(frames), axis=1)).mean(1), centroid, spread, *cepstra]
+    return np.array([len(clip) / rate, *[f(r) for r in rows for f in (np.mean, np.std)]])

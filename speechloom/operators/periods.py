@@ -89,9 +89,11 @@ def periods_and_holes(intervals: DataFrame, keys: list[str], max_hole: int | Non
     along = Window.partitionBy("_key").orderBy("_k")
     reach = F.max("_end").over(along.rowsBetween(Window.unboundedPreceding, -1))
     placed = per_bucket.withColumns({"_reach": reach, "_ahead": F.lead("_first").over(along)}).withColumn("_covered", F.coalesce(F.col("_reach") >= end, F.lit(False)))
+    # Covered buckets are asked for with all columns in hand (always there), so both uses share their shuffles.
+    covered = placed.filter(F.col("_covered") & (F.size("_edges") >= 0) & (F.col("_first") <= F.col("_end")) & F.greatest(*names[2:]).isNotNull()).select(*cell)
     out = lambda kind, b, f, s: F.struct(F.lit(kind).alias("kind"), b.alias("begin"), f.alias("finish"), s.cast("boolean").alias("several"))
     inside = (
-        merged.withColumn("_next", F.lead("begin").over(row)).join(placed.filter("_covered").select(*cell), cell, "left_anti")
+        merged.withColumn("_next", F.lead("begin").over(row)).join(covered, cell, "left_anti")
         .select("_key", F.explode(F.array_compact(F.array(
             F.when(~(at_start | at_end), out("period", F.col("begin"), F.col("finish"), several)),
             F.when(F.col("_next").isNotNull(), out("hole", F.col("finish"), F.col("_next"), F.lit(None))),

@@ -207,11 +207,11 @@ def task_rollup(spark: SparkSession, d: str) -> DataFrame:
 
 
 def measure_correlations(spark: SparkSession, d: str) -> DataFrame:
-    """Correlations of refined with raw measures, overall and by task (long table, p-values included)."""
+    """Correlations of refined with raw measures, overall and by task (long table)."""
     words, clauses = _tiers(spark, d)
     auto = _refined(words, clauses, _candidates(spark, d)).select("file_id", *[F.col(m).alias(f"{m}_auto") for m in M.MEASURES])
     manual = M.fluency_measures(words, clauses).select("file_id", *[F.col(m).alias(f"{m}_manual") for m in M.MEASURES])
-    return A.correlations(auto.join(manual, "file_id"), M.MEASURES, T.task_ja(F.col("file_id")), "refined")
+    return A.correlations(auto.join(manual, "file_id"), M.MEASURES, T.task_ja(F.col("file_id")), "refined").drop("pearson_p", "spearman_p")
 
 
 def pause_agreement(spark: SparkSession, d: str) -> DataFrame:
@@ -324,7 +324,20 @@ _KEPT_CANDIDATES = "(SELECT DISTINCT file_id, gap_index, island_index, gap_durat
 _STATS = f"""SELECT file_id, count(*) AS n_rows, count(*) FILTER (prob_filler IS NOT NULL AND NOT isnan(prob_filler)) AS n_scored, count(*) FILTER (pred_filler = 1) AS n_predicted,
   coalesce(max(prob_filler) FILTER (NOT isnan(prob_filler)), 'nan'::DOUBLE) AS max_prob, coalesce(sum(TRY_CAST(prob_filler AS DECIMAL(28,9))) FILTER (NOT isnan(prob_filler))::DOUBLE / nullif(count(*) FILTER (prob_filler IS NOT NULL AND NOT isnan(prob_filler)), 0), 'nan'::DOUBLE) AS mean_prob FROM {_KEPT_CANDIDATES} GROUP BY file_id"""
 
+_N, _ALL = _MEASURES[_MEASURES.index("n AS (") : _MEASURES.index("k AS (")], _MEASURES[_MEASURES.index("measures AS (") :]
+_REFINED = _N.replace("n AS (", "n2 AS (", 1).replace("FROM loc", "FROM loc2") + _ALL.replace("measures AS (", "refined_measures AS (", 1).replace("LEFT JOIN n USING", "LEFT JOIN n2 USING")
+_CORRELATIONS = f"""
+pairs AS ({" UNION ALL ".join(f"SELECT unnest(['Overall', {_TASK_JA.replace('file_id', 'r.file_id')}]) AS subset, '{m}' AS measure, CAST(r.{m} AS DOUBLE) AS a, CAST(o.{m} AS DOUBLE) AS b FROM refined_measures r JOIN measures o USING (file_id)" for m in _NINE)}),
+ranked AS (SELECT *, rank() OVER (PARTITION BY subset, measure ORDER BY a) + (count(*) OVER (PARTITION BY subset, measure, a) - 1) / 2 AS ra, rank() OVER (PARTITION BY subset, measure ORDER BY b) + (count(*) OVER (PARTITION BY subset, measure, b) - 1) / 2 AS rb,
+  avg(a) OVER (PARTITION BY subset, measure) AS ca, avg(b) OVER (PARTITION BY subset, measure) AS cb, count(*) OVER (PARTITION BY subset, measure) AS n FROM pairs),
+sums AS (SELECT subset, measure, any_value(n) AS n, avg(a) AS mean_auto, avg(b) AS mean_manual, corr(a, b) AS pearson_r, corr(ra, rb) AS spearman_rho, avg(a - b) AS bias, avg(abs(a - b)) AS mae,
+  2 * sum(((a + b) / 2 - (ca + cb) / 2) ** 2) AS ssr, any_value(n * ((ca - (ca + cb) / 2) ** 2 + (cb - (ca + cb) / 2) ** 2)) AS ssc, sum((a - (ca + cb) / 2) ** 2 + (b - (ca + cb) / 2) ** 2) AS sst FROM ranked GROUP BY 1, 2),
+icc AS (SELECT *, ssr / nullif(n - 1, 0) AS msr, ssc AS msc, (sst - ssr - ssc) / nullif(n - 1, 0) AS mse FROM sums)
+SELECT 'refined' AS track, subset, measure, n, mean_auto, mean_manual, CASE WHEN n > 1 THEN pearson_r END AS pearson_r, CASE WHEN n > 1 THEN spearman_rho END AS spearman_rho,
+  CASE WHEN abs(msr + mse + 2.0::DOUBLE / n * (msc - mse)) < 1e-15 THEN 1.0 ELSE (msr - mse) / (msr + mse + 2.0::DOUBLE / n * (msc - mse)) END AS icc_2_1, bias, mae FROM icc"""
+
 SQL = {
+    "measure_correlations": f"WITH {WORDS},\n{_SUBTRACT},\n{_located('loc', 'p')},\n{_located('loc2', 'refined')},\n{_MEASURES},\n{_REFINED},{_CORRELATIONS}",
     "fluency_measures": f"{_PLAIN} SELECT * FROM measures",
     "fluency_refined": f"WITH {WORDS},\n{_SUBTRACT},\n{_located('loc', 'refined')},\n{_MEASURES} SELECT * FROM measures",
     "refinement_stats": f"""WITH {WORDS},\n{_SUBTRACT} SELECT a.file_id, a.n AS clf_pause_candidates, coalesce(b.n, 0) AS clf_pauses_split, coalesce(r.n, 0) AS clf_refined_pause_count

@@ -34,7 +34,18 @@ def test_distributed_ranks_are_average_ranks(spark):
     rng = random.Random(3)
     d = spark.createDataFrame([("g", float(rng.randrange(30)), 0.0) for _ in range(300)], P)
     want = {r.a: r.r for r in d.select("a", A.average_rank("a", ["g"]).alias("r")).collect()}
-    assert {r.a: r.rank_a for r in A.distributed_ranks(d, "a", ["g"]).collect()} == want
+    counts = d.groupBy("g", F.col("a").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    assert {r.v: r.rank for r in A.average_ranks(counts, ["g"]).collect()} == want
+
+
+def test_percentiles_are_exact(spark):
+    import numpy as np
+
+    rng = random.Random(5)
+    values = {g: [rng.choice([rng.random(), float(rng.randrange(4))]) for _ in range(n)] for g, n in (("a", 1), ("b", 2), ("c", 500), (None, 7))}
+    d = spark.createDataFrame([(g, v) for g, vs in values.items() for v in vs] + [("a", None), ("a", float("nan"))], "g string, v double")
+    got = {r.g: r[1:] for r in A.percentiles(d, ["g"], (0.0, 0.25, 0.9)).collect()}
+    assert set(got) == set(values) and all(got[g] == pytest.approx(list(np.percentile(vs, [0, 25, 90]))) for g, vs in values.items())
 
 
 def test_p_values(spark):
