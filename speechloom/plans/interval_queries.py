@@ -324,7 +324,7 @@ _KEPT_CANDIDATES = "(SELECT DISTINCT file_id, gap_index, island_index, gap_durat
 _STATS = f"""SELECT file_id, count(*) AS n_rows, count(*) FILTER (prob_filler IS NOT NULL AND NOT isnan(prob_filler)) AS n_scored, count(*) FILTER (pred_filler = 1) AS n_predicted,
   coalesce(max(prob_filler) FILTER (NOT isnan(prob_filler)), 'nan'::DOUBLE) AS max_prob, coalesce(sum(TRY_CAST(prob_filler AS DECIMAL(28,9))) FILTER (NOT isnan(prob_filler))::DOUBLE / nullif(count(*) FILTER (prob_filler IS NOT NULL AND NOT isnan(prob_filler)), 0), 'nan'::DOUBLE) AS mean_prob FROM {_KEPT_CANDIDATES} GROUP BY file_id"""
 
-_N, _ALL = _MEASURES[_MEASURES.index("n AS (") : _MEASURES.index("k AS (")], _MEASURES[_MEASURES.index("measures AS (") :]
+_N, _ALL = _MEASURES[_MEASURES.index("\nn AS (") + 1 : _MEASURES.index("\nk AS (")], _MEASURES[_MEASURES.index("\nmeasures AS (") + 1 :]
 _REFINED = _N.replace("n AS (", "n2 AS (", 1).replace("FROM loc", "FROM loc2") + _ALL.replace("measures AS (", "refined_measures AS (", 1).replace("LEFT JOIN n USING", "LEFT JOIN n2 USING")
 _CORRELATIONS = f"""
 pairs AS ({" UNION ALL ".join(f"SELECT unnest(['Overall', {_TASK_JA.replace('file_id', 'r.file_id')}]) AS subset, '{m}' AS measure, CAST(r.{m} AS DOUBLE) AS a, CAST(o.{m} AS DOUBLE) AS b FROM refined_measures r JOIN measures o USING (file_id)" for m in _NINE)}),
