@@ -78,9 +78,11 @@ def label_side(label: Column, roles: tuple[str, ...] = ROLES) -> Column:
 def learned_roles(rows: DataFrame, share: float = 0.001) -> tuple[str, ...]:
     """The roster of role words of all transcripts: ROLES, and words that stand apart before both side letters in at
     least `share` of the labels of this form. At most 2 / share words can be that frequent."""
-    plain = plain_label(F.col("caller"))
-    parts = rows.select(F.regexp_extract(plain, r"^([a-z]{2,})\s+([ab])$", 1).alias("role"), F.regexp_extract(plain, r"^([a-z]{2,})\s+([ab])$", 2).alias("side")).filter("role <> ''")
-    seen = parts.groupBy("role").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("side") == "a").alias("a"), F.count_if(F.col("side") == "b").alias("b"))
+    labels = rows.groupBy("caller").agg(F.count(F.lit(1)).alias("n"))  # many rows, few spellings
+    plain, form = plain_label(F.col("caller")), r"^([a-z]{2,})\s+([ab])$"
+    parts = labels.select(F.regexp_extract(plain, form, 1).alias("role"), F.regexp_extract(plain, form, 2).alias("side"), "n").filter("role <> ''")
+    of_side = lambda s: F.sum(F.when(F.col("side") == s, F.col("n")).otherwise(0)).alias(s)
+    seen = parts.groupBy("role").agg(F.sum("n").alias("n"), of_side("a"), of_side("b"))
     total = seen.agg(F.sum("n").alias("total"))
     found = small_table(seen.filter("a > 0 and b > 0").join(F.broadcast(total)).filter(F.col("n") >= share * F.col("total")).select("role"), int(2 / share))
     return tuple(dict.fromkeys([*ROLES, *sorted(r["role"] for r in found)]))
