@@ -83,8 +83,8 @@ def learned_roles(rows: DataFrame, share: float = 0.001) -> tuple[str, ...]:
     parts = labels.select(F.regexp_extract(plain, form, 1).alias("role"), F.regexp_extract(plain, form, 2).alias("side"), "n").filter("role <> ''")
     of_side = lambda s: F.sum(F.when(F.col("side") == s, F.col("n")).otherwise(0)).alias(s)
     seen = parts.groupBy("role").agg(F.sum("n").alias("n"), of_side("a"), of_side("b"))
-    total = seen.agg(F.sum("n").alias("total"))
-    found = small_table(seen.filter("a > 0 and b > 0").join(F.broadcast(total)).filter(F.col("n") >= share * F.col("total")).select("role"), int(2 / share))
+    total = seen.agg(F.sum("n")).first()[0] or 0
+    found = small_table(seen.filter("a > 0 and b > 0").filter(F.col("n") >= share * total).select("role"), int(2 / share))
     return tuple(dict.fromkeys([*ROLES, *sorted(r["role"] for r in found)]))
 
 
