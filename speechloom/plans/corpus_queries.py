@@ -227,8 +227,10 @@ def timing_percentiles(spark: SparkSession, d: str) -> DataFrame:
     """Mean, median and 90th percentile of start and end errors of matched words, in milliseconds."""
     x = written(greedy_match(spark, d).select(F.explode(F.array("start_error", "end_error")).alias("v")), "errors")
     mean = (F.sum(I.exact(F.col("v"))).cast("double") / F.count("v") * 1000).alias("mean_ms")
-    p = A.percentiles(x, [], (0.5, 0.9))
-    return x.agg(F.count("v").alias("n"), mean).crossJoin(F.broadcast(p.select((F.col("p0") * 1000).alias("median_ms"), (F.col("p1") * 1000).alias("p90_ms"))))
+    p = A.percentiles(x, [], (0.5, 0.9)).select((F.col("p0") * 1000).alias("median_ms"), (F.col("p1") * 1000).alias("p90_ms"))
+    # Two frames of one row each as one row.
+    names = ("n", "mean_ms", "median_ms", "p90_ms")
+    return x.agg(F.count("v").alias("n"), mean).unionByName(p, allowMissingColumns=True).agg(*[F.max(c).alias(c) for c in names])
 
 
 def aligner_map_back(spark: SparkSession, d: str) -> DataFrame:
