@@ -234,7 +234,7 @@ SQL = {
     "file_lists": "SELECT DISTINCT file_id, unnest(['bare', 'keyed']) AS form FROM intervals",
     "candidate_csv": f"SELECT DISTINCT {', '.join(S.CANDIDATES.fieldNames()[:-1])}, nullif(skip_reason, '') AS skip_reason FROM candidates",
     "measures_csv": f"{_PLAIN} SELECT file_id AS file, {', '.join(_NINE)}, CAST(units AS INTEGER) AS total_syllables, total_duration, phonation_time, CAST(n_pauses AS INTEGER) AS n_pauses, CAST(n_mid_clause_pauses AS INTEGER) AS n_mid_clause_pauses, CAST(n_end_clause_pauses AS INTEGER) AS n_end_clause_pauses, CAST(n_clauses AS INTEGER) AS n_clauses FROM measures",
-    "rounded_measures": f"{_PLAIN} SELECT file_id, {', '.join(f'round_even({m}, 3) AS {m}' for m in _NINE)}, CASE WHEN n_pauses > 0 THEN printf('%.3f', MPD) ELSE 'NA' END AS mpd_label FROM measures",
+    "rounded_measures": f"{_PLAIN} SELECT file_id, {', '.join(f"CAST(printf('%.3f', {m}) AS DOUBLE) AS {m}" for m in _NINE)}, CASE WHEN n_pauses > 0 THEN printf('%.3f', MPD) ELSE 'NA' END AS mpd_label FROM measures",
     "gold_segment_files": f"WITH {WORDS}, t AS (SELECT file_id, idx, {_normal('label')} AS text FROM c) SELECT file_id, CAST(row_number() OVER (PARTITION BY file_id ORDER BY idx) - 1 AS INTEGER) AS idx, text FROM t WHERE text <> ''",
     "transcript_files": f"SELECT file_id || '_' || chunk_no AS file_id, {_normal('transcript')} AS text FROM {_ASR_ONCE} WHERE transcript IS NOT NULL",
     "parallel_corpus": f"WITH RECURSIVE {_MARKUP} SELECT CAST(row_number() OVER (ORDER BY conversation_no, utterance_index, caller NULLS FIRST) - 1 AS INTEGER) AS line_no, array_to_string(words, ' ') AS words, array_to_string(labels, ' ') AS labels FROM sen",
