@@ -193,7 +193,8 @@ def length_band(words: Column, least: int, most: int) -> Column:
 
 def source_sentence_en(words: Column) -> Column:
     """Alphabetic tokens in lower case of an English corpus sentence."""
-    return F.transform(F.filter(words, lambda w: w.rlike(r"^\p{L}+$")), F.lower)
+    # \z: '$' also matches before a line break at the end.
+    return F.transform(F.filter(words, lambda w: w.rlike(r"^\p{L}+\z")), F.lower)
 
 
 def is_source_sentence_ja(text: Column) -> Column:

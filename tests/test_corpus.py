@@ -119,3 +119,8 @@ def test_files_kept(spark):
 def test_small_functions(spark):
     r = spark.createDataFrame([([1, 0], [None, 0, 0, 1, None], "sw_0001_4325.utt")], "y array<int>, w array<int>, f string").select(C.subtoken_labels(F.col("y"), F.col("w")), C.conversation_of_file(F.col("f")), C.conversation_of_file(F.lit("x"))).first()
     assert tuple(r) == ([-100, 1, 1, 0, -100], 4325, None)
+
+
+def test_source_words_before_line_breaks(spark):
+    w = spark.createDataFrame([(["The", "dog\n", "\nran", "o n", "café", "x1"],)], "w array<string>").select(C.source_sentence_en(F.col("w"))).first()[0]
+    assert w == ["the", "café"]
