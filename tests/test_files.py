@@ -101,3 +101,13 @@ def test_stream(spark, tmp_path):
     q = P.streaming_periods(stream, "k", "at", "seconds").writeStream.format("memory").queryName("periods").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert sorted((r.period_start.second, r.n) for r in spark.table("periods").collect()) == [(0, 2), (40, 1)]
+
+
+def test_one_candidate_file_per_recording(spark, tmp_path):
+    c = spark.createDataFrame([(f"f{i % 40}", i, 0, 1.0, 2.0, 1.0, 0.5, 1, 0.2, float("nan"), 1.3, None, 1, "x") for i in range(400)], S.CANDIDATES)
+    W.write_csv_per_file(c.repartition(10), str(tmp_path / "c"))
+    assert len(list((tmp_path / "c").glob("file_id=*/*.csv"))) == 40
+    setting = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(setting)
+    back = R.read_candidates(spark, str(tmp_path / "c"))
+    assert repr(rows(back.select(*c.columns))) == repr(rows(c)) and back.rdd.getNumPartitions() <= 4 and spark.conf.get(setting) == before
