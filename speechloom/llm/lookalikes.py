@@ -16,6 +16,7 @@ leave the JVM.
 
 from __future__ import annotations
 
+import os
 import re
 import unicodedata
 import zipfile
@@ -64,15 +65,21 @@ def script_of(c: str) -> str:
     return s
 
 
+def _icu_jars() -> list[Path]:
+    """ICU libraries among Spark's jars: of SPARK_HOME, and beside the package; a worker has that as python/lib/pyspark.zip
+    in Spark's home."""
+    package = Path(find_spec("pyspark").origin).parent
+    homes = [Path(h) for h in (os.environ.get("SPARK_HOME"),) if h] + [package, *package.parents]
+    return [j for h in homes for j in sorted((h / "jars").glob("icu4j-*.jar"), reverse=True)]
+
+
 def unicode_prototypes() -> dict[str, str]:
-    """The Unicode table of confusable characters, character -> prototype, from the ICU library that Spark ships; empty
-    where that isn't at hand."""
-    jars = sorted((Path(find_spec("pyspark").origin).parent / "jars").glob("icu4j-*.jar"))
-    try:
-        with zipfile.ZipFile(jars[-1]) as z:
-            raw = z.read("com/ibm/icu/impl/data/icudata/confusables.cfu")
-    except (IndexError, KeyError, OSError):
-        return {}
+    """The Unicode table of confusable characters, character -> prototype, from the ICU library that Spark ships. Without
+    it fewer texts would be found, so it must be there: raises if it isn't."""
+    if not (jars := _icu_jars()):
+        raise RuntimeError("no icu4j among Spark's jars: look-alike characters need its Unicode table; set SPARK_HOME")
+    with zipfile.ZipFile(jars[0]) as z:
+        raw = z.read("com/ibm/icu/impl/data/icudata/confusables.cfu")
     raw = raw[int.from_bytes(raw[:2], "big") :]  # after ICU's own header
     head = [int.from_bytes(raw[4 * i : 4 * i + 4], "big") for i in range(9)]
     (keys, n), (index, m), (strings, k) = head[3:5], head[5:7], head[7:9]

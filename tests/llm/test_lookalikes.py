@@ -89,3 +89,14 @@ def test_large_lexicon_is_refused(spark, lexicon, monkeypatch):
     monkeypatch.setattr(K, "MAX_LEXICON", 3)
     with pytest.raises(ValueError):
         K.is_lexicon_alike(spark.createDataFrame([("x",)], "w string"), "w", lexicon)
+
+
+def test_unicode_table(spark, monkeypatch):
+    here = len(K.unicode_prototypes())
+    assert here > 6000
+    # Workers have the package as a zip file elsewhere.
+    there = spark.sparkContext.parallelize([0], 1).map(lambda _: (len(K.unicode_prototypes()), len(K._FOUND))).first()
+    assert there == (here, len(K._FOUND))
+    monkeypatch.setattr(K, "_icu_jars", lambda: [])
+    with pytest.raises(RuntimeError, match="icu4j"):
+        K.unicode_prototypes()
