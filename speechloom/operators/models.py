@@ -102,17 +102,51 @@ def match_counts(events: DataFrame, audio: DataFrame, keys: list[str]) -> DataFr
     return m.agg(F.count(F.lit(1)).alias("n_events"), F.count("_there").alias("n_matched"), F.count_if(F.col("_there").isNull()).alias("n_unmatched"), F.countDistinct("_there").alias("n_keys"))
 
 
-def event_clips(events: DataFrame, audio: DataFrame, keys: list[str], start: str, end: str, rate: int, least: float) -> DataFrame:
-    """Events whose key has audio (keys, samples ARRAY<FLOAT>), with clip, the samples from start to end, and dropped: '',
-    'no time' (null or NaN) or 'too short' (under `least` seconds); dropped events have no clip."""
-    m = events.join(audio, keys)
-    n = F.size("samples").cast("bigint")
+#: Samples in a block of audio; a block is one value.
+BLOCK = 8192
+
+
+def audio_blocks(audio: DataFrame, keys: list[str], size: int = BLOCK) -> DataFrame:
+    """Audio (keys, samples ARRAY<FLOAT>) in blocks: keys, block (from 0), samples, `size` in each but the last."""
+    n = F.size("samples")
+    return audio.select(*keys, "samples", F.explode(F.sequence(F.lit(0), F.floor((F.greatest(n, F.lit(1)) - 1) / size).cast("int"))).alias("block")).select(*keys, "block", F.slice("samples", F.col("block") * size + 1, size).alias("samples"))
+
+
+def event_clips(events: DataFrame, blocks: DataFrame, lengths: DataFrame, keys: list[str], start: str, end: str, rate: int, least: float, size: int = BLOCK) -> DataFrame:
+    """Events whose key has audio, with clip, the samples from start to end, and dropped: '', 'no time' (null or NaN) or
+    'too short' (under `least` seconds); dropped events have no clip.
+
+    Audio comes as audio_blocks (of `size`) and its lengths (keys, n samples), both once a key. An event meets the blocks it
+    touches only, so that no row holds a whole recording and a long recording's events are many tasks' work. Events within
+    a block are cut there; the others are put together from their pieces. Samples that lengths tell of and blocks lack
+    raise an error."""
     given = F.col(start).isNotNull() & F.col(end).isNotNull() & ~F.isnan(start) & ~F.isnan(end)
-    m = m.withColumns({"_a": F.when(given, sample_index(F.col(start), rate, n)), "_b": F.when(given, sample_index(F.col(end), rate, n))})
-    dropped = F.when(~given, "no time").when(F.col("_b") - F.col("_a") < round(least * rate), "too short").otherwise("")
-    m = m.withColumn("dropped", dropped)
-    clip = F.when(F.col("dropped") == "", F.slice("samples", (F.col("_a") + 1).cast("int"), (F.col("_b") - F.col("_a")).cast("int")))
-    return m.withColumn("clip", clip).drop("samples", "_a", "_b")
+    m = events.join(lengths.select(*keys, F.col("n").cast("bigint").alias("_n")), keys)
+    m = m.withColumns({"_a": F.when(given, sample_index(F.col(start), rate, F.col("_n"))), "_b": F.when(given, sample_index(F.col(end), rate, F.col("_n")))})
+    names, length = events.columns, F.col("_b") - F.col("_a")
+    m = m.withColumn("dropped", F.when(~given, "no time").when(length < max(round(least * rate), 0), "too short").otherwise("")).drop("_n")
+    none = F.array().cast("array<float>")
+    short = m.filter((F.col("dropped") != "") | (length <= 0)).select(*names, "dropped", F.when(F.col("dropped") == "", none).alias("clip"))
+    kept = m.filter((F.col("dropped") == "") & (length > 0)).withColumns({"_first": F.floor(F.col("_a") / size).cast("int"), "_last": F.floor((F.col("_b") - 1) / size).cast("int")})
+    within = kept.filter(F.col("_first") == F.col("_last")).withColumn("block", F.col("_first"))
+    across = kept.filter(F.col("_first") < F.col("_last")).withColumn("block", F.explode(F.sequence("_first", "_last")))
+
+    def pieces(of: DataFrame) -> DataFrame:
+        audio = blocks.select(*keys, "block", F.col("samples").alias("_samples"))
+        begin = F.greatest(F.col("_a") - F.col("block") * F.lit(size).cast("bigint"), F.lit(0))
+        stop = F.least(F.col("_b") - F.col("block") * F.lit(size).cast("bigint"), F.lit(size))
+        # Spark takes an array for one element's size and would broadcast the audio.
+        return of.join(audio.hint("merge"), [*keys, "block"], "left").withColumn("clip", F.slice("_samples", (begin + 1).cast("int"), (stop - begin).cast("int"))).drop("_samples")
+
+    # Equal events have equal pieces: each block's pieces stand side by side, one an event.
+    many = pieces(across).groupBy(*names, "dropped", "_a", "_b", "_first", "_last").agg(F.sort_array(F.collect_list(F.struct("block", "clip"))).alias("_p"))
+    many = many.withColumn("_k", (F.size("_p") / (F.col("_last") - F.col("_first") + 1)).cast("int"))
+    whole = F.flatten(F.transform(F.filter("_p", lambda p, i: i % F.col("_k") == 0), lambda p: p["clip"]))
+    many = many.withColumn("clip", whole).withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_k"))))
+    columns = [*names, "dropped", "_a", "_b", "clip"]
+    clips = pieces(within).select(*columns).unionByName(many.select(*columns))
+    sure = F.when(F.size("clip") == F.col("_b") - F.col("_a"), F.col("clip")).otherwise(F.raise_error(F.lit("audio lacks samples of an event")).cast("array<float>"))
+    return short.unionByName(clips.select(*names, "dropped", sure.alias("clip")))
 
 
 def clip_features(clips: DataFrame, column: str, rate: int, load: Callable[[], Callable[[np.ndarray, int], np.ndarray]]) -> DataFrame:

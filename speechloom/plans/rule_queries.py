@@ -20,7 +20,7 @@ from speechloom.plans import interval_queries as IQ
 from speechloom.plans.corpus_queries import _chunks, _line, _place
 from speechloom.plans.interval_queries import _COVER, _KEPT_CANDIDATES, WORDS, K, _located, _merge_sql
 from speechloom.plans.sequence_sql import _CHUNKS, _MARKUP, _token_ja
-from speechloom.session import written
+from speechloom.session import shuffle_partitions, written
 from speechloom.streaming import periods as P
 
 
@@ -79,15 +79,13 @@ def caller_match_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _events(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Candidates as labelled events of an episode and split, and recordings as audio of both (a tone of 100 samples a
-    second over its chunks' words)."""
+    """Candidates as labelled events of an episode and split, and recordings with audio as both and n samples (a tone of
+    100 samples a second over its chunks' words)."""
     split = T.task_ja(F.col("file_id"))
     e = _t(spark, d, "candidates").select("file_id", "gap_index", "island_index", "candidate_start", "candidate_end").distinct().withColumns({"episode": F.col("file_id"), "split": split})
     length = F.array_max(F.transform("words", lambda w: F.when(~F.isnan(w["end"]), w["end"])))
     a = _t(spark, d, "asr_json").groupBy("file_id").agg(F.max(length).alias("seconds")).filter("seconds is not null")
-    wave = F.transform(F.sequence(F.lit(1), F.greatest(F.ceil(F.col("seconds") * 100), F.lit(1)).cast("int")), lambda i: F.sin(i.cast("double")).cast("float"))
-    audio = a.filter(~F.col("file_id").startswith("VNM")).select(F.col("file_id").alias("episode"), split.alias("split"), wave.alias("samples"))
-    return e, audio
+    return e, a.filter(~F.col("file_id").startswith("VNM")).select(F.col("file_id").alias("episode"), split.alias("split"), F.greatest(F.ceil(F.col("seconds") * 100), F.lit(1)).cast("bigint").alias("n"))
 
 
 def event_matches(spark: SparkSession, d: str) -> DataFrame:
@@ -99,8 +97,15 @@ def event_matches(spark: SparkSession, d: str) -> DataFrame:
 def event_features(spark: SparkSession, d: str) -> DataFrame:
     """Clips of events cut from their recording's samples: how many gave features, and why others didn't."""
     events, audio = _events(spark, d)
-    clips = MO.event_clips(events, audio, ["episode", "split"], "candidate_start", "candidate_end", 100, 0.1)
-    made = MO.clip_features(clips, "clip", 100, lambda: lambda c, rate: np.array([len(c), float(np.abs(c).max())]))
+    keys, size = ["episode", "split"], MO.BLOCK
+    # Blocks find their task and place before they have samples, so that these are neither shuffled nor sorted;
+    # the number of tasks is given, as rows that are yet without samples look like one task's work.
+    blocks = audio.select(*keys, "n", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / size).cast("int"))).alias("block"))
+    blocks = blocks.repartition(shuffle_partitions(spark), *keys, "block").sortWithinPartitions(*keys, "block")
+    first = F.col("block") * F.lit(size).cast("bigint")
+    wave = F.transform(F.sequence(first + 1, F.least(first + size, F.col("n"))), lambda i: F.sin(i.cast("double")).cast("float"))
+    clips = MO.event_clips(events, blocks.select(*keys, "block", wave.alias("samples")), audio, keys, "candidate_start", "candidate_end", 100, 0.1)
+    made = MO.clip_features(clips.select("dropped", "clip"), "clip", 100, lambda: lambda c, rate: np.array([len(c), float(np.abs(c).max())]))
     return made.groupBy("dropped").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("features")).alias("n_values"))
 
 

@@ -111,3 +111,27 @@ def test_one_candidate_file_per_recording(spark, tmp_path):
     before = spark.conf.get(setting)
     back = R.read_candidates(spark, str(tmp_path / "c"))
     assert repr(rows(back.select(*c.columns))) == repr(rows(c)) and back.rdd.getNumPartitions() <= 4 and spark.conf.get(setting) == before
+
+
+def test_event_clips_in_blocks(spark):
+    rate, size, sound = 10, 16, np.arange(100, dtype=np.float32)
+    audio = spark.createDataFrame([("a", sound.tolist()), ("b", sound[:5].tolist())], "k string, samples array<float>")
+    times = [("a", 0.0, 1.6), ("a", 1.5, 1.7), ("a", 0.3, 9.0), ("a", 0.3, 9.0), ("a", -1.0, 50.0), ("a", 9.6, 9.9), ("a", 5.0, 4.0), ("a", None, 1.0), ("a", 1.0, float("nan")), ("b", 0.0, 0.5), ("c", 0.0, 1.0)]
+    events = spark.createDataFrame(times, "k string, s double, e double")
+    lengths = audio.select("k", F.size("samples").alias("n"))
+    got = MO.event_clips(events, MO.audio_blocks(audio, ["k"], size), lengths, ["k"], "s", "e", rate, 0.2, size)
+    at = lambda t, n: min(max(round(t * rate), 0), n)
+    want = []
+    for k, s, e in times[:-1]:
+        none = s is None or e != e
+        clip = None if none else sound[at(s, {"a": 100, "b": 5}[k]) : at(e, {"a": 100, "b": 5}[k])].tolist()
+        dropped = "no time" if none else "too short" if len(clip) < 2 else ""
+        want.append((k, s, e, dropped, clip if dropped == "" else None))
+    assert repr(rows(got)) == repr(sorted(want, key=repr))
+    with_hole = MO.audio_blocks(audio, ["k"], size).filter("block <> 2")
+    try:
+        MO.event_clips(events, with_hole, lengths, ["k"], "s", "e", rate, 0.2, size).collect()
+    except Exception as e:
+        assert "lacks samples" in str(e)
+    else:
+        raise AssertionError("a hole in the audio must show")
